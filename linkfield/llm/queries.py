@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .line_dedup import MAX_RATIO, MIN_PAGES, drop_boilerplate_lines
 from .mixing import mix_sources
+from .packing import pack_documents
+from .token_output import encode_and_read_back
 from .url_filter import LOWER, UPPER, Rule, filter_urls
 
 URL_RULES = (
@@ -28,12 +30,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read_back(table(spark, sf_dir, "documents"), end_id=1)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op7_best_fit_packing, op8_token_output, op9_line_dedup)}
 
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
