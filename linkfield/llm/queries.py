@@ -11,6 +11,7 @@ from .line_dedup import MAX_RATIO, MIN_PAGES, drop_boilerplate_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .token_output import encode_and_read_back
+from .toxicity import toxicity
 from .url_filter import LOWER, UPPER, Rule, filter_urls
 
 URL_RULES = (
@@ -42,8 +43,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op7_best_fit_packing, op8_token_output, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
 
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
