@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .fingerprint import fingerprint_edits
 from .line_dedup import MAX_RATIO, MIN_PAGES, drop_boilerplate_lines
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
@@ -36,6 +37,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
@@ -53,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op6_fingerprints, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
 
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
