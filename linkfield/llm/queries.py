@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .embedding_dedup import near_duplicates
 from .fingerprint import fingerprint_edits
 from .line_dedup import MAX_RATIO, MIN_PAGES, drop_boilerplate_lines
 from .mixing import mix_sources
@@ -37,6 +38,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op6_fingerprints, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op4_embedding_dedup, op6_fingerprints, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
 
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
