@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .embedding_dedup import near_duplicates
 from .fingerprint import fingerprint_edits
+from .html_wrapper import extract_main_text
 from .line_dedup import MAX_RATIO, MIN_PAGES, drop_boilerplate_lines
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
@@ -42,6 +43,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op4_embedding_dedup, op6_fingerprints, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op4_embedding_dedup, op5_html_extraction, op6_fingerprints, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
 
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
