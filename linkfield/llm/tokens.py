@@ -9,8 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-#: Characters of text that are handled at once, and distinct chunks that a worker remembers.
-SLICE_CHARS, REMEMBERED = 1 << 20, 300_000
+#: Characters of text that are handled at once; distinct chunks and words that a worker remembers.
+SLICE_CHARS, CHUNKS, WORDS = 1 << 20, 300_000, 600_000
+
+
+_MARKS = frozenset(".,;:!?")
 
 
 class _Codes(dict):
@@ -30,7 +33,9 @@ class ChunkEncoder:
     """Ids as the tokenizer gives them for whole texts without special tokens.
 
     The tokenizer drops white space and never joins anything across it, so the ids of a text are those of its chunks
-    between spaces and line feeds, one after another.  Chunks are encoded many at once, parted by the end token.
+    between spaces and line feeds, one after another.  A new chunk is split once more, into a word and the one mark
+    that ends it ("here,"), which the tokenizer takes apart too; words differ by more than case.  Words of letters are
+    encoded many at once and told apart by the ids that end a word; whatever else there is, by the end token.
     """
 
     def __init__(self, path: str, end: str = "<|endoftext|>"):
@@ -39,6 +44,9 @@ class ChunkEncoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.end_id = self.tokenizer.token_to_id(end)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}  # their ids as unsigned 32-bit integers
         self._forget()
 
     def _forget(self) -> None:
@@ -46,32 +54,55 @@ class ChunkEncoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _ids_of(self, chunks: Sequence[str]) -> list[np.ndarray]:
-        plain = [c for c in chunks if "<|" not in c]
-        out: dict[str, np.ndarray] = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in chunks if "<|" in c}
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.end} ".join(part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.end_id)
-            for c, a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                out[c] = ids[a:b]
-        return [out[c] for c in chunks]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _encode_words(self, words: Sequence[str]) -> None:
+        simple, other = [], []
+        for w in words:
+            (simple if w.isalpha() else other).append(w)
+        for i in range(0, len(simple), 200):
+            part = simple[i : i + 200]
+            ids = self._ids(" ".join(part))
+            cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            if len(cuts) != len(part) + 1:
+                other += part
+                continue
+            data = ids.tobytes()
+            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        for i in range(0, len(other), 200):
+            part = [w for w in other[i : i + 200] if "<|" not in w]
+            ids = self._ids(f" {self.end} ".join(part)) if part else np.zeros(0, np.uint32)
+            cuts = [-1, *np.flatnonzero(ids == self.end_id).tolist(), len(ids)]
+            self.words.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:]))
+            self.words.update((w, self._ids(w).tobytes()) for w in other[i : i + 200] if "<|" in w)
+
+    @staticmethod
+    def _split(chunk: str) -> tuple[str, str]:
+        mark = ""
+        if chunk[-1:] in _MARKS and chunk[-2:-1].isalpha():
+            chunk, mark = chunk[:-1], chunk[-1]
+        return (chunk.lower() if chunk.isascii() or max(chunk) <= "ÿ" else chunk), mark
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
-        known, got = len(self.codes) - len(new), self._ids_of(new)
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        known, parts = len(self.codes) - len(new), [self._split(c) for c in new]
+        if len(self.words) > WORDS:
+            self.words = {}
+        self._encode_words([w for w in dict.fromkeys(x for p in parts for x in p) if w not in self.words])
+        got = [self.words[w] + self.words[mark] for w, mark in parts]
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
         while len(self.codes) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
         while self.used + lengths.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.starts[known : len(self.codes)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[known : len(self.codes)] = lengths
-        self.flat[self.used : self.used + lengths.sum()] = np.concatenate(got)
+        self.flat[self.used : self.used + lengths.sum()] = np.frombuffer(b"".join(got), np.uint32)
         self.used += int(lengths.sum())
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if len(self.codes) > REMEMBERED:
+        if len(self.codes) > CHUNKS:
             self._forget()
         chunks, counts = [], []
         for t in texts:
