@@ -17,7 +17,7 @@ from ..operators.lines import PAGE, lines_of
 from ..options import DEFAULT, ScanOptions
 from ..sources.files import link_annotations
 
-LINKS = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri", "left_pt", "bottom_pt", "width_pt", "height_pt", "status")
+LOCATED = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri", "left_pt", "bottom_pt", "width_pt", "height_pt")
 
 
 def text_candidates(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
@@ -27,25 +27,33 @@ def text_candidates(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFr
     return match_to_rect(candidate_uris(lines, options.uri_filter))
 
 
-def scan_text(chunks: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """Links from text: dedup by spot first, then what is linked already."""
-    found = split_existing(dedupe_text_spots(text_candidates(chunks, options)), existing_links(annotations))
+def located_text(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """Text links with their boxes, one per spot; the same whether spots are linked already or not."""
     order = F.col("line_no").cast("long") * 1_000_000 + F.col("is_bare") * 500_000 + F.col("match_no")
-    return found.withColumns({"source": F.lit("text"), "source_rank": F.lit(1), "order_key": order}).select(*LINKS)
+    return dedupe_text_spots(text_candidates(chunks, options)).withColumns({"source": F.lit("text"), "source_rank": F.lit(1), "order_key": order}).select(*LOCATED)
 
 
-def scan_qr(detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """Links from codes: merge the levels by payload and spot, then filter targets, then what is linked already."""
+def located_qr(detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """Code links with their boxes: levels merge by payload and spot, then targets are filtered."""
     codes = dedupe_qr(qr_padded_box(detections, pages))
     accepted = codes.withColumn("uri", (options.uri_filter or default_uri_filter)(F.col("payload"))).where("uri is not null")
-    found = split_existing(to_points(accepted, pages), existing_links(annotations))
     order = F.col("level_no").cast("long") * 1_000_000 + F.col("inverted").cast("int") * 500_000 + F.col("decode_no")
-    return found.withColumns({"source": F.lit("qr"), "source_rank": F.lit(0), "order_key": order}).select(*LINKS)
+    return to_points(accepted, pages).withColumns({"source": F.lit("qr"), "source_rank": F.lit(0), "order_key": order}).select(*LOCATED)
+
+
+def scan_text(chunks: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """Links from text: dedup by spot first, then what is linked already."""
+    return split_existing(located_text(chunks, options), existing_links(annotations))
+
+
+def scan_qr(detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """Links from codes."""
+    return split_existing(located_qr(detections, pages, options), existing_links(annotations))
 
 
 def merge_sources(qr: DataFrame, text: DataFrame) -> DataFrame:
     """Links of both sources; a code and a text are never taken for one another."""
-    return qr.select(*LINKS).unionByName(text.select(*LINKS))
+    return qr.unionByName(text)
 
 
 def merge_chunks(real: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -70,11 +78,16 @@ def ocr_chunks(words: DataFrame, pages: DataFrame, options: ScanOptions = DEFAUL
     return ocr_words_to_chunks(words.where("pass = 'whole'").unionByName(tiles), pages)
 
 
-def scan(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """All links of all pages, with status; nothing is changed."""
+def located(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """Links of all sources with their boxes."""
     if words is not None:
         chunks = merge_chunks(chunks, ocr_chunks(words, pages, options))
-    return merge_sources(scan_qr(detections, pages, annotations, options), scan_text(chunks, annotations, options))
+    return merge_sources(located_qr(detections, pages, options), located_text(chunks, options))
+
+
+def scan(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """All links of all pages, with status; nothing is changed."""
+    return split_existing(located(chunks, words, detections, pages, options), existing_links(annotations))
 
 
 def link(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
@@ -83,7 +96,9 @@ def link(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, page
 
 
 def relink(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """The scan after its own new links have been added: all of them are linked already, but boxes without area."""
-    added = link(chunks, words, detections, pages, annotations, options)
-    both = annotations.unionByName(added.select(*annotations.columns))
-    return scan(chunks, words, detections, pages, both, options)
+    """The scan after its own new links have been added: all of them are linked already, but boxes without area.
+
+    Links are located once: where they are does not depend on annotations."""
+    found, before = located(chunks, words, detections, pages, options), existing_links(annotations)
+    added = split_existing(found, before).where("status = 'linked'").select(*before.columns)
+    return split_existing(found, before.unionByName(added))
