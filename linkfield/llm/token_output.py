@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import new_path, small
+from .common import new_path, small, written
 from .tokens import SLICE_CHARS, encoder, text_slices, tokenizer_path
 
 MAGIC = b"TOKSHRD1"
@@ -90,8 +90,9 @@ class ShardReader:
 
 
 def _sample(df: DataFrame, path: str, end_id: int, width: int) -> bytes:
-    rows = df.where(f"length(text) <= {SAMPLE_CHARS}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").toArrow()
-    texts = [t or "" for t in rows.column("text").to_pylist()]
+    first = df.where(f"length(text) <= {SAMPLE_CHARS}").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = df.join(F.broadcast(first.distinct()), "doc_id").where(f"length(text) <= {SAMPLE_CHARS}").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
+    texts = [t or "" for t in rows.select("text").toArrow().column("text").to_pylist()]
     return train_dictionary((np.append(x, np.uint32(end_id)) for x in encoder(path).encode(texts)), width)
 
 
@@ -134,7 +135,8 @@ def write_token_shards(df: DataFrame, out: str, end_id: int = 1, tokenizer: str
             yield packed()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frames = df.mapInArrow(compress, "doc_id long, n long, frame binary")
+    # written first: finding the ranges reads it, and must not encode everything once more
+    frames = written(df.mapInArrow(compress, "doc_id long, n long, frame binary"), "frames")
     ordered = frames.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.rand(7)).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     table = ordered.mapInArrow(shards, "part int, shard int, first_doc long, last_doc long, n_tokens long, data binary")
     table.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{out}/shards")
