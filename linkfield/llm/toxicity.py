@@ -104,7 +104,8 @@ def train(documents: DataFrame, labels: DataFrame, how: Settings = Settings(), m
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(w[kept], pa.float64())], names=["feature", "weight"])
 
-    return [(r.feature, r.weight) for r in rows.mapInArrow(fit, "feature int, weight double").collect()]
+    found = rows.mapInArrow(fit, "feature int, weight double").collect()
+    return [(r.feature, r.weight) for r in found] or [(0, -4.0)]  # no row may mean no task
 
 
 def held_out(id_col: str) -> Column:
