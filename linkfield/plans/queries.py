@@ -12,7 +12,7 @@ from ..operators.candidates import bare_domain_matches, candidate_uris, drop_bar
 from ..operators.dedupe import dedupe_qr, dedupe_text_spots
 from ..operators.detection import apply_ocr_engine, attach_page_size, ocr_tile_plan, ocr_words_to_chunks, pyramid_plan, qr_padded_box, to_points
 from ..operators.existing import existing_links, split_existing
-from ..operators.lines import PAGE, drop_blank_chunks, group_lines, line_spans, lines_of
+from ..operators.lines import PAGE, drop_blank_chunks, group_lines, lines_of
 from ..operators.report import compare_presets, document_summary, letter_findings, link_edges, ordered_results, overlay_percent, page_trace_counts, pages_with_findings
 from ..options import DEFAULT_SCALES, INTERACTIVE_SCALES
 from ..sources.files import classify_inputs, image_page_size, link_annotations, output_paths

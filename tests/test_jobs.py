@@ -185,6 +185,17 @@ def test_files(spark):
     assert got["/a.b/c.PNG"] == ("image", "/a.b/c-linked.pdf", 288.0) and got["x"][:2] == ("document", "x-linked.pdf") and got["/d/e.tar.gz"][1] == "/d/e.tar-linked.pdf"
 
 
+def test_paths_and_the_link_table(spark, tmp_path):
+    from linkfield.sources.files import read_contents, read_paths, write_links
+
+    (tmp_path / "a.png").write_bytes(b"abc")
+    assert [(r.length, r.path.endswith("a.png")) for r in read_paths(spark, str(tmp_path)).collect()] == [(3, True)]
+    assert bytes(read_contents(spark, str(tmp_path)).first().content) == b"abc"
+    links = jobs.scan_text(spark.createDataFrame([chunk("https://a.com")], CHUNKS), spark.createDataFrame([], ANNOTATIONS))
+    write_links(links, str(tmp_path / "links"))
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "links")).collect()] == ["linked"]
+
+
 def test_no_engine_no_words(spark):
     pages = spark.createDataFrame([(1, 1, 612.0, 792.0, 100, 120)], PAGES)
     assert apply_ocr_engine(ocr_tile_plan(pages), None).count() == 0
