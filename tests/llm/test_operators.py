@@ -132,6 +132,20 @@ def test_ngram_join(spark):
     assert jaccard_components(df.where("false")).count() == 0
 
 
+def test_ngram_join_with_common_shingles(spark):
+    """A large group of near copies: its shingles count as common, its cells come in parts."""
+    draw, base, texts = random.Random(8), words(70, 1).split(), {}
+    for k in range(300):
+        copy = list(base)
+        for _ in range(draw.randrange(12)):
+            copy[draw.randrange(70)] = f"e{draw.randrange(40)}"
+        texts[k] = " ".join(copy)
+    for k in range(40):
+        texts[400 + k] = " ".join(base[: 30 + k]) + " " + words(40 - k, k)
+    df = docs(spark, [(i, t, "s") for i, t in texts.items()]).repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == brute_components(texts)
+
+
 def test_tree_join_loses_nothing():
     draw = np.random.default_rng(0)
     base = draw.poisson(3, (30, 16))
