@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkfield.llm.common import new_path, small, table
+from linkfield.llm.common import new_path, small, table, written
 from linkfield.llm.line_dedup import drop_boilerplate_lines
 from linkfield.llm.mixing import mixed_documents
 from linkfield.llm.ngram_join import jaccard_components
@@ -30,7 +30,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect the one with the smallest id; documents without words stay."""
-    others = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    others = written(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "others")
     return docs.join(small(others, 32), "doc_id", "left_anti").select(*docs.columns)
 
 

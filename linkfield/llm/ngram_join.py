@@ -2,10 +2,10 @@
 
 Every document is a set of hashed shingles.  Its point counts the shingles in each of GROUPS hash groups; the sum of
 two points' coordinate minima bounds the overlap of their sets, and so does the sum over the upper corners of two
-boxes for all points inside.  Points are first dealt to cells: a document is in the cell of each shingle among its
-rarest quarter and one more (common shingles last, else by hash), and two documents that link share a cell.  In a
-cell the points are packed into an R-tree that is joined with itself; pairs under the bound are dropped, whole
-branches at a time, and the rest are verified on the whole sets.
+boxes for all points inside.  Points are first dealt to cells: in one order of all shingles, from the rarest to the
+most frequent, a document is in the cell of each shared shingle among its first quarter and one more, and two
+documents that link share a cell.  In a cell the points are packed into an R-tree that is joined with itself; pairs
+under the bound are dropped, whole branches at a time, and the rest are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ GROUPS = 128
 LEAF, BLOCK = 16, 1000
 #: Shingles counted at once to find common ones, the count there that makes one common, how many are noted at most
 #: (the most common; this fixes the order of shingles, never what is compared), parts of a common shingle's cell.
-COUNTED, COMMON, NOTED, PARTS = 2_000_000, 4, 200_000, 64
-#: Cell entries that a task gathers before it deals them out.
-GATHERED = 1_000_000
+#: Common shingles skip the counting by hash, where one of them could fill a task.
+COUNTED, COMMON, NOTED, PARTS = 1_000_000, 50, 200_000, 64
+#: Shingles that a task gathers before it deals them out; parts in which it counts a bucket (a power of two).
+GATHERED, SHARES = 1_000_000, 8
 
 
 def linked(inner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -92,51 +93,199 @@ def _common_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-def prefix(x: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first quarter and one more of a set in the order (common or not, hash), and how many of it aren't common."""
-    n = len(x) - -(-3 * len(x) // 4) + 1
-    at = np.minimum(np.searchsorted(common, x), max(len(common) - 1, 0))
-    is_common = common[at] == x if len(common) else np.zeros(len(x), bool)
-    rare = x[~is_common][:n]
-    return np.concatenate([rare, x[is_common][: n - len(rare)]]), len(rare)
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """A quarter of n and one more: sets that link share a shingle among so many of their first ones."""
+    return n - (3 * n + 3) // 4 + 1
+
+
+def _packed(h: np.ndarray) -> np.ndarray:
+    """The lowest 40 bits of each number, five bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view("u1").reshape(-1, 8)[:, :5])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), "u1")
+    out[:, :5] = np.frombuffer(raw, "u1").reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
+def _slices(bucket: np.ndarray):
+    """(bucket, from, to) of each run in sorted buckets."""
+    cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
+    if not len(cuts):
+        return iter(())
+    return zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True)
+
+
+_ENTRIES = (("bucket", pa.int32()), ("node", pa.binary()), ("n", pa.binary()), ("runs", pa.binary()), ("h", pa.binary()))
+_SHARED = (("bucket", pa.int32()), ("node", pa.binary()), ("n", pa.binary()), ("cell", pa.binary()), ("df", pa.binary()))
+_CELL_ENTRIES = (("bucket", pa.int32()), ("hot", pa.bool_()), ("h", pa.binary()), ("node", pa.binary()))
+
+
+def _schema(fields) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{n} {kinds[t]}" for n, t in fields)
+
+
+def _distinct_sets(batches, wanted):
+    """(node, size, some of the shingles) of the distinct sets that a task sees; wanted chooses from the sorted set."""
+    seen: set[int] = set()
+    for _, texts in text_slices(batches, "text", "text"):
+        for x in shingle_sets(texts):
+            if len(x) and (node := node_of(x)) not in seen:
+                seen.add(node)
+                yield node, len(x), wanted(x)
+
+
+def _is_common(x: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return np.zeros(len(x), bool)
+    return common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
 
 
 def _dealt(common, n_buckets: int):
-    fields = (("bucket", pa.int32()), ("hot", pa.bool_()), ("h", pa.binary()), ("node", pa.binary()))
+    """Every set's shingles but the common ones, dealt to buckets by hash: nodes, sizes and runs, five bytes each."""
+
+    def flushed(held):
+        node, n = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32)
+        h = np.concatenate([r[2] for r in held])
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(r[2]) for r in held])
+        bucket = (h % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 65536 else np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, h, owner = bucket[order], h[order] // np.uint64(n_buckets), owner[order]
+        rows = []
+        for k, a, b in _slices(bucket):
+            cuts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+            who = owner[a:b][cuts]
+            rows.append((k, node[who].tobytes(), n[who].tobytes(), np.diff(np.append(cuts, b - a)).astype(np.uint32).tobytes(), _packed(h[a:b]).tobytes()))
+        return _batch(zip(*rows, strict=True), _ENTRIES)
 
     def run(batches):
-        seen: set[int] = set()
-        held: dict[bool, list] = {False: [], True: []}
-        n_held = 0
+        shingles, held, n_held = common.value, [], 0
+        for entry in _distinct_sets(batches, lambda x: x[~_is_common(x, shingles)]):
+            held.append(entry)
+            n_held += len(entry[2])
+            if n_held >= GATHERED:
+                yield flushed(held)
+                held, n_held = [], 0
+        if n_held:
+            yield flushed(held)
+
+    return run
+
+
+def _to_nodes(node: np.ndarray, n: np.ndarray, cell: np.ndarray, df: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Shingles on their way back to their sets."""
+    bucket = (node.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
+    order = np.lexsort((node, bucket))
+    node, n, cell, df, bucket = (x[order] for x in (node, n, cell, df, bucket))
+    rows = [(k, node[a:b].tobytes(), n[a:b].astype(np.int32).tobytes(), cell[a:b].tobytes(), df[a:b].astype(np.uint32).tobytes()) for k, a, b in _slices(bucket)]
+    return _batch(zip(*rows, strict=True) if rows else [[]] * 5, _SHARED)
+
+
+def _common_of_sets(common, n_buckets: int):
+    """The common shingles of every set, straight to their sets: they count as the most frequent of all."""
+
+    def run(batches):
+        shingles, held, n_held = common.value, [], 0
 
         def flushed():
-            for hot, parts in held.items():
-                if not parts:
-                    continue
-                h = np.concatenate([x for x, _ in parts])
-                node = np.repeat(np.array([k for _, k in parts], np.int64), [len(x) for x, _ in parts])
-                salt = (node.view(np.uint64) % np.uint64(PARTS)) if hot else np.zeros(len(h), np.uint64)
-                bucket = (mix(h + salt) % np.uint64(n_buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                h, node, bucket = h[order], node[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = [*cuts[1:], len(bucket)]
-                yield _batch((bucket[cuts], [hot] * len(cuts), [h[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], [node[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]), fields)
-
-        shingles = common.value
-        for _, texts in text_slices(batches, "text", "text"):
-            for x in shingle_sets(texts):
-                if len(x) and (node := node_of(x)) not in seen:
-                    seen.add(node)
-                    first, n_rare = prefix(x, shingles)
-                    held[False].append((first[:n_rare], node))
-                    if n_rare < len(first):
-                        held[True].append((first[n_rare:], node))
-                    n_held += len(first)
-            if n_held >= GATHERED:
-                yield from flushed()
-                held, n_held = {False: [], True: []}, 0
-        yield from flushed()
+            sizes = [len(r[2]) for r in held]
+            cell = np.searchsorted(shingles, np.concatenate([r[2] for r in held])).astype(np.int64) + (1 << 62)
+            node, n = (np.repeat(np.array([r[k] for r in held], np.int64), sizes) for k in (0, 1))
+            return _to_nodes(node, n, cell, np.full(len(cell), 0xFFFFFFFF, np.uint32), n_buckets)
+
+        if len(shingles):
+            for entry in _distinct_sets(batches, lambda x: x[_is_common(x, shingles)]):
+                if len(entry[2]):
+                    held.append(entry)
+                    n_held += len(entry[2])
+                if n_held >= GATHERED:
+                    yield flushed()
+                    held, n_held = [], 0
+            if n_held:
+                yield flushed()
+
+    return run
+
+
+def _by_bucket(batches):
+    """(bucket, its rows) from rows in the order of buckets."""
+    bucket, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != bucket:
+                if rows:
+                    yield bucket, rows
+                bucket, rows = row[0], []
+            rows.append(row)
+    if rows:
+        yield bucket, rows
+
+
+def _joined(rows, k: int, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[k], kind) for r in rows])
+
+
+def _shared(n_buckets: int):
+    """Of each bucket the shingles that two sets or more have, with their number of sets."""
+
+    def shared_part(bucket, h, who, nodes, n):
+        order = np.lexsort((who, h))
+        h, who = h[order], who[order]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (who[1:] != who[:-1]))  # copies in other tasks
+        h, who = h[fresh], who[fresh]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        df = np.diff(np.append(starts, len(h)))
+        df = np.repeat(df, df)
+        kept = df > 1
+        cell = (h[kept] * np.uint64(n_buckets) + np.uint64(bucket)).view(np.int64)
+        return _to_nodes(nodes[who[kept]], n[who[kept]], cell, df[kept], n_buckets)
+
+    def run(batches):
+        for bucket, rows in _by_bucket(batches):
+            # nodes as places in a table, and one part of the hashes after another: little memory at a time
+            nodes, which = np.unique(_joined(rows, 1, np.int64), return_inverse=True)
+            n = np.zeros(len(nodes), np.int32)
+            n[which] = _joined(rows, 2, np.int32)
+            who = np.repeat(which.astype(np.int32), _joined(rows, 3, np.uint32))
+            h = np.concatenate([_unpacked(r[4]) for r in rows])
+            rows.clear()
+            for k in range(SHARES):
+                part = np.flatnonzero((h & np.uint64(SHARES - 1)) == np.uint64(k))
+                if len(part):
+                    yield shared_part(bucket, h[part], who[part], nodes, n)
+
+    return run
+
+
+def _prefixes(n_buckets: int):
+    """Of each set the shared shingles among its rarest quarter and one more, dealt to cells.
+
+    Shingles that no other set has come first in the order and are no cell, so most sets have none at all."""
+
+    def run(batches):
+        for _, rows in _by_bucket(batches):
+            node, n, cell, df = (_joined(rows, k, t) for k, t in ((1, np.int64), (2, np.int32), (3, np.int64), (4, np.uint32)))
+            rows.clear()
+            order = np.lexsort((cell, df, node))
+            node, n, cell = node[order], n[order].astype(np.int64), cell[order]
+            fresh = np.append(True, (node[1:] != node[:-1]) | (cell[1:] != cell[:-1]))
+            node, n, cell = node[fresh], n[fresh], cell[fresh]
+            starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            shared = np.diff(np.append(starts, len(node)))
+            wanted = prefix_length(n[starts]) - (n[starts] - shared)
+            kept = np.arange(len(node)) - np.repeat(starts, shared) < np.repeat(wanted, shared)
+            node, cell = node[kept], cell[kept]
+            hot = cell >= 1 << 62
+            salt = np.where(hot, node.view(np.uint64) % np.uint64(PARTS), np.uint64(0))
+            bucket = (mix(cell.view(np.uint64) + salt) % np.uint64(n_buckets)).astype(np.int32)
+            for h in (False, True):
+                which = np.flatnonzero(hot == h)
+                which = which[np.argsort(bucket[which], kind="stable")]
+                out = [(k, h, cell[which[a:b]].tobytes(), node[which[a:b]].tobytes()) for k, a, b in _slices(bucket[which])]
+                if out:
+                    yield _batch(zip(*out, strict=True), _CELL_ENTRIES)
 
     return run
 
@@ -178,14 +327,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if out:
                 yield _batch(zip(*out, strict=True), fields)
 
-    bucket, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != bucket:
-                yield from blocks(rows)
-                bucket, rows = row[0], []
-            rows.append(row)
-    yield from blocks(rows)
+    for _, rows in _by_bucket(batches):
+        yield from blocks(rows)
 
 
 class RTree:
@@ -322,8 +465,7 @@ def _needed_filter(nodes: DataFrame) -> np.ndarray:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole sets link.  Sets travel as the 40 upper bits of their shingles' hashes."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = written(nodes, "needed")
+    nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "needed")
     words = docs.sparkSession.sparkContext.broadcast(_needed_filter(nodes))
     fields = (("node", pa.int64()), ("shingles", pa.binary()))
 
@@ -337,8 +479,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     seen.add(node)
                     low = node & (len(bits) * 64 - 1)
                     if int(bits[low >> 6]) >> (low & 63) & 1:
-                        packed = np.ascontiguousarray((x >> np.uint64(24)).astype("<u8").view("u1").reshape(-1, 8)[:, :5])
-                        out.append((node, packed.tobytes()))
+                        out.append((node, _packed(x >> np.uint64(24)).tobytes()))
             if out:
                 yield _batch(zip(*out, strict=True), fields)
 
@@ -361,12 +502,6 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), "u1")
-    out[:, :5] = np.frombuffer(raw, "u1").reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
-
-
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id.
 
@@ -385,11 +520,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points = written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("text").mapInArrow(_dealt(common, 4 * n), "bucket int, hot boolean, h binary, node binary")
-    cells = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_cells, "cell long, block int, hot boolean, nodes array<long>")
+    at = lambda rows: rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+    texts = docs.select("text")
+    shared = at(texts.mapInArrow(_dealt(common, n), _schema(_ENTRIES))).mapInArrow(_shared(n), _schema(_SHARED))
+    shared = shared.unionByName(texts.mapInArrow(_common_of_sets(common, n), _schema(_SHARED)))
+    entries = at(shared).mapInArrow(_prefixes(n), _schema(_CELL_ENTRIES))
+    cells = at(entries).mapInArrow(_cells, "cell long, block int, hot boolean, nodes array<long>")
     cells = written(cells, "cells")
-    once = cells.where("not hot").groupBy(F.xxhash64("nodes").alias("cell")).agg(F.lit(0).alias("block"), F.first("nodes").alias("nodes"))
-    blocks = written(once.select("cell", "block", "nodes").unionByName(cells.where("hot").select("cell", "block", "nodes")), "blocks")
+    # parts of large cells meet again in as few blocks as their size asks for
+    large = cells.where("hot").select("cell", F.explode("nodes").alias("node"))
+    sizes = large.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"), F.count("*").alias("m")).where("m > 1").drop("m")
+    large = large.join(sizes, "cell").groupBy("cell", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block")).agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    every = cells.where("not hot").select("cell", F.lit(1).alias("k"), F.lit(0).alias("block"), "nodes").unionByName(large)
+    # of cells with the same nodes one is enough
+    once = every.where("k = 1").groupBy(F.xxhash64("nodes").alias("cell")).agg(F.lit(0).alias("block"), F.first("nodes").alias("nodes"))
+    blocks = written(once.unionByName(every.where("k > 1").select("cell", "block", "nodes")), "blocks")
 
     node_points = points.select("node", "n", "point")
     members = blocks.select(F.xxhash64("cell", "block").alias("key"), F.lit(0).alias("side"), F.explode("nodes").alias("node")).withColumn("label", F.col("node"))
