@@ -21,7 +21,8 @@ from .components import components
 from .hashing import mix, shingle_sets
 from .tokens import text_slices
 
-GROUPS = 128
+#: Groups of small sets, and how often their number doubles for large ones at most.
+GROUPS, FINER = 128, 6
 #: Points in a leaf, and nodes in one block of a cell: larger cells are joined block by block.
 LEAF, BLOCK = 16, 1000
 #: Shingles counted at once to find common ones, the count there that makes one common, how many are noted at most
@@ -44,7 +45,42 @@ def node_of(x: np.ndarray) -> int:
 
 
 def point_of(x: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((x >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype("<u2").tobytes()
+    """Counts of shingles by the upper bits of their hashes, a byte each; 255 stands for any number.
+
+    Larger sets have more groups, about one for four shingles: with few, the counts of any two large sets are alike."""
+    bits = GROUPS.bit_length() - 1 + max(0, min(FINER, (len(x) // (4 * GROUPS)).bit_length()))
+    return np.minimum(np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype("u1").tobytes()
+
+
+def _folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of counts, neighbouring groups summed up to the given number of groups; 65535 stands for any number."""
+    parts = points.reshape(len(points), groups, -1)
+    return np.where((parts == 255).any(axis=2), 65535, parts.sum(axis=2, dtype=np.int64)).astype(np.uint16)
+
+
+def _points(raw: list[bytes], groups: int) -> np.ndarray:
+    """Points as bytes, folded to one number of groups."""
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    out = np.zeros((len(raw), groups), np.uint16)
+    for n in np.unique(sizes).tolist():
+        which = np.flatnonzero(sizes == n)
+        out[which] = _folded(np.frombuffer(b"".join(raw[k] for k in which.tolist()), "u1").reshape(len(which), n), groups)
+    return out
+
+
+def _finer(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs pass the bound by all groups that both points have."""
+    groups = np.minimum([len(left[k]) for k in i.tolist()], [len(right[k]) for k in j.tolist()]) if len(i) else np.zeros(0, np.int64)
+    ok = np.ones(len(i), bool)
+    for g in np.unique(groups[groups > GROUPS]).tolist():
+        pairs = np.flatnonzero(groups == g)
+        (a, at), (b, bt) = (np.unique(x[pairs], return_inverse=True) for x in (i, j))
+        p, q = _points([left[k] for k in a.tolist()], g), _points([right[k] for k in b.tolist()], g)
+        step = max(1, (1 << 21) // g)
+        for s in range(0, len(pairs), step):
+            part = pairs[s : s + step]
+            ok[part] = linked(_overlap(p[at[s : s + step]], q[bt[s : s + step]]), sizes[part])
+    return ok
 
 
 def _batch(columns, fields) -> pa.RecordBatch:
@@ -240,7 +276,7 @@ def _shared(n_buckets: int):
         df = np.repeat(df, df)
         kept = df > 1
         cell = (h[kept] * np.uint64(n_buckets) + np.uint64(bucket)).view(np.int64)
-        return _to_nodes(nodes[who[kept]], n[who[kept]], cell, df[kept], n_buckets)
+        return nodes[who[kept]], n[who[kept]], cell, df[kept].astype(np.uint32)
 
     def run(batches):
         for bucket, rows in _by_bucket(batches):
@@ -251,10 +287,13 @@ def _shared(n_buckets: int):
             who = np.repeat(which.astype(np.int32), _joined(rows, 3, np.uint32))
             h = np.concatenate([_unpacked(r[4]) for r in rows])
             rows.clear()
+            found = []
             for k in range(SHARES):
                 part = np.flatnonzero((h & np.uint64(SHARES - 1)) == np.uint64(k))
                 if len(part):
-                    yield shared_part(bucket, h[part], who[part], nodes, n)
+                    found.append(shared_part(bucket, h[part], who[part], nodes, n))
+            if found:
+                yield _to_nodes(*(np.concatenate(x) for x in zip(*found, strict=True)), n_buckets)
 
     return run
 
@@ -402,16 +441,16 @@ def _tree_join(first: bool):
     fields = (("a", pa.int64()), ("b", pa.int64()))
 
     def pairs(rows):
-        key, side, node, label, n, point = rows
-        trees = [(RTree(point[side == s], n[side == s]), node[side == s], label[side == s]) for s in np.unique(side)]
-        if not trees:
-            return
-        (t, nodes, labels), (u, other, marks) = trees[0], trees[-1]
-        if len(labels) + len(marks) and not first and (labels == marks[0]).all() and (marks == labels[0]).all():
+        _, side, node, label, n, raw = rows
+        sides = [side == s for s in np.unique(side)]
+        trees = [(RTree(_points(list(raw[s]), GROUPS), n[s]), node[s], label[s], raw[s], n[s]) for s in sides]
+        (t, nodes, labels, left, size), (u, other, marks, right, size_of) = trees[0], trees[-1]
+        if not first and (labels == marks[0]).all() and (marks == labels[0]).all():
             return
         i, j = t.join(u)
         a, b = np.minimum(nodes[i], other[j]), np.maximum(nodes[i], other[j])
-        kept = (labels[i] != marks[j]) if not first else a != b
+        kept = np.flatnonzero((labels[i] != marks[j]) if not first else a != b)
+        kept = kept[_finer(left, right, i[kept], j[kept], size[i[kept]] + size_of[j[kept]])]
         a, b = a[kept], b[kept]
         if first and len(a):
             order = np.lexsort((a, b))
@@ -425,9 +464,7 @@ def _tree_join(first: bool):
         rest, out, n_out = None, [], 0
         for batch in batches:
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            raw = batch.column(5)
-            points = np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, GROUPS) if len(raw) else np.zeros((0, GROUPS), "<u2")
-            rows = [*cols, points]
+            rows = [*cols, np.array([*batch.column(5).to_pylist(), None], object)[:-1]]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             cuts = np.flatnonzero(np.diff(rows[0])) + 1
