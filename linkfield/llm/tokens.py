@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-#: Characters of text that are handled at once; distinct chunks and words that a worker remembers.
-SLICE_CHARS, CHUNKS, WORDS = 1 << 20, 300_000, 600_000
+#: Characters of text that are handled at once; distinct chunks that a worker remembers, and twice as many words.
+SLICE_CHARS, CHUNKS = 1 << 20, 300_000
 
 
 _MARKS = frozenset(".,;:!?")
@@ -38,11 +38,11 @@ class ChunkEncoder:
     encoded many at once and told apart by the ids that end a word; whatever else there is, by the end token.
     """
 
-    def __init__(self, path: str, end: str = "<|endoftext|>"):
+    def __init__(self, path: str, end: str = "<|endoftext|>", chunks: int = CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.tokenizer, self.end, self.chunks = Tokenizer.from_file(path), end, chunks
         self.end_id = self.tokenizer.token_to_id(end)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -87,7 +87,7 @@ class ChunkEncoder:
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
         known, parts = len(self.codes) - len(new), [self._split(c) for c in new]
-        if len(self.words) > WORDS:
+        if len(self.words) > 2 * self.chunks:
             self.words = {}
         self._encode_words([w for w in dict.fromkeys(x for p in parts for x in p) if w not in self.words])
         got = [self.words[w] + self.words[mark] for w, mark in parts]
@@ -102,7 +102,7 @@ class ChunkEncoder:
         self.used += int(lengths.sum())
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if len(self.codes) > CHUNKS:
+        if len(self.codes) > self.chunks:
             self._forget()
         chunks, counts = [], []
         for t in texts:
@@ -131,14 +131,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -
             a = b
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One per Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, chunks: int = CHUNKS) -> ChunkEncoder:
+    """One per Python worker, vocabulary and memory."""
+    if (path, chunks) not in _encoders:
+        _encoders[path, chunks] = ChunkEncoder(path, chunks=chunks)
+    return _encoders[path, chunks]
 
 
 def tokenizer_path(path: str | None) -> str:
