@@ -16,6 +16,11 @@ from linkfield.llm.packing import pack_documents
 from linkfield.llm.toxicity import drop_toxic, held_out, train
 
 
+#: A line in more than this share of its source's pages (and in 3 pages) goes; the README has what it catches.
+#: op9_line_dedup keeps the ratio that its SQL states.
+BOILERPLATE_RATIO = 0.01
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold; the fit sees the labels that aren't held out."""
     weights = train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
@@ -24,7 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; n_chars follows the text."""
-    cleaned = drop_boilerplate_lines(docs)
+    cleaned = drop_boilerplate_lines(docs, max_ratio=BOILERPLATE_RATIO)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
