@@ -15,8 +15,8 @@ from .tokens import encoder, text_slices, tokenizer_path
 #: Distinct chunks of text that a worker remembers while it encodes: packing ends the pipeline, on executors whose
 #: memory other stages have used.
 CHUNKS = 120_000
-#: Pieces in one group of the first round (on average), and groups that meet in one of the next round.
-GROUP_PIECES, FAN_IN = 20_000, 64
+#: Pieces in one group of any round (on average), and rounds at most.
+GROUP_PIECES, ROUNDS = 20_000, 6
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, open boolean"
@@ -145,23 +145,27 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIEC
     """pieces (PIECES) with sequence_id and offset.
 
     Pieces are dealt at random to groups of about group_pieces and packed there; what ends up in sequences that are
-    less than nine tenths full is packed again, FAN_IN groups together, until one group is left.  Equal rows (copies
-    of a document) are dealt apart by their place in the written table.
+    less than nine tenths full is counted, dealt anew and packed again in groups of that size.  Every group is final
+    when one group takes the rest, when a round has left more than nine tenths of its pieces, or after ROUNDS rounds;
+    so no task holds more than about group_pieces.  Equal rows (copies of a document) are dealt apart by their place
+    in the written table.
     """
-    pieces = written(pieces, "pieces").withColumn("salt", F.monotonically_increasing_id())
-    n_groups = max(1, -(-pieces.count() // group_pieces))
-    left, done, level = pieces, None, 0
+    left = written(pieces, "pieces").withColumn("salt", F.monotonically_increasing_id())
+    n, done, level, last = left.count(), None, 0, False
     while True:
-        last = n_groups == 1
-
-        group = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(n_groups))
+        n_groups = max(1, -(-n // group_pieces))
+        last = last or n_groups == 1 or level == ROUNDS - 1
+        group = F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "salt"), F.lit(n_groups))
         placed = written(left.withColumn("group", group).groupBy("group").applyInPandas(_placer(capacity, level, last), PLACED), "placed")
         kept = placed.where("not open").drop("open", "salt")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
         left = placed.where("open").drop("open", "sequence_id", "offset")
-        n_groups, level = -(-n_groups // FAN_IN), level + 1
+        before, n, level = n, left.count(), level + 1
+        if not n:
+            return done
+        last = 10 * n > 9 * before
 
 
 def pack_documents(df: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, **columns) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from linkfield.llm import packing
 
 
 def test_boilerplate_in_small_and_large_sites(spark):
@@ -12,3 +13,34 @@ def test_boilerplate_in_small_and_large_sites(spark):
     got = corpus_pipeline.without_boilerplate(spark, docs, "")
     assert got.count() == 1580 and got.where("text like '%footer%'").count() == 0  # 3 % and 3.75 %
     assert got.where("text like '%quoted%'").groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect() == [("large", 5), ("small", 2)]
+
+
+def pieces(spark, n, length):
+    zero = F.lit(0).cast("long")
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), zero.alias("start"), length.cast("long").alias("length"), zero.alias("ids_crc32"))
+
+
+def test_pieces_that_share_no_sequence_stay_in_bounded_groups(spark, tmp_path, monkeypatch):
+    real, log = packing.pack, str(tmp_path / "sizes")
+
+    def counted(lengths, capacity):
+        with open(log, "a") as f:
+            f.write(f"{len(lengths)}\n")
+        return real(lengths, capacity)
+
+    placer = packing._placer
+
+    def placing(*args):
+        run = placer(*args)
+
+        def place(key, rows):
+            run.__globals__["pack"] = counted
+            return run(key, rows)
+
+        return place
+
+    monkeypatch.setattr(packing, "_placer", placing)
+    got = packing.pack_pieces(pieces(spark, 4000, F.lit(60)), 100, group_pieces=200).select("sequence_id").collect()
+    sizes = [int(x) for x in open(log)]
+    assert len(got) == len({r.sequence_id for r in got}) == 4000
+    assert sum(sizes) >= 4000 and max(sizes) < 400
