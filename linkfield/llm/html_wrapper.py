@@ -9,9 +9,11 @@ paths hold the article, and every page is read along those paths.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import BROADCAST_BYTES, written
 from .url_filter import host_and_path
 
-#: Levels of tags that are told apart, parts of a sequence before classes are ignored, hosts that a task gathers
+#: Levels of tags that wrappers tell apart, parts of a sequence before classes are ignored, hosts that a task gathers
 #: before it passes them on, parts in which a host's wrappers are aligned first.
 DEPTH, PARTS, HOSTS, SALTS = 40, 48, 2000, 16
 
@@ -56,10 +58,12 @@ def parse(page: str) -> Node:
     """The page's tree; markup that isn't closed, or closed twice, is read as browsers do for the common cases."""
     root = Node("#")
     stack, at, skip = [root], 0, ""
+    opened: Counter[str] = Counter()
 
     def close(tag: str, unless: tuple = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
             if stack[k].tag == tag:
+                opened.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in unless:
@@ -89,11 +93,12 @@ def parse(page: str) -> Node:
         if tag in ITEMS:
             for x in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 close(x, ITEMS[tag])
-        name = " ".join(v for _, *vs in ATTRIBUTE.findall(m[3]) for v in vs if v) if m[3] else ""
+        name = " ".join(" ".join(v for _, *vs in ATTRIBUTE.findall(m[3]) for v in vs if v).split()) if m[3] else ""
         node = Node(tag, name)
         stack[-1].children.append(node)
-        if tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
+        if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     if not skip and at < len(page):
         stack[-1].children.append(page[at:])
     return root
@@ -109,11 +114,23 @@ def outside(node: Node) -> bool:
     return node.tag in NOT_ARTICLE or (node.tag not in ("html", "body", "article", "main") and bool(node.name) and bool(NOT_ARTICLE_NAME.search(node.name))) or (node.tag == "article" and bool(node.name) and "comment" in node.name.lower())
 
 
-def pattern(node: Node, in_link: bool = False) -> list:
+def pattern(node: Node, in_link: bool = False, level: int = 0) -> list:
+    """A page's wrapper; below DEPTH levels the text counts, but parts aren't told apart."""
     in_link = in_link or node.tag == "a"
     text = " ".join(" ".join(x.split()) for x in node.children if isinstance(x, str)).strip()
-    kids = [pattern(x, in_link) for x in node.children if isinstance(x, Node) and x.tag != "br"]
-    out = [node.label, node.tag, int(outside(node)), 1, len(text), len(text) if in_link else 0, text[:200], 0, 0, folded(kids)]
+    chars, linked, kids = len(text), len(text) if in_link else 0, []
+    if level < DEPTH:
+        kids = [pattern(x, in_link, level + 1) for x in node.children if isinstance(x, Node) and x.tag != "br"]
+    else:
+        below = [(x, in_link) for x in node.children if isinstance(x, Node)]
+        while below:
+            x, link = below.pop()
+            link = link or x.tag == "a"
+            if not outside(x):
+                n = sum(len(" ".join(c.split())) for c in x.children if isinstance(c, str))
+                chars, linked = chars + n, linked + n * link
+                below += [(c, link) for c in x.children if isinstance(c, Node)]
+    out = [node.label, node.tag, int(outside(node)), 1, chars, linked, text[:200], 0, 0, folded(kids)]
     out[LINKED] += sum(k[LINKED] for k in out[KIDS])
     return out
 
@@ -144,6 +161,8 @@ def sequence(xs: list, ys: list, same_page: bool) -> list:
     """Two sequences of parts along their longest common subsequence of labels; the rest is optional."""
     if [x[LABEL] for x in xs] == [y[LABEL] for y in ys]:
         return [aligned(x, y, same_page) for x, y in zip(xs, ys, strict=True)]
+    if any(x[LABEL] == any_name(x[TAG], x[OUT]) for x in (*xs, *ys)):
+        return collapsed([*xs, *ys], same_page)
     n, m = len(xs), len(ys)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -163,14 +182,23 @@ def sequence(xs: list, ys: list, same_page: bool) -> list:
         part[OPTIONAL] = 1
         out.append(part)
     out = folded(out)
-    if len(out) > PARTS:  # names that change from page to page: tell parts apart by tag, in one part each
-        by_tag: dict[str, list] = {}
-        for p in out:
-            p = [p[TAG], *p[1:]]
-            by_tag[p[TAG]] = aligned(by_tag[p[TAG]], p, same_page) if p[TAG] in by_tag else p
-            by_tag[p[TAG]][OPTIONAL] = by_tag[p[TAG]][REPEATED] = 1
-        out = list(by_tag.values())
-    return out
+    return collapsed(out, same_page) if len(out) > PARTS else out
+
+
+def any_name(tag: str, out: int) -> str:
+    """The label of a collapsed part."""
+    return f"{tag}.!" if out else f"{tag}.*"
+
+
+def collapsed(parts: list, same_page: bool) -> list:
+    """Parts whose names change from page to page, told apart by tag and by whether they are set apart."""
+    by_label: dict[str, list] = {}
+    for p in parts:
+        label = any_name(p[TAG], p[OUT])
+        p = [label, *p[1:]]
+        by_label[label] = aligned(by_label[label], p, same_page) if label in by_label else p
+        by_label[label][OPTIONAL] = by_label[label][REPEATED] = 1
+    return list(by_label.values())
 
 
 def article_paths(wrapper: list) -> list[str]:
@@ -206,37 +234,56 @@ def article_paths(wrapper: list) -> list[str]:
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def article_text(page: str, paths: frozenset) -> str:
-    """Blocks of the page's article, in order, joined by line feeds.  A page that none of paths leads into is read as
-    a whole; either way without what tags or names set apart.  Of a header inside the article its headings stay."""
-    root = parse(page)
-    blocks: list[list[str]] = [[]]
-    hit = False
+@functools.lru_cache(4096)
+def ways(paths: frozenset) -> frozenset:
+    """The paths and all that lead to them."""
+    out: set[str] = set()
+    for p in paths:
+        while p and p not in out:
+            out.add(p)
+            p = p.rpartition("/")[0]
+    return frozenset(out)
 
-    def walk(node: Node, path: str, inside: bool, heading: bool) -> None:
-        for x in node.children:
+
+def blocks_of(root: Node, paths: frozenset, inside: bool) -> tuple[list[list[str]], bool]:
+    """The blocks of text below paths (of everything, if inside), and whether any path was met.  A label of the page
+    goes along a path as itself or as a collapsed part."""
+    known, hit = ways(paths), inside or root.label in paths
+    blocks: list[list[str]] = [[]]
+    stack = [(iter(root.children), (root.label,), hit, True, False)]
+    while stack:
+        children, at, inside, heading, edge = stack[-1]
+        for x in children:
             if isinstance(x, str):
                 if inside and heading:
                     blocks[-1].append(x)
                 continue
-            if outside(x):
+            apart = outside(x)
+            if apart:
                 blocks.append([])
                 continue
             if x.tag in BLOCK:
                 blocks.append([])
-            below = f"{path}/{x.label}"
-            nonlocal hit
-            if below in paths:
-                hit = True
+            below = tuple(q for p in at for q in (f"{p}/{x.label}", f"{p}/{any_name(x.tag, apart)}") if q in known)
+            met = any(q in paths for q in below)
+            hit = hit or met
             only = False if x.tag == "header" else heading or x.tag in HEADINGS
-            walk(x, below, inside or below in paths, only)
-            if x.tag in BLOCK:
+            stack.append((iter(x.children), below, inside or met, only, x.tag in BLOCK))
+            break
+        else:
+            stack.pop()
+            if edge:
                 blocks.append([])
+    return blocks, hit
+
 
-    walk(root, root.label, root.label in paths, True)
-    if not hit and root.label not in paths:
-        blocks[:] = [[]]
-        walk(root, root.label, True, True)
+def article_text(page: str, paths: frozenset) -> str:
+    """Blocks of the page's article, in order, joined by line feeds.  A page that none of paths leads into is read as
+    a whole; either way without what tags or names set apart.  Of a header inside the article its headings stay."""
+    root = parse(page)
+    blocks, hit = blocks_of(root, paths, False)
+    if not hit:
+        blocks, _ = blocks_of(root, paths, True)
     lines = (" ".join(html_lib.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 

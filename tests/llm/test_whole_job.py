@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkfield.llm import packing
+from linkfield.llm.html_wrapper import aligned, article_paths, article_text, parse, pattern
 
 
 def test_boilerplate_in_small_and_large_sites(spark):
@@ -44,3 +45,26 @@ def test_pieces_that_share_no_sequence_stay_in_bounded_groups(spark, tmp_path, m
     sizes = [int(x) for x in open(log)]
     assert len(got) == len({r.sequence_id for r in got}) == 4000
     assert sum(sizes) >= 4000 and max(sizes) < 400
+
+
+def extracted(pages):
+    wrapper = pattern(parse(pages[0]))
+    for p in pages[1:]:
+        wrapper = aligned(wrapper, pattern(parse(p)))
+    return [article_text(p, frozenset(article_paths(wrapper))) for p in pages]
+
+
+def slug(i):
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def test_names_that_change_beyond_the_parts_of_a_sequence():
+    page = "<body><div class='box-{0}'><article class='post x-{0}'><p>text {0}</p></article></div><div class='extra-{0}'>other</div><div class=promo>promo</div></body>"
+    for n in (3, 120):
+        assert extracted([page.format(slug(i)) for i in range(n)]) == [f"text {slug(i)}" for i in range(n)]
+
+
+def test_end_tags_match_beyond_the_depth_of_wrappers():
+    deep = "<div>" * 60 + "<p>deep</p>" + "</div>" * 60
+    assert extracted([f"<body><article>{deep}<div class=nav>n</div><p>after</p></article><div>other</div></body>"] * 2) == ["deep\nafter"] * 2
+    assert extracted(["<body><article>" + "<div>" * 60 + "<p>a</p><nav>n</nav>" + "</div>" * 60 + "</article></body>"]) == ["a"]
