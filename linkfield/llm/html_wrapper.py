@@ -35,13 +35,15 @@ BLOCK = frozenset("address article aside blockquote body br center dd details di
 CLOSES_P = BLOCK - {"br", "html", "head", "body"}
 ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-NOT_ARTICLE = frozenset("nav footer aside form dialog menu button head".split())
-NOT_ARTICLE_NAME = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|alert|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumbs?"
-    r"|footer|header|masthead|topbar|toolbar|comments?|commentlist|respond|reply|replies|disqus|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|searchbox|widget|pagination|pager"
-    r"|contentinfo|complementary|skip|tags|copyright)(?:$|[-_\s])",
-    re.I,
+NEVER_ARTICLE = frozenset("nav footer aside menu button head".split())
+NOT_ARTICLE = NEVER_ARTICLE | {"form", "dialog"}
+NOT_ARTICLE_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay alert sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs"
+    " footer header masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended newsletter subscribe signup login search searchbox widget pagination pager"
+    " contentinfo complementary skip tags copyright".split()
 )
+#: What may stand beside those words in one name; any other word makes it another name (has-sidebar, category-social).
+PLACES = frozenset("left right top bottom upper lower inner outer main site page global primary secondary box area wrapper wrap container list section block bar slot unit links link post entry article blog".split())
 ARTICLE_NAME = re.compile(r"(?:^|[-_\s])(?:article|story|post|entry|content|main|body|text|prose)(?:$|[-_\s])", re.I)
 
 
@@ -109,9 +111,19 @@ def parse(page: str) -> Node:
 LABEL, TAG, OUT, PAGES, CHARS, LINKED, TEXT, OPTIONAL, REPEATED, KIDS = range(10)
 
 
+@functools.lru_cache(100_000)
+def set_apart(names: str) -> bool:
+    """Whether one of the names is made of words for what isn't an article, numbers and places alone."""
+    for name in names.lower().split():
+        words = {w for w in re.split(r"[-_0-9]+", name) if w}
+        if words & NOT_ARTICLE_WORDS and words <= NOT_ARTICLE_WORDS | PLACES:
+            return True
+    return False
+
+
 def outside(node: Node) -> bool:
     """Whether a node's tag or names say that it isn't part of an article."""
-    return node.tag in NOT_ARTICLE or (node.tag not in ("html", "body", "article", "main") and bool(node.name) and bool(NOT_ARTICLE_NAME.search(node.name))) or (node.tag == "article" and bool(node.name) and "comment" in node.name.lower())
+    return node.tag in NOT_ARTICLE or (node.tag not in ("html", "body", "article", "main") and bool(node.name) and set_apart(node.name)) or (node.tag == "article" and bool(node.name) and "comment" in node.name.lower())
 
 
 def pattern(node: Node, in_link: bool = False, level: int = 0) -> list:
@@ -201,36 +213,85 @@ def collapsed(parts: list, same_page: bool) -> list:
     return list(by_label.values())
 
 
-def article_paths(wrapper: list) -> list[str]:
-    """The paths of labels that hold a host's article: article or main elements where there are any, else the deepest
-    part that still holds four fifths of the text that isn't linked or set apart by tag or name."""
-    found: list[str] = []
+def mass(part: list, every: bool = False) -> int:
+    """Characters that aren't linked, without what is set apart (with it, if every)."""
+    if part[OUT] and not every:
+        return 0
+    return part[CHARS] - part[LINKED] + sum(k[LINKED] + mass(k, every) for k in part[KIDS])
+
+
+def linked(part: list) -> int:
+    return 0 if part[OUT] else part[LINKED] - sum(k[LINKED] - linked(k) for k in part[KIDS])
+
 
-    def seek(part: list, path: str, tags: tuple) -> None:
+def release(part: list, path: str, held: list[str]) -> None:
+    """Takes parts back that names, form or dialog set apart but that have more than half of the part's text."""
+    total = mass(part, True)
+    while 2 * mass(part) < total:
+        heavy = [k for k in part[KIDS] if 2 * mass(k, True) > total and k[TAG] not in NEVER_ARTICLE]
+        if not heavy:
+            return
+        part, path = heavy[0], f"{path}/{heavy[0][LABEL]}"
         if part[OUT]:
+            part[OUT] = 0
+            held.append(path)
+
+
+def article_and_held(wrapper: list) -> tuple[list[str], list[str]]:
+    """The paths of labels that hold a host's article, and paths that tags or names set apart though they hold it or
+    most of the text.
+
+    Article or main elements where there are any (set apart only if there are no others, and with half of the text),
+    else the deepest part that still has four fifths of the text that isn't linked or set apart, and along the way to
+    it all parts with text that isn't mostly links.  Changes wrapper.
+    """
+    found: list[tuple[str, list, list]] = []
+
+    def seek(part: list, path: str, tags: tuple, above: list, every: bool) -> None:
+        if part[OUT] and not every:
             return
-        if part[TAG] in tags:
-            found.append(path)
+        above = [*above, (path, part)] if part[OUT] else above
+        if part[TAG] in tags and not (part[OUT] and part[TAG] == "article"):
+            found.append((path, part, above))
             return
         for k in part[KIDS]:
-            seek(k, f"{path}/{k[LABEL]}", tags)
-
-    def mass(part: list) -> int:
-        return 0 if part[OUT] else max(0, part[CHARS] - part[LINKED]) + sum(map(mass, part[KIDS]))
-
-    for tags in (("article",), ("main",)):
-        seek(wrapper, wrapper[LABEL], tags)
-        if found:
-            return sorted(set(found))
+            seek(k, f"{path}/{k[LABEL]}", tags, above, every)
+
+    held: list[str] = []
+    for every in (False, True):
+        for tags in (("article",), ("main",)):
+            found.clear()
+            seek(wrapper, wrapper[LABEL], tags, [], every)
+            if not found or every and 2 * sum(mass(p, True) for _, p, _ in found) < mass(wrapper, True):
+                continue
+            for path, part, above in found:
+                for p, outer in above:
+                    outer[OUT] = 0
+                    held.append(p)
+                release(part, path, held)
+            return sorted({p for p, _, _ in found}), sorted(set(held))
     part, path = wrapper, wrapper[LABEL]
+    release(part, path, held)
+    beside: list[str] = []
     while True:
         named = [k for k in part[KIDS] if not k[OUT] and ARTICLE_NAME.search(k[LABEL]) and 2 * mass(k) >= mass(part)]
         heavy = named or [k for k in part[KIDS] if not k[OUT] and 5 * mass(k) >= 4 * mass(part) > 0]
-        if len(heavy) != 1 or heavy[0][TAG] in ("p", "b", "i", "em", "strong", "span", "a", "h1"):
-            return [path]
+        if len(heavy) != 1 or part[CHARS] or heavy[0][TAG] in ("p", "b", "i", "em", "strong", "span", "a", "h1"):
+            return sorted({path, *beside}), sorted(set(held))
+        beside += [f"{path}/{k[LABEL]}" for k in part[KIDS] if k is not heavy[0] and mass(k) > linked(k)]
         part, path = heavy[0], f"{path}/{heavy[0][LABEL]}"
 
 
+def article_paths(wrapper: list) -> list[str]:
+    return article_and_held(wrapper)[0]
+
+
+def host_paths(wrapper: list) -> list[str]:
+    """The article's paths, and those held with a + before."""
+    paths, held = article_and_held(wrapper)
+    return [*paths, *(f"+{p}" for p in held)]
+
+
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -239,6 +300,7 @@ def ways(paths: frozenset) -> frozenset:
     """The paths and all that lead to them."""
     out: set[str] = set()
     for p in paths:
+        p = p.removeprefix("+")
         while p and p not in out:
             out.add(p)
             p = p.rpartition("/")[0]
@@ -259,16 +321,16 @@ def blocks_of(root: Node, paths: frozenset, inside: bool) -> tuple[list[list[str
                     blocks[-1].append(x)
                 continue
             apart = outside(x)
-            if apart:
+            below = tuple(q for p in at for q in (f"{p}/{x.label}", f"{p}/{any_name(x.tag, apart)}") if q in known)
+            if apart and not any(f"+{q}" in paths for q in below):
                 blocks.append([])
                 continue
-            if x.tag in BLOCK:
+            if apart or x.tag in BLOCK:
                 blocks.append([])
-            below = tuple(q for p in at for q in (f"{p}/{x.label}", f"{p}/{any_name(x.tag, apart)}") if q in known)
             met = any(q in paths for q in below)
             hit = hit or met
             only = False if x.tag == "header" else heading or x.tag in HEADINGS
-            stack.append((iter(x.children), below, inside or met, only, x.tag in BLOCK))
+            stack.append((iter(x.children), below, inside or met, only, apart or x.tag in BLOCK))
             break
         else:
             stack.pop()
@@ -283,7 +345,7 @@ def article_text(page: str, paths: frozenset) -> str:
     root = parse(page)
     blocks, hit = blocks_of(root, paths, False)
     if not hit:
-        blocks, _ = blocks_of(root, paths, True)
+        blocks, _ = blocks_of(root, frozenset(p for p in host_paths(pattern(root)) if p[0] == "+"), True)
     lines = (" ".join(html_lib.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
@@ -318,7 +380,7 @@ def _merged(table: pa.Table) -> pa.Table:
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = ["\n".join(article_paths(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
+        found = ["\n".join(host_paths(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "paths"])
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkfield.llm import packing
-from linkfield.llm.html_wrapper import aligned, article_paths, article_text, parse, pattern
+from linkfield.llm.html_wrapper import aligned, article_text, host_paths, outside, parse, pattern
 
 
 def test_boilerplate_in_small_and_large_sites(spark):
@@ -51,7 +51,7 @@ def extracted(pages):
     wrapper = pattern(parse(pages[0]))
     for p in pages[1:]:
         wrapper = aligned(wrapper, pattern(parse(p)))
-    return [article_text(p, frozenset(article_paths(wrapper))) for p in pages]
+    return [article_text(p, frozenset(host_paths(wrapper))) for p in pages]
 
 
 def slug(i):
@@ -68,3 +68,17 @@ def test_end_tags_match_beyond_the_depth_of_wrappers():
     deep = "<div>" * 60 + "<p>deep</p>" + "</div>" * 60
     assert extracted([f"<body><article>{deep}<div class=nav>n</div><p>after</p></article><div>other</div></body>"] * 2) == ["deep\nafter"] * 2
     assert extracted(["<body><article>" + "<div>" * 60 + "<p>a</p><nav>n</nav>" + "</div>" * 60 + "</article></body>"]) == ["a"]
+
+
+def test_names_that_only_mention_other_parts_keep_articles():
+    for name in ("layout has-sidebar", "content no-sidebar", "post category-social-science", "modal"):
+        page = "<body><nav>menu</nav><div class='" + name + "'><article><h1>t{0}</h1><p>text {0} of it</p></article></div><div class='site-footer'>f</div></body>"
+        assert extracted([page.format(i) for i in range(3)]) == [f"t{i}\ntext {i} of it" for i in range(3)]
+    assert article_text("<form><article><p>whole text</p></article></form>", frozenset(["#/html"])) == "whole text"
+    apart = ("sidebar", "ad-12", "site-footer", "social-share", "x comments")
+    assert all(outside(parse(f"<div class='{n}'>").children[0]) for n in apart)
+
+
+def test_sibling_blocks_stay_where_there_is_no_article():
+    page = "<body><div id=top><a href=x>home</a> <a href=y>more</a></div><div id=lead><p>lead {0}</p></div><div class='story'><p>a long text, number {0}</p><p>and more of it</p></div></body>"
+    assert extracted([page.format(i) for i in range(3)]) == [f"lead {i}\na long text, number {i}\nand more of it" for i in range(3)]
