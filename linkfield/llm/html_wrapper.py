@@ -4,7 +4,9 @@ A page's tags form a tree.  A wrapper is a tree of labels whose children are a s
 repeated parts with text slots.  Two wrappers are aligned part by part: what only one of them has becomes optional,
 equal neighbours become a repeated group, and a text that differs turns from a constant into a slot.  Tasks align
 the pages they see, and the results are aligned again, host by host.  The wrapper of a host then tells which of its
-paths hold the article, and every page is read along those paths.
+paths hold the article, and every page is read along those paths.  Its slots are read, its constants aren't: a block
+of text that stands in the same place (by tags) on enough of the host's pages is part of the template.  A page is a
+distinct HTML of a host, and blocks are counted exactly, by a hash of their place and whole text.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ import functools
 import html as html_lib
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +33,10 @@ DEPTH, PARTS, HOSTS, SALTS = 40, 48, 2000, 16
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
+#: A block is constant if this many pages of a host have it and this share of them; a page whose blocks are constant to
+#: more than this share (headings aside) is a copy of others and stays whole.
+CONSTANT_PAGES, CONSTANT_SHARE, COPY = 3, 0.1, 0.8
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object video audio canvas select".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -307,63 +315,91 @@ def ways(paths: frozenset) -> frozenset:
     return frozenset(out)
 
 
-def blocks_of(root: Node, paths: frozenset, inside: bool) -> tuple[list[list[str]], bool]:
-    """The blocks of text below paths (of everything, if inside), and whether any path was met.  A label of the page
-    goes along a path as itself or as a collapsed part."""
+def digest(data: str) -> int:
+    return int.from_bytes(blake2b(data.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def blocks_of(root: Node, paths: frozenset, inside: bool, every: bool = False) -> tuple[list[tuple[int, str, str]], bool]:
+    """The blocks (place, tag, text) below paths (of everything, if inside; with what is set apart, if every), and
+    whether any path was met.  A label of the page goes along a path as itself or as a collapsed part."""
     known, hit = ways(paths), inside or root.label in paths
-    blocks: list[list[str]] = [[]]
-    stack = [(iter(root.children), (root.label,), hit, True, False)]
+    blocks: list[tuple[int, str, list[str]]] = [(0, root.tag, [])]
+    stack = [(iter(root.children), (root.label,), hit, True, False, 0, root.tag)]
     while stack:
-        children, at, inside, heading, edge = stack[-1]
+        children, at, inside, heading, edge, place, tag = stack[-1]
         for x in children:
             if isinstance(x, str):
                 if inside and heading:
-                    blocks[-1].append(x)
+                    blocks[-1][2].append(x)
                 continue
             apart = outside(x)
             below = tuple(q for p in at for q in (f"{p}/{x.label}", f"{p}/{any_name(x.tag, apart)}") if q in known)
-            if apart and not any(f"+{q}" in paths for q in below):
-                blocks.append([])
+            if apart and not every and not any(f"+{q}" in paths for q in below):
+                blocks.append((place, tag, []))
                 continue
-            if apart or x.tag in BLOCK:
-                blocks.append([])
+            edge = apart or x.tag in BLOCK
+            new, of = (zlib.crc32(x.tag.encode(), place), x.tag) if edge else (place, tag)
+            if edge:
+                blocks.append((new, of, []))
             met = any(q in paths for q in below)
             hit = hit or met
-            only = False if x.tag == "header" else heading or x.tag in HEADINGS
-            stack.append((iter(x.children), below, inside or met, only, apart or x.tag in BLOCK))
+            only = True if every else False if x.tag == "header" else heading or x.tag in HEADINGS
+            stack.append((iter(x.children), below, inside or met, only, edge, new, of))
             break
         else:
             stack.pop()
             if edge:
-                blocks.append([])
-    return blocks, hit
+                blocks.append((stack[-1][5], stack[-1][6], []))
+    texts = ((place, tag, " ".join(html_lib.unescape("".join(b)).split())) for place, tag, b in blocks if b)
+    return [b for b in texts if b[2]], hit
+
+
+def block_hash(place: int, text: str) -> int:
+    return digest(f"{place}:{text}")
 
 
-def article_text(page: str, paths: frozenset) -> str:
-    """Blocks of the page's article, in order, joined by line feeds.  A page that none of paths leads into is read as
-    a whole; either way without what tags or names set apart.  Of a header inside the article its headings stay."""
+def page_blocks(root: Node) -> list[int]:
+    """Hashes of a page's blocks; cells of tables are data, whatever they repeat."""
+    return sorted({block_hash(place, text) for place, tag, text in blocks_of(root, frozenset(), True, True)[0] if tag not in ("td", "th")})
+
+
+def article_text(page: str, paths: frozenset, constants: frozenset = frozenset()) -> str:
+    """Blocks of the page's article but its host's constants (hashes), in order, joined by line feeds.  A page that
+    none of paths leads into is read as a whole; either way without what tags or names set apart.  Of a header inside
+    the article its headings stay."""
     root = parse(page)
     blocks, hit = blocks_of(root, paths, False)
     if not hit:
         blocks, _ = blocks_of(root, frozenset(p for p in host_paths(pattern(root)) if p[0] == "+"), True)
-    lines = (" ".join(html_lib.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    if constants:
+        slots = [b for b in blocks if b[1] in ("td", "th") or block_hash(b[0], b[2]) not in constants]
+        size = [sum(len(text) for _, tag, text in x if tag not in HEADINGS) for x in (slots, blocks)]
+        blocks = slots if size[0] >= (1 - COPY) * size[1] else blocks
+    return "\n".join(text for _, _, text in blocks)
 
 
-def _wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, wrapper) of the pages that a task sees."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, blocks) of every page that a task sees, and (host, wrapper) of them all."""
     held: dict[str, list] = {}
 
-    def flushed():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
+    def rows(hosts: list, wrappers: list, pages: list, blocks: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(wrappers, pa.string()), pa.array(pages, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))], names=["host", "wrapper", "page", "blocks"])
+
+    def flushed() -> pa.RecordBatch:
+        return rows(list(held), [json.dumps(w) for w in held.values()], [None] * len(held), [None] * len(held))
 
     for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            one = pattern(parse(page))
+        hosts, pages, blocks = batch.column("host").to_pylist(), [], []
+        for host, page in zip(hosts, batch.column("html").to_pylist(), strict=True):
+            root = parse(page)
+            pages.append(digest(page))
+            blocks.append(page_blocks(root))
+            one = pattern(root)
             held[host] = aligned(held[host], one) if host in held else one
             if len(held) >= HOSTS:
                 yield flushed()
                 held.clear()
+        yield rows(hosts, [None] * len(hosts), pages, blocks)
     if held:
         yield flushed()
 
@@ -384,14 +420,25 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "paths"])
 
 
-def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) for pages (host, html): each task's wrappers, aligned in parts of a host, then by host."""
-    parts = pages.where("html is not null").mapInArrow(_wrapped, "host string, wrapper string")
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
+def host_wrappers(read: DataFrame) -> DataFrame:
+    """host, wrapper (JSON): each task's wrappers, aligned in parts of a host, then by host."""
+    parts = read.where("wrapper is not null").select("host", "wrapper").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
     parts = parts.groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string, salt int").drop("salt")
     return parts.groupBy("host").applyInArrow(_merged, "host string, wrapper string")
 
 
+def host_constants(read: DataFrame) -> DataFrame:
+    """host, constants: the hashes of each host's constant blocks.  A host has fewer than (mean blocks a page) /
+    CONSTANT_SHARE of them, whatever its size."""
+    pages = read.where("page is not null")
+    total = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    seen = pages.select("host", "page", F.explode("blocks").alias("block")).distinct()
+    # the block is in the key, so a hot host spreads over tasks
+    counted = seen.groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES)
+    over = counted.join(total, "host").where(F.col("n") >= F.col("total") * F.lit(CONSTANT_SHARE))
+    return over.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("constants"))
+
+
 def extract_main_text(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """df with text and n_chars (its code points); columns of these names in df are replaced.
 
@@ -400,22 +447,26 @@ def extract_main_text(df: DataFrame, url_col: str = "url", html_col: str = "html
     """
     host, _ = host_and_path(F.col(f"`{url_col}`"))
     pages = df.withColumn("__host", host).withColumn("__html", F.col(f"`{html_col}`"))
-    wrappers = host_wrappers(pages.select(F.col("__host").alias("host"), F.col("__html").alias("html")))
-    paths = written(wrappers.mapInArrow(_paths, "host string, paths string"), "wrappers").withColumnRenamed("host", "__host").withColumnRenamed("paths", "__paths")
-    size = paths.agg(F.sum(F.length("__host") + F.length("__paths") + 64)).first()[0] or 0
-    pages = pages.join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, "__host", "left")
+    read = pages.select(F.col("__host").alias("host"), F.col("__html").alias("html")).where("html is not null")
+    read = written(read.mapInArrow(_read, "host string, wrapper string, page long, blocks array<long>"), "read")
+    hosts = host_wrappers(read).mapInArrow(_paths, "host string, paths string").join(host_constants(read), "host", "left")
+    hosts = written(hosts.select(F.col("host").alias("__host"), F.col("paths").alias("__paths"), "constants"), "wrappers").withColumnRenamed("constants", "__constants")
+    size = hosts.agg(F.sum(F.length("__host") + F.length("__paths") + 8 * F.coalesce(F.size("__constants"), F.lit(0)) + 64)).first()[0] or 0
+    pages = pages.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "__host", "left")
     kept = [c for c in df.columns if c not in ("text", "n_chars")]
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"__text": F.lit("")}).schema
 
     def run(batches):
-        known: dict[str, frozenset] = {}
+        known: dict[str, tuple[frozenset, frozenset]] = {}
         for batch in batches:
-            texts = []
-            for page, way in zip(batch.column("__html").to_pylist(), batch.column("__paths").to_pylist(), strict=True):
-                if way not in known:
-                    known[way] = frozenset((way or "").split("\n"))
-                texts.append(article_text(page, known[way]) if page else "")
+            texts, hosts = [], batch.column("__host").to_pylist()
+            for k, page in enumerate(batch.column("__html").to_pylist()):
+                if page and hosts[k] not in known:
+                    if len(known) >= HOSTS:
+                        known.clear()
+                    known[hosts[k]] = frozenset((batch.column("__paths")[k].as_py() or "").split("\n")), frozenset(batch.column("__constants")[k].as_py() or ())
+                texts.append(article_text(page, *known[hosts[k]]) if page else "")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "__text"])
 
-    out = pages.select(*[F.col(f"`{c}`") for c in kept], "__html", "__paths").mapInArrow(run, schema)
+    out = pages.select(*[F.col(f"`{c}`") for c in kept], "__host", "__html", "__paths", "__constants").mapInArrow(run, schema)
     return out.withColumns({"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}).drop("__text")

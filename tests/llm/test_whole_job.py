@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkfield.llm import packing
-from linkfield.llm.html_wrapper import aligned, article_text, host_paths, outside, parse, pattern
+from linkfield.llm.html_wrapper import aligned, article_text, extract_main_text, host_paths, outside, parse, pattern
 
 
 def test_boilerplate_in_small_and_large_sites(spark):
@@ -82,3 +82,15 @@ def test_names_that_only_mention_other_parts_keep_articles():
 def test_sibling_blocks_stay_where_there_is_no_article():
     page = "<body><div id=top><a href=x>home</a> <a href=y>more</a></div><div id=lead><p>lead {0}</p></div><div class='story'><p>a long text, number {0}</p><p>and more of it</p></div></body>"
     assert extracted([page.format(i) for i in range(3)]) == [f"lead {i}\na long text, number {i}\nand more of it" for i in range(3)]
+
+
+def test_constants_of_a_host_are_left_out(spark):
+    page = "<body><article><h1>title {0}</h1><p>first {0}</p><p>" + "All of our readers pay for this. " * 8 + "{1}</p><p>last {0}</p><p>Yours, the editors</p></article></body>"
+    rows = [(i, "http://a.org/x", page.format(f"of {i}, which is a text of its own", "")) for i in range(12)]
+    rows += [(20 + i, "http://b.org/x", page.format(f"of {i}", i)) for i in range(12)]  # the long texts differ at their ends
+    rows += [(40 + i, "http://c.org/x", page.format("same", "")) for i in range(5)]  # one page
+    rows += [(50 + i, "http://d.org/x", f"<body><article><h1>t{i}</h1><p>a copied article</p></article></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[20 + i] == f"title of {i}\nfirst of {i}\n{('All of our readers pay for this. ' * 8 + str(i))}\nlast of {i}" for i in range(12))
+    assert all(got[i] == f"title of {i}, which is a text of its own\nfirst of {i}, which is a text of its own\nlast of {i}, which is a text of its own" for i in range(12))
+    assert all("the editors" in got[40 + i] for i in range(5)) and all(got[50 + i] == f"t{i}\na copied article" for i in range(5))
