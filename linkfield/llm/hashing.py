@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -40,6 +40,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def windows(data: np.ndarray, separators: np.ndarray = ASCII_SPACE) -> Iterator[tuple[int, int]]:
+    """(from, to) of about WINDOW bytes each that end after a separator; a longer word makes a longer window."""
+    a = 0
+    while a < len(data):
+        b = min(a + WINDOW, len(data))
+        if b < len(data):
+            cut = np.flatnonzero(separators[data[a:b]])
+            if len(cut):
+                b = a + int(cut[-1]) + 1
+            else:
+                while b < len(data) and not separators[data[b - 1]]:
+                    start, b = b, min(b + WINDOW, len(data))
+                    cut = np.flatnonzero(separators[data[start:b]])
+                    b = start + int(cut[0]) + 1 if len(cut) else b
+        yield a, b
+        a = b
+
+
+def spans(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of bytes that aren't gaps."""
+    edge = np.diff(gap.astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+class SpanHasher:
+    """Hashes of any spans of some bytes, with A-Z as a-z, wherever the spans stand."""
+
+    def __init__(self, part: np.ndarray):
+        self.total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[_LOWER[part]] * _power(_BASE, len(part)), out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        back = _power(_INVERSE, len(self.total))[start] if len(start) else np.zeros(0, np.uint64)
+        return mix((self.total[end] - self.total[start]) * back)
+
+
 def word_hashes(texts: Sequence[str], separators: np.ndarray = ASCII_SPACE, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(first word of each text and their total, hash of each word, hashes of each word's first n bytes by n).
 
@@ -48,30 +84,15 @@ def word_hashes(texts: Sequence[str], separators: np.ndarray = ASCII_SPACE, pref
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     begins = np.cumsum([0, *(len(x) + 1 for x in raw)])[:-1]
-    at, hashes, short, a = [], [], [[] for _ in prefixes], 0
-    while a < len(data):
-        b = min(a + WINDOW, len(data))
-        if b < len(data):
-            cut = np.flatnonzero(separators[data[a:b]])
-            if len(cut):
-                b = a + int(cut[-1]) + 1
-            else:  # a word longer than the window
-                while b < len(data) and not separators[data[b - 1]]:
-                    b = min(b + WINDOW, len(data))
-                    cut = np.flatnonzero(separators[data[a:b]])
-                    b = a + int(cut[0]) + 1 if len(cut) else b
+    at, hashes, short = [], [], [[] for _ in prefixes]
+    for a, b in windows(data, separators):
         part = data[a:b]
-        gap = separators[part]
-        edge = np.diff(gap.astype(np.int8), prepend=np.int8(1), append=np.int8(1))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[_LOWER[part]] * _power(_BASE, len(part)), out=total[1:])
-        back = _power(_INVERSE, len(part))[start] if len(start) else np.zeros(0, np.uint64)
-        hashes.append(mix((total[end] - total[start]) * back))
+        start, end = spans(separators[part])
+        hashed = SpanHasher(part)
+        hashes.append(hashed(start, end))
         for n, out in zip(prefixes, short, strict=True):
-            out.append(mix((total[np.minimum(end, start + n)] - total[start]) * back))
+            out.append(hashed(start, np.minimum(end, start + n)))
         at.append(start + a)
-        a = b
     at = np.concatenate(at)
     firsts = np.append(np.searchsorted(at, begins), len(at))
     return firsts, np.concatenate(hashes), [np.concatenate(x) for x in short]

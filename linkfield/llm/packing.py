@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 from .tokens import encoder, text_slices, tokenizer_path
 
-#: Distinct chunks of text that a worker remembers while it encodes: packing ends the pipeline, on executors whose
-#: memory other stages have used.
-CHUNKS = 120_000
 #: Pieces in one group of any round (on average), and rounds at most.
 GROUP_PIECES, ROUNDS = 20_000, 6
 
@@ -27,7 +24,7 @@ def token_pieces(df: DataFrame, capacity: int, end_id: int, id_col: str = "doc_i
     path = tokenizer_path(tokenizer)
 
     def run(batches):
-        enc = encoder(path, CHUNKS)
+        enc = encoder(path)
         for ids, texts in text_slices(batches, id_col, text_col):
             out = ([], [], [], [], [])
             for doc, tokens in zip(ids, enc.encode(texts), strict=True):

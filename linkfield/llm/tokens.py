@@ -1,4 +1,4 @@
-"""Token ids of whole texts, inside tasks: distinct chunks between spaces are encoded once per worker."""
+"""Token ids of whole texts, inside tasks: each distinct word is encoded once per worker and found again by its hash."""
 
 from __future__ import annotations
 
@@ -9,114 +9,195 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-#: Characters of text that are handled at once; distinct chunks that a worker remembers, and twice as many words.
-SLICE_CHARS, CHUNKS = 1 << 20, 300_000
-
-
-_MARKS = frozenset(".,;:!?")
-
-
-class _Codes(dict):
-    """chunk -> running number; chunks that it meets first are noted in new."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = code = len(self)
-        self.new.append(chunk)
-        return code
-
-
-class ChunkEncoder:
+from .hashing import ASCII_SPACE, SpanHasher, spans, windows
+
+#: Characters of text that are handled at once; distinct words that a worker remembers (about 40 bytes each), and the
+#: bytes of one beyond which it isn't remembered.
+SLICE_CHARS, WORDS, LONG = 1 << 20, 1_000_000, 200
+
+_PUNCTUATION, _WORD_END = np.zeros(256, bool), np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_WORD_END[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+class HashTable:
+    """Slots for 64-bit hashes that are random already, with three numbers each; it doubles when half full."""
+
+    def __init__(self, bits: int = 14):
+        self.used = 0
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.start, self.length, self.met = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, bool)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, whether it has the hash) of each hash; otherwise the slot is free."""
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            k = self.keys[at[todo]]
+            todo = todo[(k != h[todo]) & (k != 0)]
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+        return at, self.keys[at] == h
+
+    def add(self, h: np.ndarray, start: np.ndarray, length: np.ndarray, met: np.ndarray | bool = False) -> None:
+        """h: distinct hashes that aren't there."""
+        if 2 * (self.used + len(h)) > len(self.keys):
+            self.keep(self.keys != 0, max(self.bits + 1, int(2 * (self.used + len(h))).bit_length()))
+        at, _ = self.find(h)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            self.keys[at[free]] = h[free]
+            todo = todo[self.keys[at[todo]] != h[todo]]
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+        self.start[at], self.length[at], self.met[at] = start, length, met
+        self.used += len(h)
+
+    def keep(self, which: np.ndarray, bits: int) -> None:
+        """Goes on with some of the slots only."""
+        held = [x[which] for x in (self.keys, self.start, self.length, self.met)]
+        self._empty(bits)
+        self.add(*held)
+
+
+class WordEncoder:
     """Ids as the tokenizer gives them for whole texts without special tokens.
 
-    The tokenizer drops white space and never joins anything across it, so the ids of a text are those of its chunks
-    between spaces and line feeds, one after another.  A new chunk is split once more, into a word and the one mark
-    that ends it ("here,"), which the tokenizer takes apart too; words differ by more than case.  Words of letters are
-    encoded many at once and told apart by the ids that end a word; whatever else there is, by the end token.
+    The tokenizer drops white space and never joins anything across it, so the ids of a text are those of its words
+    between ASCII white space, one after another.  A word is split once more, into what ends in a letter or digit and
+    the ASCII marks after that ("here,"), which the tokenizer takes apart too; words differ by more than case.  What
+    could hold a special token stays whole and isn't remembered, like words of more than LONG bytes.  New words of
+    letters are encoded many at once and told apart by the ids that end a word; whatever else there is, by the end
+    token.  Remembered words are told by 64-bit hashes; at the limit, those that were met once are forgotten.
     """
 
-    def __init__(self, path: str, end: str = "<|endoftext|>", chunks: int = CHUNKS):
+    def __init__(self, path: str, end: str = "<|endoftext|>", words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.chunks = Tokenizer.from_file(path), end, chunks
+        self.tokenizer, self.end, self.limit = Tokenizer.from_file(path), end, words
+        vocabulary = self.tokenizer.get_vocab()
         self.end_id = self.tokenizer.token_to_id(end)
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}  # their ids as unsigned 32-bit integers
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes = _Codes()
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kind = np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32
+        self.table, self.flat, self.used = HashTable(), np.empty(1 << 14, self.kind), 0
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _encode_words(self, words: Sequence[str]) -> None:
-        simple, other = [], []
-        for w in words:
-            (simple if w.isalpha() else other).append(w)
-        for i in range(0, len(simple), 200):
-            part = simple[i : i + 200]
-            ids = self._ids(" ".join(part))
-            cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
-            if len(cuts) != len(part) + 1:
-                other += part
-                continue
-            data = ids.tobytes()
-            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        for i in range(0, len(other), 200):
-            part = [w for w in other[i : i + 200] if "<|" not in w]
-            ids = self._ids(f" {self.end} ".join(part)) if part else np.zeros(0, np.uint32)
-            cuts = [-1, *np.flatnonzero(ids == self.end_id).tolist(), len(ids)]
-            self.words.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:]))
-            self.words.update((w, self._ids(w).tobytes()) for w in other[i : i + 200] if "<|" in w)
-
-    @staticmethod
-    def _split(chunk: str) -> tuple[str, str]:
-        mark = ""
-        if chunk[-1:] in _MARKS and chunk[-2:-1].isalpha():
-            chunk, mark = chunk[:-1], chunk[-1]
-        return (chunk.lower() if chunk.isascii() or max(chunk) <= "ÿ" else chunk), mark
-
-    def _learn(self) -> None:
-        new, self.codes.new = self.codes.new, []
-        known, parts = len(self.codes) - len(new), [self._split(c) for c in new]
-        if len(self.words) > 2 * self.chunks:
-            self.words = {}
-        self._encode_words([w for w in dict.fromkeys(x for p in parts for x in p) if w not in self.words])
-        got = [self.words[w] + self.words[mark] for w, mark in parts]
-        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        while len(self.codes) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + lengths.sum() > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.starts[known : len(self.codes)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[known : len(self.codes)] = lengths
-        self.flat[self.used : self.used + lengths.sum()] = np.frombuffer(b"".join(got), np.uint32)
-        self.used += int(lengths.sum())
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _encoded(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words in some order, the number of ids of each, the ids)."""
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        simple, other = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
+        order, lengths, flat = [], [], []
+        for i in range(0, len(simple), 500):
+            part = simple[i : i + 500]
+            ids = self._ids(" ".join([words[k] for k in part.tolist()]))
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(part):
+                order.append(part)
+                lengths.append(np.diff(cuts, prepend=0))
+                flat.append(ids)
+            else:
+                other += part.tolist()
+        safe = [k for k in other if "<|" not in words[k]]
+        for i in range(0, len(safe), 500):
+            part = safe[i : i + 500]
+            ids = self._ids(f" {self.end} ".join([words[k] for k in part]))
+            ends = ids == self.end_id
+            order.append(np.array(part))
+            lengths.append(np.diff(np.flatnonzero(np.concatenate([[True], ends, [True]]))) - 1)
+            flat.append(ids[~ends])
+        for k in (k for k in other if "<|" in words[k]):
+            flat.append(self._ids(words[k]))
+            order.append(np.array([k]))
+            lengths.append(np.array([len(flat[-1])]))
+        return tuple(np.concatenate(x) for x in (order, lengths, flat))
+
+    def _append(self, ids: np.ndarray, at: int) -> None:
+        """Writes to flat from a place on."""
+        end = at + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[:at], np.empty(max(end - at, len(self.flat)), self.kind)])
+        self.flat[at:end] = ids
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if len(self.codes) > self.chunks:
-            self._forget()
-        chunks, counts = [], []
-        for t in texts:
-            part = t.replace("\n", " ").split(" ")
-            chunks += part
-            counts.append(len(part))
-        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
-        if self.codes.new:
-            self._learn()
-        lengths = self.lengths[codes]
+    def _forget(self) -> None:
+        t = self.table
+        kept = np.flatnonzero((t.keys != 0) & t.met)
+        if 2 * len(kept) > self.limit:
+            kept = kept[:0]
+        lengths = t.length[kept].astype(np.int64)
         ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[codes] - (ends - lengths), lengths)
-        ids = self.flat[at + np.arange(len(at))]
-        return np.split(ids, ends[np.cumsum(counts) - 1][:-1]) if texts else []
+        self.flat = self.flat[np.repeat(t.start[kept] - (ends - lengths), lengths) + np.arange(lengths.sum())]
+        self.used = len(self.flat)
+        t.start[kept], t.met[:] = ends - lengths, False
+        t.keep(kept, t.bits)
+
+    def _window(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start of each unit in part, where its ids end among those of all, the ids)."""
+        first, last = spans(ASCII_SPACE[part])
+        whole = np.zeros(len(first), bool)
+        odd = np.flatnonzero((part[:-1] == 60) & (part[1:] == 124)) if len(part) > 1 else np.zeros(0, np.int64)
+        whole[np.searchsorted(first, odd, "right") - 1] = True
+        # what stands before the marks at the end of a word
+        place = np.where(_PUNCTUATION[part], -1, np.arange(len(part)))
+        cut = np.maximum.accumulate(place)[last - 1] + 1 if len(last) else last
+        before = part[cut - 1] if len(cut) else part[:0]
+        latin = (before >= 128) & (part[cut - 2] == 0xC3) & (before != 0x97) & (before != 0xB7) & (cut - 2 >= first) if len(cut) else whole
+        split = (cut > first) & (cut < last) & ~whole & (_WORD_END[before] | latin)
+        start = np.sort(np.concatenate([first, cut[split]]), kind="stable")
+        end = np.sort(np.concatenate([last, cut[split]]), kind="stable")
+        alone = end - start > LONG
+        alone[np.searchsorted(start, first[whole])] = True
+
+        h = SpanHasher(part)(start, end)
+        h[h == 0] = 1
+        if self.table.used > self.limit:
+            self._forget()
+        slot, known = self.table.find(h)
+        self.table.met[slot[known]] = True
+        new = np.flatnonzero(~known & ~alone)
+        if len(new):
+            fresh, which = np.unique(h[new], return_index=True)
+            which = new[which]
+            raw = part.tobytes()
+            order, n, ids = self._encoded([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)])
+            self._append(ids, self.used)
+            self.table.add(fresh[order], self.used + np.cumsum(n) - n, n)
+            self.used += len(ids)
+            slot, known = self.table.find(h)
+        begin, length = self.table.start[slot].astype(np.int64), self.table.length[slot].astype(np.int64)
+        which = np.flatnonzero(alone)
+        if len(which):
+            raw = part.tobytes()
+            arrays = [self._ids(raw[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+            length[which] = [len(x) for x in arrays]
+            begin[which] = self.used + np.cumsum(length[which]) - length[which]
+            self._append(np.concatenate(arrays), self.used)
+        ends = np.cumsum(length)
+        ids = self.flat[np.repeat(begin - (ends - length), length) + np.arange(int(length.sum()))]
+        return start, ends, ids
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Each text's ids as unsigned 32-bit integers."""
+        if not texts:
+            return []
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        begins = np.cumsum([0, *(len(x) + 1 for x in raw)])[1:-1]
+        starts, ends, out, n = [], [np.zeros(1, np.int64)], [], 0
+        for a, b in windows(data):
+            s, e, ids = self._window(data[a:b])
+            starts.append(s + a)
+            ends.append(e + n)
+            out.append(ids)
+            n += len(ids)
+        cuts = np.concatenate(ends)[np.searchsorted(np.concatenate(starts), begins)]
+        return np.split(np.concatenate(out).astype(np.uint32), cuts)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
@@ -131,14 +212,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -
             a = b
 
 
-_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str, chunks: int = CHUNKS) -> ChunkEncoder:
-    """One per Python worker, vocabulary and memory."""
-    if (path, chunks) not in _encoders:
-        _encoders[path, chunks] = ChunkEncoder(path, chunks=chunks)
-    return _encoders[path, chunks]
+def encoder(path: str) -> WordEncoder:
+    """One per Python worker and vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def tokenizer_path(path: str | None) -> str:
