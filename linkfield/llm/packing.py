@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 from .tokens import encoder, text_slices, tokenizer_path
 
-#: Pieces in one group of any round (on average), and rounds at most.
-GROUP_PIECES, ROUNDS = 20_000, 6
+#: Pieces in one group of any round (on average), rounds at most, and the share of capacity from which a sequence is
+#: final before the last round.
+GROUP_PIECES, ROUNDS, FULL = 20_000, 6, 0.995
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, open boolean"
@@ -61,65 +62,88 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search: the emptiest bin gives to fuller ones until it is empty; every step increases squared fill.
+class LocalSearch:
+    """Bins of indices that give to fuller ones, each step increasing squared fill, until bins are empty.
 
-    A step moves one of its documents to a bin with room, or exchanges one or two of them for one shorter document
-    of a fuller bin.  It ends when the number of bins is the least that the total allows, or no step is left.
+    A step moves one document of a bin to one with room, or exchanges one or two of its documents for one shorter
+    document there; of all such steps the one with the largest gain for the other bin is taken.  They are found by
+    length: among documents of one length, only that in the bin with the most room matters.
     """
-    least = -(-int(lengths.sum()) // capacity)
-    where = np.full(len(lengths), -1)
-    fill = np.array([int(lengths[b].sum()) for b in bins])
-    for k, b in enumerate(bins):
-        where[b] = k
-    gone: set[int] = set()
-    while len(bins) - len(gone) > least:
-        order = np.where(fill > 0, fill, capacity + 1)
-        e = int(order.argmin())
-        if order[e] >= capacity:
-            break
-        while bins[e]:
-            room = np.where((fill > 0) & (fill >= fill[e]), capacity - fill, -1)
-            room[e] = -1
-            others = np.flatnonzero(room[where] > 0)  # documents of bins with room
-            mine = sorted(bins[e], key=lambda i: -lengths[i])
-            best = (0, (), -1, -1)  # gain, given, taken, bin
-            for i in mine:
-                fits = np.flatnonzero(room >= lengths[i])
-                if len(fits):
-                    best = (int(lengths[i]), (i,), -1, int(fits[room[fits].argmin()]))
-                    break
-            if best[2] == -1 and not best[0] and len(others):
-                pairs = [(i,) for i in mine] + [(mine[a], mine[b]) for a in range(min(len(mine), 8)) for b in range(a + 1, min(len(mine), 8))]
-                taken, free = lengths[others], room[where[others]]
-                for given in pairs:
-                    gain = sum(int(lengths[i]) for i in given) - taken
-                    gain[gain > free] = 0
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (int(gain[k]), given, int(others[k]), int(where[others[k]]))
-            if not best[0]:
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.where = np.full(len(lengths), -1)
+        self.fill = np.array([int(lengths[b].sum()) for b in bins])
+        for k, b in enumerate(bins):
+            self.where[b] = k
+        self.order = np.argsort(lengths, kind="stable")
+        self.sizes, self.first = np.unique(lengths[self.order], return_index=True)
+
+    def step(self, e: int) -> bool:
+        """One exchange from bin e to a bin at least as full; False if there is none."""
+        room = np.where(self.fill >= max(1, self.fill[e]), self.capacity - self.fill, 0)
+        room[e] = 0
+        rooms = room[self.where[self.order]]
+        # by length of what comes back (0: nothing): the most room of a bin that has it
+        back = np.concatenate([[0], self.sizes])
+        reach = back + np.concatenate([[room.max()], np.maximum.reduceat(rooms, self.first)])
+        reach[np.append(False, reach[1:] == self.sizes)] = 0
+        furthest = np.maximum.accumulate(reach)
+        mine = self.lengths[self.bins[e]]
+        have, count = np.unique(mine, return_counts=True)
+        i, j = np.triu_indices(len(have))
+        ok = (i != j) | (count[i] > 1)
+        i, j = np.concatenate([np.arange(len(have)), i[ok]]), np.concatenate([np.full(len(have), -1), j[ok]])
+        given = have[i] + np.where(j < 0, 0, have[j])
+        at = np.minimum(np.searchsorted(furthest, given), len(back) - 1)
+        gain = np.where((reach[at] >= given) & (back[at] < given) & ((at > 0) | (j < 0)), given - back[at], 0)
+        k = int(gain.argmax())
+        if not gain[k]:
+            return False
+        if at[k]:
+            a, b = self.first[at[k] - 1], len(self.order) if at[k] == len(self.first) else self.first[at[k]]
+            taken = int(self.order[a + int(rooms[a:b].argmax())])
+            other = int(self.where[taken])
+        else:  # the tightest bin that takes it
+            fits = np.flatnonzero(room >= gain[k])
+            taken, other = -1, int(fits[room[fits].argmin()])
+        for n in have[[i[k]]].tolist() + (have[[j[k]]].tolist() if j[k] >= 0 else []):
+            x = next(x for x in self.bins[e] if self.lengths[x] == n)
+            self.bins[e].remove(x)
+            self.bins[other].append(x)
+            self.where[x] = other
+        if taken >= 0:
+            self.bins[other].remove(taken)
+            self.bins[e].append(taken)
+            self.where[taken] = e
+        self.fill[other] += gain[k]
+        self.fill[e] -= gain[k]
+        return True
+
+    def run(self) -> list[list[int]]:
+        """The bins that are left when their number is the least that the total allows, or no bin has a step."""
+        total = int(self.lengths.sum())
+        least, left, tried = -(-total // self.capacity), len(self.bins), set()
+        while left > least:
+            fill = np.where(self.fill > 0, self.fill, self.capacity)
+            fill[list(tried)] = self.capacity
+            e = int(fill.argmin())
+            if fill[e] >= self.capacity:
                 break
-            gain, given, taken, b = best
-            for i in given:
-                bins[e].remove(i)
-                bins[b].append(i)
-                where[i] = b
-            if taken >= 0:
-                bins[b].remove(taken)
-                bins[e].append(taken)
-                where[taken] = e
-            fill[b] += gain
-            fill[e] -= gain
-        if bins[e]:
-            break
-        gone.add(e)
-    return [b for b in bins if b]
+            moved = False
+            while self.bins[e] and self.step(e):
+                moved = True
+            if not self.bins[e]:
+                left -= 1
+            if moved:
+                tried.clear()
+            tried.add(e)
+        return [b for b in self.bins if b]
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of indices into lengths (each from 1 to capacity)."""
-    return improve(best_fit_decreasing(lengths, capacity), lengths, capacity) if len(lengths) else []
+    return LocalSearch(best_fit_decreasing(lengths, capacity), lengths, capacity).run() if len(lengths) else []
 
 
 def _placer(capacity: int, level: int, last: bool):
@@ -132,7 +156,7 @@ def _placer(capacity: int, level: int, last: bool):
         for k, b in enumerate(pack(lengths, capacity)):
             sequence[b] = (level << 56) + (int(key[0]) << 24) + k
             offset[b] = np.cumsum(lengths[b]) - lengths[b]
-            full[b] = last or lengths[b].sum() >= 0.9 * capacity
+            full[b] = last or lengths[b].sum() >= FULL * capacity
         return rows.assign(sequence_id=sequence, offset=offset, open=~full)
 
     return place
@@ -142,7 +166,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIEC
     """pieces (PIECES) with sequence_id and offset.
 
     Pieces are dealt at random to groups of about group_pieces and packed there; what ends up in sequences that are
-    less than nine tenths full is counted, dealt anew and packed again in groups of that size.  Every group is final
+    filled to less than FULL is counted, dealt anew and packed again in groups of that size.  Every group is final
     when one group takes the rest, when a round has left more than nine tenths of its pieces, or after ROUNDS rounds;
     so no task holds more than about group_pieces.  Equal rows (copies of a document) are dealt apart by their place
     in the written table.

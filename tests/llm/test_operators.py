@@ -19,9 +19,9 @@ from linkfield.llm.html_wrapper import aligned, article_paths, article_text, ext
 from linkfield.llm.line_dedup import drop_boilerplate_lines
 from linkfield.llm.mixing import mix_sources, mixed_documents
 from linkfield.llm.ngram_join import RTree, jaccard_components, linked
-from linkfield.llm.packing import pack, pack_documents
+from linkfield.llm.packing import LocalSearch, best_fit_decreasing, pack, pack_documents
 from linkfield.llm.token_output import Shard, ShardReader, read_token_shards, token_digests, train_dictionary, write_token_shards
-from linkfield.llm.tokens import ChunkEncoder, tokenizer_path
+from linkfield.llm.tokens import HashTable, WordEncoder, tokenizer_path
 from linkfield.llm.toxicity import Settings, drop_toxic, feature_sets, fit_ftrl, score, train
 from linkfield.llm.url_filter import Rule, build_cascade, filter_urls
 
@@ -274,7 +274,7 @@ def test_packing(spark):
     texts = {i: words(5 + 37 * i % 900, i) for i in range(60)} | {100: None, 101: "", 102: words(6000, 7)}
     df = docs(spark, [(i, t, "s") for i, t in texts.items()] + [(5, texts[5], "s")]).withColumn("piece", F.lit(9))
     got = pack_documents(df, capacity=512).collect()
-    enc = ChunkEncoder(tokenizer_path(None)).tokenizer
+    enc = WordEncoder(tokenizer_path(None)).tokenizer
     want = Counter()
     for i, t in [*texts.items(), (5, texts[5])]:
         ids = np.array(enc.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
@@ -300,14 +300,34 @@ def test_groups_meet_again(spark):
     assert full.where("n > 100").count() == 0 and full.count() <= 1.04 * sum(i % 97 + 1 for i in range(3000)) / 100 + 2
 
 
-def test_local_search_empties_bins():
-    lengths = np.array([6, 6, 4, 4, 4, 3, 3])  # best-fit decreasing is optimal here or improved
-    assert sorted(sum(lengths[i] for i in b) for b in pack(lengths, 10)) == [10, 10, 10]
+def test_local_search_beats_best_fit():
     draw = np.random.default_rng(4)
+    cases = [(np.array([44, 24, 24, 22, 21, 17, 8, 8, 6, 6]), 60, 3)] + [(draw.integers(20, 50, 300), 100, None) for _ in range(3)]
+    for _ in range(5):  # 60 bins are the least, since three lengths each fill one
+        a, b = draw.integers(250, 400, (2, 60))
+        cases.append((np.concatenate([a, b, 1000 - a - b]), 1000, 64))
+    for x, capacity, most in cases:
+        first, bins = best_fit_decreasing(x, capacity), pack(x, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(x))) and max(x[b].sum() for b in bins) <= capacity
+        assert len(bins) < len(first) and (most is None or len(bins) <= most)
     for _ in range(20):
         x = draw.integers(1, 60, 80)
         bins = pack(x, 100)
         assert sorted(i for b in bins for i in b) == list(range(80)) and max(x[b].sum() for b in bins) <= 100 and len(bins) <= -(-x.sum() // 100) + 1
+    assert pack(np.array([], np.int64), 10) == [] and len(pack(np.full(50, 10), 10)) == 50 and len(pack(np.full(50, 1), 10)) == 5
+
+
+def test_steps_increase_squared_fill():
+    draw = np.random.default_rng(5)
+    x = draw.integers(20, 50, 60)
+    search = LocalSearch(best_fit_decreasing(x, 100), x, 100)
+    for e in range(len(search.bins)):
+        while search.bins[e]:
+            before = (search.fill.astype(float) ** 2).sum()
+            if not search.step(e):
+                break
+            assert (search.fill.astype(float) ** 2).sum() > before and search.fill.max() <= 100
+            assert [int(x[b].sum()) for b in search.bins] == search.fill.tolist()
 
 
 # 8 token output
@@ -317,7 +337,7 @@ def test_token_shards(spark, tmp_path):
     texts = {i: words(50 + i, i) for i in range(40)} | {70: None, 71: "", 72: words(5000, 3), 73: "<|endoftext|> A, b."}
     rows = docs(spark, [(i, t, "s") for i, t in texts.items()]).repartition(5)
     write_token_shards(rows, str(tmp_path / "t"))
-    enc, at = ChunkEncoder(tokenizer_path(None)).tokenizer, 0
+    enc, at = WordEncoder(tokenizer_path(None)).tokenizer, 0
     ids = {i: enc.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts.items()}
     for r in token_digests(spark, str(tmp_path / "t")).orderBy("doc_id").collect():
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]), zlib.crc32(np.array(ids[r.doc_id], "<u4")))
@@ -340,11 +360,28 @@ def test_shard_bytes():
         ShardReader(data, b"another")
 
 
-def test_chunks_encode_as_whole_texts():
-    enc = ChunkEncoder(tokenizer_path(None))
+def test_words_encode_as_whole_texts(monkeypatch):
+    from linkfield.llm import hashing
+
     texts = ["", "  ", "a,", "A.B.C.", "don't, won't. I'LL", "...", "x..", "<|endoftext|>, y<|startoftext|>", "ΣΑΣ, ΟΔΟΣ.", "İstanbul.", "été, \u0301x", "\x1ca\x1cb \x85 c", "日本語、テスト。", "ſtraße, ǅ!", "a" * 3000 + ",", "🙂,🙂 x?", "\tq\r\nz\x0b"]
-    for group in (texts, *[[t] for t in texts]):
-        assert [x.tolist() for x in enc.encode(group)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in group]
+    texts += ["×, ÷. é!!! ñ'", "it's' 'tis 'll' a'll'", "12,3. 4!?", "<|endoftext|>.", "x<|", "a‘, b’.", words(400, 3)]
+    for window in (1 << 20, 16):
+        monkeypatch.setattr(hashing, "WINDOW", window)
+        for limit in (10**6, 3):  # that forgets all the time
+            enc = WordEncoder(tokenizer_path(None), words=limit)
+            for group in (texts, *[[t] for t in texts], texts, []):
+                assert [x.tolist() for x in enc.encode(group)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in group]
+
+
+def test_hash_table():
+    table, h = HashTable(bits=3), np.random.default_rng(3).integers(1, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    h[:40] = np.arange(1, 41, dtype=np.uint64)  # all of them want one slot
+    for a in range(0, 4000, 500):
+        assert not table.find(h[a : a + 500])[1].any()
+        table.add(h[a : a + 500], np.arange(a, a + 500), np.arange(a, a + 500) + 1)
+    slot, known = table.find(h)
+    assert known.tolist() == [True] * 4000 + [False] * 1000
+    assert table.start[slot[:4000]].tolist() == list(range(4000)) and (table.length[slot[:4000]] == table.start[slot[:4000]] + 1).all()
 
 
 # 9 line dedup
