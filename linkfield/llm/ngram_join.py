@@ -17,20 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import shared_dir, written
-from .components import components
+from .components import components, union_find
 from .hashing import mix, shingle_sets
 from .tokens import text_slices
 
-#: Groups of small sets, and how often their number doubles for large ones at most.
-GROUPS, FINER = 128, 6
+#: Groups of small sets, and the most that large ones have.
+GROUPS, MOST_GROUPS = 128, 1 << 16
 #: Points in a leaf, and nodes in one block of a cell: larger cells are joined block by block.
 LEAF, BLOCK = 16, 1000
 #: Shingles counted at once to find common ones, the count there that makes one common, how many are noted at most
 #: (the most common; this fixes the order of shingles, never what is compared), parts of a common shingle's cell.
 #: Common shingles skip the counting by hash, where one of them could fill a task.
 COUNTED, COMMON, NOTED, PARTS = 1_000_000, 50, 200_000, 64
-#: Shingles that a task gathers before it deals them out; parts in which it counts a bucket (a power of two).
-GATHERED, SHARES = 1_000_000, 8
+#: Shingles that a task gathers before it deals them out; shingles of a bucket on average (the number of buckets
+#: follows from their count); parts in which a task counts a bucket (a power of two).
+GATHERED, BUCKET, SHARES = 500_000, 2_000_000, 8
+#: Pairs of a block that are verified before those that have become connected are left out.
+VERIFIED = 256
 
 
 def linked(inner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -44,11 +47,12 @@ def node_of(x: np.ndarray) -> int:
         return int(mix(np.array([mix(x).sum(dtype=np.uint64) * np.uint64(2) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
 
 
-def point_of(x: np.ndarray) -> bytes:
+def point_of(x: np.ndarray, per_group: float = 4) -> bytes:
     """Counts of shingles by the upper bits of their hashes, a byte each; 255 stands for any number.
 
-    Larger sets have more groups, about one for four shingles: with few, the counts of any two large sets are alike."""
-    bits = GROUPS.bit_length() - 1 + max(0, min(FINER, (len(x) // (4 * GROUPS)).bit_length()))
+    Larger sets have more groups, about one for per_group shingles: with few, the counts of any two large sets are
+    alike."""
+    bits = min(MOST_GROUPS.bit_length() - 1, GROUPS.bit_length() - 1 + int(len(x) / (per_group * GROUPS)).bit_length())
     return np.minimum(np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype("u1").tobytes()
 
 
@@ -68,14 +72,15 @@ def _points(raw: list[bytes], groups: int) -> np.ndarray:
     return out
 
 
-def _finer(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which pairs pass the bound by all groups that both points have."""
-    groups = np.minimum([len(left[k]) for k in i.tolist()], [len(right[k]) for k in j.tolist()]) if len(i) else np.zeros(0, np.int64)
+def _finer(raw: np.ndarray, i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs of points pass the bound by all groups that both have."""
+    groups = np.fromiter(map(len, raw), np.int64, len(raw))
+    groups = np.minimum(groups[i], groups[j])
     ok = np.ones(len(i), bool)
     for g in np.unique(groups[groups > GROUPS]).tolist():
         pairs = np.flatnonzero(groups == g)
         (a, at), (b, bt) = (np.unique(x[pairs], return_inverse=True) for x in (i, j))
-        p, q = _points([left[k] for k in a.tolist()], g), _points([right[k] for k in b.tolist()], g)
+        p, q = _points(raw[a].tolist(), g), _points(raw[b].tolist(), g)
         step = max(1, (1 << 21) // g)
         for s in range(0, len(pairs), step):
             part = pairs[s : s + step]
@@ -87,7 +92,7 @@ def _batch(columns, fields) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-_SETS = (("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("common", pa.binary()))
+_SETS = (("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("text_hash", pa.int64()), ("common", pa.binary()))
 
 
 def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +102,12 @@ def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def common():
         x, n = np.unique(np.concatenate(held), return_counts=True)
-        return _batch(([None], [None], [None], [None], [np.stack([x, n.astype(np.uint64)])[:, n >= COMMON].tobytes()]), _SETS)
+        return _batch(([None], [None], [None], [None], [None], [np.stack([x, n.astype(np.uint64)])[:, n >= COMMON].tobytes()]), _SETS)
 
-    for ids, texts in text_slices(batches, "doc_id", "text"):
+    for ids, texts in text_slices(batches, "id", "text"):
         sets = shingle_sets(texts)
         nodes = [node_of(x) if len(x) else None for x in sets]
-        yield _batch((ids, [len(x) for x in sets], nodes, [point_of(x) if len(x) else None for x in sets], [None] * len(ids)), _SETS)
+        yield _batch(([x["doc_id"] for x in ids], [len(x) for x in sets], nodes, [point_of(x) if len(x) else None for x in sets], [x["text_hash"] for x in ids], [None] * len(ids)), _SETS)
         for x, node in zip(sets, nodes, strict=True):
             if node is not None and node not in seen:
                 seen.add(node)
@@ -430,133 +435,186 @@ def _overlap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return low.sum(axis=-1, dtype=np.int64) + (low == 65535).any(axis=-1) * (1 << 40)
 
 
-_POINTS = "key long, side int, node long, label long, n long, point binary"
+def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each key's rows, from rows in the order of the first column; the last column is binary."""
+    rest = None
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns - 1)]
+        rows = [*cols, np.array([*batch.column(batch.num_columns - 1).to_pylist(), None], object)[:-1]]
+        if rest is not None:
+            rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+        bounds = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist()]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield [x[a:b] for x in rows]
+        rest = [x[bounds[-1] :] for x in rows]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _gathered(groups: Iterator[tuple], fields) -> Iterator[pa.RecordBatch]:
+    """Batches of columns of arrays, some thousand groups each."""
+    out = []
+    for columns in groups:
+        out.append(columns)
+        if len(out) == 2000:
+            yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], fields)
+            out = []
+    if out:
+        yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], fields)
 
 
-def _tree_join(first: bool):
-    """Rows in the order of key (a block, or a pair of blocks with side 0 and 1) to pairs of nodes that pass the bound.
+def _tree_pairs(side: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): rows whose points pass the bound: those of side 0 and 1, or all pairs where there is one side."""
+    at = [np.flatnonzero(side == s) for s in np.unique(side)]
+    trees = [RTree(_points(points[x].tolist(), GROUPS), n[x]) for x in at]
+    i, j = trees[0].join(trees[-1])
+    i, j = at[0][i], at[-1][j]
+    ok = _finer(points, i, j, n[i] + n[j])
+    return i[ok], j[ok]
 
-    The first round gives each node's pair with its smallest partner only; the second all pairs of unlike labels.
-    """
-    fields = (("a", pa.int64()), ("b", pa.int64()))
-
-    def pairs(rows):
-        _, side, node, label, n, raw = rows
-        sides = [side == s for s in np.unique(side)]
-        trees = [(RTree(_points(list(raw[s]), GROUPS), n[s]), node[s], label[s], raw[s], n[s]) for s in sides]
-        (t, nodes, labels, left, size), (u, other, marks, right, size_of) = trees[0], trees[-1]
-        if not first and (labels == marks[0]).all() and (marks == labels[0]).all():
-            return
-        i, j = t.join(u)
-        a, b = np.minimum(nodes[i], other[j]), np.maximum(nodes[i], other[j])
-        kept = np.flatnonzero((labels[i] != marks[j]) if not first else a != b)
-        kept = kept[_finer(left, right, i[kept], j[kept], size[i[kept]] + size_of[j[kept]])]
-        a, b = a[kept], b[kept]
-        if first and len(a):
+
+_PAIRS = (("a", pa.int64()), ("b", pa.int64()))
+
+
+def _first_partners(batches):
+    """Of each block's nodes (key, side, node, label, n, point) the pair with the smallest partner that passes the bound."""
+
+    def found():
+        for _, side, node, _, n, points in _key_groups(batches):
+            i, j = _tree_pairs(side, n, points)
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             order = np.lexsort((a, b))
             a, b = a[order], b[order]
-            one = np.append(True, b[1:] != b[:-1])
-            a, b = a[one], b[one]
-        if len(a):
-            yield a, b
+            one = np.append(True, b[1:] != b[:-1])[: len(b)]
+            yield a[one], b[one]
 
-    def run(batches):
-        rest, out, n_out = None, [], 0
-        for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            rows = [*cols, np.array([*batch.column(5).to_pylist(), None], object)[:-1]]
-            if rest is not None:
-                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            cuts = np.flatnonzero(np.diff(rows[0])) + 1
-            bounds = [0, *cuts.tolist()]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                out += pairs([x[a:b] for x in rows])
-            rest = [x[bounds[-1] :] for x in rows]
-            if len(out) > 2000:
-                yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], fields)
-                out = []
-        if rest is not None and len(rest[0]):
-            out += pairs(rest)
-        if out:
-            yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], fields)
+    return _gathered(found(), _PAIRS)
 
-    return run
 
+def _may_link(batches):
+    """Of each block's rows (key, side, node, label, n, point) those that pass the bound with one of another label, as
+    pairs that connect what such pairs connect."""
 
-def _through_trees(members: DataFrame, points: DataFrame, first: bool) -> DataFrame:
-    """members (key, side, node, label) with their points, each key's rows together, joined in trees: a, b."""
-    rows = members.join(points, "node").select("key", "side", "node", "label", "n", "point")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_tree_join(first), "a long, b long").distinct()
+    def found():
+        for _, side, node, label, n, points in _key_groups(batches):
+            if (label != label[0]).any():
+                i, j = _tree_pairs(side, n, points)
+                other = label[i] != label[j]
+                a, b = union_find(node[i[other]], node[j[other]])
+                yield a[a != b], b[a != b]
 
+    return _gathered(found(), _PAIRS)
 
-def _needed_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node's lowest bits (nodes are hashes already), at most 8 MiB, gathered on the executors.  It only
-    spares rows of a shuffle: a node that passes wrongly finds no partner there."""
-    n_bits = 1 << min(26, max(12, (16 * nodes.count()).bit_length()))
-    at = F.col("node").bitwiseAND(F.lit(n_bits - 1))
-    words = nodes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+
+def _overlap_of(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of two sorted sets' intersection."""
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _spanning_links(batches):
+    """Of each block's nodes (key, side, node, label, whole set) links that connect what links connect, and no more.
+
+    Nodes of one label count as connected; of other pairs those that pass the bound are verified, until links have
+    connected them."""
+
+    def found():
+        for _, side, node, label, raw in _key_groups(batches):
+            sets = [_unpacked(x) for x in raw]
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            points = np.array([*(point_of(x << np.uint64(24), 0.25) for x in sets), None], object)[:-1]
+            i, j = _tree_pairs(side, n, points)
+            group = np.unique(label, return_inverse=True)[1]
+            a, b = [], []
+            while len(i):
+                apart = group[i] != group[j]
+                i, j = i[apart], j[apart]
+                for x, y in zip(i[:VERIFIED].tolist(), j[:VERIFIED].tolist(), strict=True):
+                    if group[x] != group[y] and linked(_overlap_of(sets[x], sets[y]), n[x] + n[y]):
+                        group[group == group[y]] = group[x]
+                        a.append(node[x])
+                        b.append(node[y])
+                i, j = i[VERIFIED:], j[VERIFIED:]
+            yield np.array(a, np.int64), np.array(b, np.int64)
+
+    return _gathered(found(), _PAIRS)
+
+
+def _in_blocks(members: DataFrame, of_nodes: DataFrame, run, schema: str) -> DataFrame:
+    """members (key, side, node, label) with what of_nodes has of them, each key's rows together, through run."""
+    rows = members.select("key", "side", "node", "label").join(of_nodes, "node")
+    return rows.select("key", "side", "node", "label", *[c for c in of_nodes.columns if c != "node"]).repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def _needed_filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for the lowest bits of each of hashes (h), at most 8 MiB, gathered on the executors.  It only spares
+    hashing: a text that passes wrongly is dropped later."""
+    n_bits = 1 << min(26, max(12, (16 * hashes.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(n_bits - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(n_bits // 64, np.int64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets link.  Sets travel as the 40 upper bits of their shingles' hashes."""
-    nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "needed")
-    words = docs.sparkSession.sparkContext.broadcast(_needed_filter(nodes))
+def _whole_sets(docs: DataFrame, nodes: DataFrame, points: DataFrame) -> DataFrame:
+    """node, shingles (the 40 upper bits of their hashes) of some distinct nodes, from one of each node's texts."""
+    wanted = written(nodes.join(points.select("node", "text_hash"), "node"), "needed")
+    words = docs.sparkSession.sparkContext.broadcast(_needed_filter(wanted.select(F.col("text_hash").alias("h"))))
     fields = (("node", pa.int64()), ("shingles", pa.binary()))
 
     def sets(batches):
         seen: set[int] = set()
         bits = words.value
-        for _, texts in text_slices(batches, "text", "text"):
-            out = []
-            for x in shingle_sets(texts):
-                if len(x) and (node := node_of(x)) not in seen:
-                    seen.add(node)
-                    low = node & (len(bits) * 64 - 1)
-                    if int(bits[low >> 6]) >> (low & 63) & 1:
+        for batch in batches:
+            low = batch.column("text_hash").to_numpy() & (len(bits) * 64 - 1)
+            mask = (bits[low >> 6] >> (low & 63)) & 1
+            for _, texts in text_slices([batch.filter(pa.array(mask == 1))], "text_hash", "text"):
+                out = []
+                for x in shingle_sets(texts):
+                    if len(x) and (node := node_of(x)) not in seen:
+                        seen.add(node)
                         out.append((node, _packed(x >> np.uint64(24)).tobytes()))
-            if out:
-                yield _batch(zip(*out, strict=True), fields)
+                if out:
+                    yield _batch(zip(*out, strict=True), fields)
+
+    found = docs.select("text_hash", "text").mapInArrow(sets, "node long, shingles binary")
+    return written(found.join(wanted.select("node"), "node").dropDuplicates(["node"]), "shingles")
+
 
-    found = docs.select("text").mapInArrow(sets, "node long, shingles binary")
-    found = written(found.join(nodes, "node").dropDuplicates(["node"]), "shingles")
+def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets link."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    found = _whole_sets(docs, nodes, points)
 
     def check(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = (_unpacked(z) for z in (x, y))
-                inner = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(bool(linked(inner, len(x) + len(y))))
-            both = _batch((a, b), (("a", pa.int64()), ("b", pa.int64())))
-            yield both.filter(pa.array(keep, pa.bool_()))
+                x, y = _unpacked(x), _unpacked(y)
+                keep.append(bool(linked(_overlap_of(x, y), len(x) + len(y))))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id.
-
-    A set is a text's distinct shingles of five words (A-Z as a-z); fewer words are one shingle; null texts and texts
-    without words are empty, linked with nothing.  component_id is the smallest doc_id that links reach; equal sets
-    link.  Rows with a null id or an id that repeats are judged by their texts all the same; a component without any
-    id has null.  An empty table gives no rows; other columns of df are left aside.
-    """
+def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str | None = "doc_id") -> DataFrame:
+    """One row per row of df: doc_id (null without id_col), text_hash, n_shingles, node (a number of the set, null for
+    an empty one), class (of the links' components the smallest node).  Everything else as in jaccard_components."""
     spark = df.sparkSession
     shared_dir(spark)
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = written(docs.mapInArrow(_summarised, "doc_id long, n long, node long, point binary, common binary"), "sets")
+    text = F.col(f"`{text_col}`")
+    doc_id = F.col(f"`{id_col}`").cast("long") if id_col else F.lit(None).cast("long")
+    docs = df.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    keyed = docs.select(F.struct("doc_id", "text_hash").alias("id"), "text")
+    rows = written(keyed.mapInArrow(_summarised, "doc_id long, n long, node long, point binary, text_hash long, common binary"), "sets")
     sets = rows.where("common is null")
     common = spark.sparkContext.broadcast(_common_shingles(rows.where("common is not null").select("common")))
     # one row per distinct set
-    points = written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
+    points = written(sets.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("text_hash").alias("text_hash")), "points")
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(points.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     at = lambda rows: rows.repartition(n, "bucket").sortWithinPartitions("bucket")
     texts = docs.select("text")
     shared = at(texts.mapInArrow(_dealt(common, n), _schema(_ENTRIES))).mapInArrow(_shared(n), _schema(_SHARED))
@@ -575,15 +633,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     node_points = points.select("node", "n", "point")
     members = blocks.select(F.xxhash64("cell", "block").alias("key"), F.lit(0).alias("side"), F.explode("nodes").alias("node")).withColumn("label", F.col("node"))
-    found = _through_trees(members, node_points, True)
+    found = _in_blocks(members, node_points, _first_partners, "a long, b long").distinct()
     # blocks of one cell meet through their smallest nodes
     heads = blocks.groupBy("cell").agg(F.min(F.col("nodes")[0]).alias("a"), F.count("*").alias("k")).where("k > 1")
     across = blocks.join(heads, "cell").select("a", F.col("nodes")[0].alias("b")).where("a <> b").distinct()
     tried = written(found.unionByName(across).distinct(), "pairs")
-    links = written(_verified(docs, tried), "links")
+    links = written(_verified(docs, tried, points), "links")
     labels = components(links)
 
-    # cells that still hold unlike labels: all their unlike pairs
+    # cells that still hold unlike labels: of those nodes that pass the bound with one of another label, whole sets
     at = blocks.select("cell", "block", F.explode("nodes").alias("node")).join(labels.withColumnRenamed("component", "label"), "node", "left")
     at = at.withColumn("label", F.coalesce("label", "node"))
     per_block = at.groupBy("cell", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -592,12 +650,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     x, y = per_block.alias("x"), per_block.alias("y")
     meet = x.join(y, F.expr("x.cell = y.cell and x.block <= y.block and not (x.low = x.high and y.low = y.high and x.low = y.low)"))
     meet = meet.select(F.col("x.cell").alias("cell"), F.xxhash64("x.cell", "x.block", "y.block").alias("key"), F.explode(F.expr("if(x.block = y.block, array(struct(x.block as block, 0 as side)), array(struct(x.block as block, 0 as side), struct(y.block as block, 1 as side)))")).alias("s")).select("cell", "key", "s.block", "s.side")
-    again = meet.join(at, ["cell", "block"]).select("key", "side", "node", "label")
-    found = written(_through_trees(again, node_points, False).join(tried, ["a", "b"], "left_anti"), "pairs")
-    labels = components(written(links.unionByName(_verified(docs, found)), "links"))
-
-    named = points.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    out = sets.select("doc_id", "n", "node").join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    again = meet.join(at, ["cell", "block"])
+    near = components(_in_blocks(again, node_points, _may_link, "a long, b long").distinct())
+    # what such pairs connect comes together once, in blocks where it is much
+    count = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    near = near.join(count, "component").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    near = near.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    key = F.xxhash64("component", F.least("block", "with"), F.greatest("block", "with"))
+    near = written(near.select(key.alias("key"), F.when(F.col("block") > F.col("with"), 1).otherwise(0).alias("side"), "node", F.coalesce("label", "node").alias("label")), "near")
+    whole = _whole_sets(docs, near.select("node").distinct(), points)
+    more = written(_in_blocks(near, whole, _spanning_links, "a long, b long"), "links")
+    labels = components(links.unionByName(more))
+    out = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "node", F.coalesce("component", "node").alias("class"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id.
+
+    A set is a text's distinct shingles of five words (A-Z as a-z); fewer words are one shingle; null texts and texts
+    without words are empty, linked with nothing.  component_id is the smallest doc_id that links reach; equal sets
+    link.  Rows with a null id or an id that repeats are judged by their texts all the same; a component without any
+    id has null.  An empty table gives no rows; other columns of df are left aside.
+    """
+    rows = jaccard_classes(df, text_col, id_col)
+    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "class", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
