@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from linkfield.llm.common import new_path, small, table, written
 from linkfield.llm.line_dedup import drop_boilerplate_lines
 from linkfield.llm.mixing import mixed_documents
-from linkfield.llm.ngram_join import jaccard_components
+from linkfield.llm.ngram_join import jaccard_classes
 from linkfield.llm.packing import pack_documents
 from linkfield.llm.toxicity import drop_toxic, held_out, train
 
@@ -34,9 +34,21 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest id; documents without words stay."""
-    others = written(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    return docs.join(small(others, 32), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows whose texts links connect one: that with the smallest id (null last), then hash of the text, then other
+    columns.  Rows are told by id and text, so unlike texts under one id stay; texts without words stay, too."""
+    rows = written(jaccard_classes(docs).select("doc_id", "text_hash", "class").where("class is not null"), "classes")
+    key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    groups = rows.groupBy("class").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
+    of_groups = rows.join(groups, "class").groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"), (key == F.col("first")).alias("stays")).count()
+    of_groups = written(of_groups, "others")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64(docs["text"]) == F.col("of_text"))
+    kept = docs.join(small(of_groups.where("not stays").select("of_id", "of_text"), 32), same, "left_anti")
+    repeated = of_groups.where("stays and count > 1").select("of_id", "of_text")
+    if repeated.isEmpty():
+        return kept
+    repeated = small(repeated, 32)
+    one = kept.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(repeated, same, "left_anti").unionByName(one)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
