@@ -59,3 +59,15 @@ def test_pipeline_stages(spark, tmp_path):
     total = last.agg(F.sum("length")).first()[0]
     assert last.select("sequence_id").distinct().count() <= math.ceil(total / 2048) + 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == last.count()
+
+
+def test_join_stage_keeps_one_of_each_group_by_text(spark):
+    text = lambda k, n=30: " ".join(f"v{k}x{i}" for i in range(n))
+    same = text(1)
+    rows = [(3, same, "s1"), (5, same.upper(), "s1"), (5, text(2), "s1"), (7, text(3), "s1"), (7, text(3), "s1"), (8, text(4), "b"), (8, text(4), "a")]
+    rows += [(None, text(5), "s1"), (9, text(5), "s1"), (None, text(6), "s1"), (None, text(6), "s1"), (11, None, "s1"), (11, "", "s1"), (12, None, "s1")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=str)
+    want = [(3, same, "s1"), (5, text(2), "s1"), (7, text(3), "s1"), (8, text(4), "a"), (9, text(5), "s1"), (None, text(6), "s1"), (11, None, "s1"), (11, "", "s1"), (12, None, "s1")]
+    assert got == sorted(want, key=str)
+    assert corpus_pipeline.one_of_each_group(spark, docs.where("false"), "").count() == 0
