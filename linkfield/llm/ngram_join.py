@@ -31,7 +31,7 @@ LEAF, BLOCK = 16, 1000
 COUNTED, COMMON, NOTED, PARTS = 1_000_000, 50, 200_000, 64
 #: Shingles that a task gathers before it deals them out; shingles of a bucket on average (the number of buckets
 #: follows from their count); parts in which a task counts a bucket (a power of two).
-GATHERED, BUCKET, SHARES = 500_000, 2_000_000, 8
+GATHERED, BUCKET, SHARES = 1_000_000, 4_000_000, 8
 #: Pairs of a block that are verified before those that have become connected are left out.
 VERIFIED = 256
 
@@ -158,8 +158,8 @@ def _slices(bucket: np.ndarray):
     return zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True)
 
 
-_ENTRIES = (("bucket", pa.int32()), ("node", pa.binary()), ("n", pa.binary()), ("runs", pa.binary()), ("h", pa.binary()))
-_SHARED = (("bucket", pa.int32()), ("node", pa.binary()), ("n", pa.binary()), ("cell", pa.binary()), ("df", pa.binary()))
+_ENTRIES = (("bucket", pa.int32()), ("node", pa.binary()), ("runs", pa.binary()), ("h", pa.binary()))
+_SHARED = (("bucket", pa.int32()), ("node", pa.binary()), ("cell", pa.binary()), ("df", pa.binary()), ("n", pa.binary()))
 _CELL_ENTRIES = (("bucket", pa.int32()), ("hot", pa.bool_()), ("h", pa.binary()), ("node", pa.binary()))
 
 
@@ -169,13 +169,13 @@ def _schema(fields) -> str:
 
 
 def _distinct_sets(batches, wanted):
-    """(node, size, some of the shingles) of the distinct sets that a task sees; wanted chooses from the sorted set."""
+    """(node, some of the shingles) of the distinct sets that a task sees; wanted chooses from the sorted set."""
     seen: set[int] = set()
     for _, texts in text_slices(batches, "text", "text"):
         for x in shingle_sets(texts):
             if len(x) and (node := node_of(x)) not in seen:
                 seen.add(node)
-                yield node, len(x), wanted(x)
+                yield node, wanted(x)
 
 
 def _is_common(x: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -185,27 +185,28 @@ def _is_common(x: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _dealt(common, n_buckets: int):
-    """Every set's shingles but the common ones, dealt to buckets by hash: nodes, sizes and runs, five bytes each."""
+    """Every set's shingles but the common ones, dealt to buckets by hash, five bytes each, in runs of one node."""
 
     def flushed(held):
-        node, n = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32)
-        h = np.concatenate([r[2] for r in held])
-        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(r[2]) for r in held])
+        node, h = np.array([r[0] for r in held], np.int64), np.concatenate([r[1] for r in held])
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(r[1]) for r in held])
         bucket = (h % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 65536 else np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, h, owner = bucket[order], h[order] // np.uint64(n_buckets), owner[order]
         rows = []
         for k, a, b in _slices(bucket):
-            cuts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-            who = owner[a:b][cuts]
-            rows.append((k, node[who].tobytes(), n[who].tobytes(), np.diff(np.append(cuts, b - a)).astype(np.uint32).tobytes(), _packed(h[a:b]).tobytes()))
+            new = np.append(True, owner[a + 1 : b] != owner[a : b - 1])
+            place = np.arange(b - a)
+            new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % 255 == 0  # a run's length is one byte
+            cuts = np.flatnonzero(new)
+            rows.append((k, node[owner[a:b][cuts]].tobytes(), np.diff(np.append(cuts, b - a)).astype(np.uint8).tobytes(), _packed(h[a:b]).tobytes()))
         return _batch(zip(*rows, strict=True), _ENTRIES)
 
     def run(batches):
         shingles, held, n_held = common.value, [], 0
         for entry in _distinct_sets(batches, lambda x: x[~_is_common(x, shingles)]):
             held.append(entry)
-            n_held += len(entry[2])
+            n_held += len(entry[1])
             if n_held >= GATHERED:
                 yield flushed(held)
                 held, n_held = [], 0
@@ -215,15 +216,35 @@ def _dealt(common, n_buckets: int):
     return run
 
 
-def _to_nodes(node: np.ndarray, n: np.ndarray, cell: np.ndarray, df: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+def _node_bucket(node: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (node.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
+
+
+def _to_nodes(node: np.ndarray, cell: np.ndarray, df: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """Shingles on their way back to their sets."""
-    bucket = (node.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
+    bucket = _node_bucket(node, n_buckets)
     order = np.lexsort((node, bucket))
-    node, n, cell, df, bucket = (x[order] for x in (node, n, cell, df, bucket))
-    rows = [(k, node[a:b].tobytes(), n[a:b].astype(np.int32).tobytes(), cell[a:b].tobytes(), df[a:b].astype(np.uint32).tobytes()) for k, a, b in _slices(bucket)]
+    node, cell, df, bucket = (x[order] for x in (node, cell, df, bucket))
+    rows = [(k, node[a:b].tobytes(), cell[a:b].tobytes(), df[a:b].astype(np.uint32).tobytes(), None) for k, a, b in _slices(bucket)]
     return _batch(zip(*rows, strict=True) if rows else [[]] * 5, _SHARED)
 
 
+def _sizes(n_buckets: int):
+    """Sets' sizes (node, n), to where their shingles meet."""
+
+    def run(batches):
+        for batch in batches:
+            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            bucket = _node_bucket(node, n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            node, n = node[order], n[order]
+            rows = [(k, node[a:b].tobytes(), b"", b"", n[a:b].tobytes()) for k, a, b in _slices(bucket[order])]
+            if rows:
+                yield _batch(zip(*rows, strict=True), _SHARED)
+
+    return run
+
+
 def _common_of_sets(common, n_buckets: int):
     """The common shingles of every set, straight to their sets: they count as the most frequent of all."""
 
@@ -231,16 +252,15 @@ def _common_of_sets(common, n_buckets: int):
         shingles, held, n_held = common.value, [], 0
 
         def flushed():
-            sizes = [len(r[2]) for r in held]
-            cell = np.searchsorted(shingles, np.concatenate([r[2] for r in held])).astype(np.int64) + (1 << 62)
-            node, n = (np.repeat(np.array([r[k] for r in held], np.int64), sizes) for k in (0, 1))
-            return _to_nodes(node, n, cell, np.full(len(cell), 0xFFFFFFFF, np.uint32), n_buckets)
+            cell = np.searchsorted(shingles, np.concatenate([r[1] for r in held])).astype(np.int64) + (1 << 62)
+            node = np.repeat(np.array([r[0] for r in held], np.int64), [len(r[1]) for r in held])
+            return _to_nodes(node, cell, np.full(len(cell), 0xFFFFFFFF, np.uint32), n_buckets)
 
         if len(shingles):
             for entry in _distinct_sets(batches, lambda x: x[_is_common(x, shingles)]):
-                if len(entry[2]):
+                if len(entry[1]):
                     held.append(entry)
-                    n_held += len(entry[2])
+                    n_held += len(entry[1])
                 if n_held >= GATHERED:
                     yield flushed()
                     held, n_held = [], 0
@@ -271,7 +291,7 @@ def _joined(rows, k: int, kind) -> np.ndarray:
 def _shared(n_buckets: int):
     """Of each bucket the shingles that two sets or more have, with their number of sets."""
 
-    def shared_part(bucket, h, who, nodes, n):
+    def shared_part(bucket, h, who, nodes):
         order = np.lexsort((who, h))
         h, who = h[order], who[order]
         fresh = np.append(True, (h[1:] != h[:-1]) | (who[1:] != who[:-1]))  # copies in other tasks
@@ -281,22 +301,20 @@ def _shared(n_buckets: int):
         df = np.repeat(df, df)
         kept = df > 1
         cell = (h[kept] * np.uint64(n_buckets) + np.uint64(bucket)).view(np.int64)
-        return nodes[who[kept]], n[who[kept]], cell, df[kept].astype(np.uint32)
+        return nodes[who[kept]], cell, df[kept].astype(np.uint32)
 
     def run(batches):
         for bucket, rows in _by_bucket(batches):
             # nodes as places in a table, and one part of the hashes after another: little memory at a time
             nodes, which = np.unique(_joined(rows, 1, np.int64), return_inverse=True)
-            n = np.zeros(len(nodes), np.int32)
-            n[which] = _joined(rows, 2, np.int32)
-            who = np.repeat(which.astype(np.int32), _joined(rows, 3, np.uint32))
-            h = np.concatenate([_unpacked(r[4]) for r in rows])
+            who = np.repeat(which.astype(np.int32), _joined(rows, 2, np.uint8))
+            h = np.concatenate([_unpacked(r[3]) for r in rows])
             rows.clear()
             found = []
             for k in range(SHARES):
                 part = np.flatnonzero((h & np.uint64(SHARES - 1)) == np.uint64(k))
                 if len(part):
-                    found.append(shared_part(bucket, h[part], who[part], nodes, n))
+                    found.append(shared_part(bucket, h[part], who[part], nodes))
             if found:
                 yield _to_nodes(*(np.concatenate(x) for x in zip(*found, strict=True)), n_buckets)
 
@@ -310,15 +328,21 @@ def _prefixes(n_buckets: int):
 
     def run(batches):
         for _, rows in _by_bucket(batches):
-            node, n, cell, df = (_joined(rows, k, t) for k, t in ((1, np.int64), (2, np.int32), (3, np.int64), (4, np.uint32)))
+            of_size, rows = [r for r in rows if r[4] is not None], [r for r in rows if r[4] is None]
+            if not rows:
+                continue
+            node, cell, df = (_joined(rows, k, t) for k, t in ((1, np.int64), (2, np.int64), (3, np.uint32)))
+            sized, n = _joined(of_size, 1, np.int64), _joined(of_size, 4, np.int64)
+            by_node = np.argsort(sized)
             rows.clear()
             order = np.lexsort((cell, df, node))
-            node, n, cell = node[order], n[order].astype(np.int64), cell[order]
+            node, cell = node[order], cell[order]
             fresh = np.append(True, (node[1:] != node[:-1]) | (cell[1:] != cell[:-1]))
-            node, n, cell = node[fresh], n[fresh], cell[fresh]
+            node, cell = node[fresh], cell[fresh]
             starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
             shared = np.diff(np.append(starts, len(node)))
-            wanted = prefix_length(n[starts]) - (n[starts] - shared)
+            n = n[by_node[np.searchsorted(sized, node[starts], sorter=by_node)]]
+            wanted = prefix_length(n) - (n - shared)
             kept = np.arange(len(node)) - np.repeat(starts, shared) < np.repeat(wanted, shared)
             node, cell = node[kept], cell[kept]
             hot = cell >= 1 << 62
@@ -619,6 +643,7 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str | None =
     texts = docs.select("text")
     shared = at(texts.mapInArrow(_dealt(common, n), _schema(_ENTRIES))).mapInArrow(_shared(n), _schema(_SHARED))
     shared = shared.unionByName(texts.mapInArrow(_common_of_sets(common, n), _schema(_SHARED)))
+    shared = shared.unionByName(points.select("node", "n").mapInArrow(_sizes(n), _schema(_SHARED)))
     entries = at(shared).mapInArrow(_prefixes(n), _schema(_CELL_ENTRIES))
     cells = at(entries).mapInArrow(_cells, "cell long, block int, hot boolean, nodes array<long>")
     cells = written(cells, "cells")
