@@ -85,26 +85,28 @@ def train(documents: DataFrame, labels: DataFrame, how: Settings = Settings(), m
     order = [F.xxhash64("__id"), F.col("__id")]
     chosen = known.where("__label = 0").orderBy(*order).limit(max_rows).unionByName(known.where("__label = 1").orderBy(*order).limit(max_rows))
     rows = documents.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = rows.select("__id", "__label", "__text", F.xxhash64("__id", F.lit(1)).alias("__order")).repartition(1)
+    rows = rows.select(F.struct(F.xxhash64("__id", F.lit(1)).alias("o"), F.xxhash64("__id").alias("h"), F.col("__label").alias("y")).alias("__meta"), "__text")
+
+    def extract(batches):
+        for meta, texts in text_slices(batches, "__meta", "__text"):
+            sets = [x.astype(np.int32).tobytes() for x in feature_sets(texts, how)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in meta], t) for k, t in (("o", pa.int64()), ("h", pa.int64()), ("y", pa.int32()))] + [pa.array(sets, pa.binary())], names=["o", "h", "y", "features"])
 
     def fit(batches):
         found = []
         for batch in batches:
-            meta = list(zip(batch.column("__order").to_pylist(), batch.column("__id").to_pylist(), batch.column("__label").to_pylist(), strict=True))
-            done = 0
-            for ids, texts in text_slices([batch], "__id", "__text"):
-                found += [(*m, x.astype(np.int32)) for m, x in zip(meta[done : done + len(ids)], feature_sets(texts, how), strict=True)]
-                done += len(ids)
-        found.sort(key=lambda r: (r[0], r[1], r[2], len(r[3])))
+            found += zip(*(batch.column(c).to_pylist() for c in ("o", "h", "y", "features")), strict=True)
+        found.sort(key=lambda r: (r[0], r[1], r[2], len(r[3]), r[3]))
         classes = {r[2] for r in found}
         if len(classes) == 2:
-            w = fit_ftrl([r[3] for r in found], [r[2] for r in found], how)
+            w = fit_ftrl([np.frombuffer(r[3], np.int32) for r in found], [r[2] for r in found], how)
         else:
             w = np.array([4.0 if classes == {1} else -4.0])
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(w[kept], pa.float64())], names=["feature", "weight"])
 
-    found = rows.mapInArrow(fit, "feature int, weight double").collect()
+    # texts become features where they are; what meets in one task is bounded by max_rows
+    found = rows.mapInArrow(extract, "o long, h long, y int, features binary").repartition(1).mapInArrow(fit, "feature int, weight double").collect()
     return [(r.feature, r.weight) for r in found] or [(0, -4.0)]  # no row may mean no task
 
 

@@ -22,7 +22,7 @@ from linkfield.llm.ngram_join import RTree, jaccard_components, linked
 from linkfield.llm.packing import LocalSearch, best_fit_decreasing, pack, pack_documents
 from linkfield.llm.token_output import Shard, ShardReader, read_token_shards, token_digests, train_dictionary, write_token_shards
 from linkfield.llm.tokens import HashTable, WordEncoder, tokenizer_path
-from linkfield.llm.toxicity import Settings, drop_toxic, feature_sets, fit_ftrl, score, train
+from linkfield.llm.toxicity import Settings, drop_toxic, feature_sets, fit_ftrl, score, toxicity, train
 from linkfield.llm.url_filter import Rule, build_cascade, filter_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -423,3 +423,41 @@ def test_scores(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i] < 0.7}
     only_bias = train(df, labels.where("false"))
     assert len(only_bias) == 1 and score(df.where("false"), only_bias).count() == 0
+
+
+def plain_ftrl(sets, labels, how):
+    """FTRL-proximal one coordinate at a time, in plain Python."""
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= how.l1:
+            return 0.0
+        return ((how.l1 if z[k] > 0 else -how.l1) - z[k]) / ((how.beta + math.sqrt(n[k])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for x, y in zip(sets, labels, strict=True):
+            g = 1 / (1 + math.exp(-sum(weight(k) for k in x))) - y
+            for k, w in [(k, weight(k)) for k in x]:
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / how.alpha * w
+                n[k] = before + g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+def test_toxicity_against_plain_python(spark):
+    how = Settings(bits=12, epochs=2, l1=1.0)
+    texts = [(i, words(12, i, 60) + (" scum" if i % 4 == 0 else "")) for i in range(60)]
+    rows = texts + [(3, texts[3][1]), (None, "scum"), (100, None), (101, "")]
+    df = spark.createDataFrame([(i, t, 0.5, 9) for i, t in rows], "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    order = {r.doc_id: (r.o, r.h) for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("o"), F.xxhash64("doc_id").alias("h")).collect()}
+    fitted = sorted(((*order[i], t, i) for i, t in rows if i is not None and i < 60 and not kept_out(i)))
+    w = plain_ftrl([x.tolist() for x in feature_sets([t for _, _, t, _ in fitted], how)], [int(i % 4 == 0) for *_, i in fitted], how)
+    got = toxicity(df, labels, how).collect()
+    assert len(got) == len(rows)
+    want = {t: 1 / (1 + math.exp(-sum(w.get(int(k), 0.0) for k in x))) for t, x in zip([t for _, t in rows], feature_sets([t or "" for _, t in rows], how), strict=True)}
+    for r in got:
+        text = {i: t for i, t in rows}[r.doc_id]
+        assert r.held_out == kept_out(r.doc_id) and abs(r.score - want[text]) < 1e-5 and r.predicted == int(r.score >= 0.7)
+    assert toxicity(df.where("false"), labels, how).count() == 0
