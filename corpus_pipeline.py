@@ -21,8 +21,17 @@ from linkfield.llm.toxicity import drop_toxic, held_out, train
 BOILERPLATE_RATIO = 0.01
 
 
+#: Rows of whole texts that go to a Python worker at once, on both sides of the pipe; Spark's own 10,000 are tens of MB.
+ARROW_ROWS = 1000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold; the fit sees the labels that aren't held out."""
+    _short_batches(spark)
     weights = train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     return drop_toxic(docs, weights)
 
@@ -36,6 +45,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts links connect one: that with the smallest id (null last), then hash of the text, then other
     columns.  Rows are told by id and text, so unlike texts under one id stay; texts without words stay, too."""
+    _short_batches(spark)
     rows = written(jaccard_classes(docs).select("doc_id", "text_hash", "class").where("class is not null"), "classes")
     key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
     groups = rows.groupBy("class").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
@@ -58,6 +68,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    _short_batches(spark)
     return pack_documents(docs)
 
 
