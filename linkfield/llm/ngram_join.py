@@ -31,7 +31,7 @@ LEAF, BLOCK = 16, 1000
 COUNTED, COMMON, NOTED, PARTS = 1_000_000, 50, 200_000, 64
 #: Shingles that a task gathers before it deals them out; shingles of a bucket on average (the number of buckets
 #: follows from their count); parts in which a task counts a bucket (a power of two).
-GATHERED, BUCKET, SHARES = 1_000_000, 4_000_000, 8
+GATHERED, BUCKET, SHARES = 500_000, 4_000_000, 8
 #: Pairs of a block that are verified before those that have become connected are left out.
 VERIFIED = 256
 

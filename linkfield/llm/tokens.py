@@ -13,7 +13,7 @@ from .hashing import ASCII_SPACE, SpanHasher, spans, windows
 
 #: Characters of text that are handled at once; distinct words that a worker remembers (about 40 bytes each), and the
 #: bytes of one beyond which it isn't remembered.
-SLICE_CHARS, WORDS, LONG = 1 << 20, 1_000_000, 200
+SLICE_CHARS, WORDS, LONG = 1 << 20, 500_000, 200
 
 _PUNCTUATION, _WORD_END = np.zeros(256, bool), np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
