@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The patterns of URLs and bare domains.
 #: Unicode white space, spelt out: Java's \s knows ASCII only.
 SPACE = r"\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 IN_URL = rf"[^{SPACE}<>\"']"
@@ -13,7 +14,6 @@ SCHEME_URL = rf"(?i)(?:https?://|www\.){IN_URL}+"
 #: Labels of letters, digits and inner hyphens, each with its dot; then a top-level domain, a slash and the rest.
 LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 BARE_URL = rf"(?i)\b(?:{LABEL}\.)+[a-z]{{2,24}}/{IN_URL}*"
-BARE_TLD = r"(?i)\.([a-z]{2,24})/"
 
 # Top-level domains that a bare domain may end in.
 TLDS = (
@@ -27,6 +27,7 @@ ABSOLUTE_URI = r"^[A-Za-z][A-Za-z0-9+.-]*:(?:[^\s\x00-\x1f<>\"{}|\\^`%]|%[0-9A-F
 WEB_SCHEME = r"^(?i)(?:https?|ftp):"
 WEB_URI = r"^(?i)(?:https?|ftp)://[^/?#\s<>\"{}|\\^`%]+"
 
+# What is trimmed from the end of a URL.
 MARKS = ".,;:!?\"'"
 PAIRS = ((")", "("), ("]", "["), ("}", "{"))
 

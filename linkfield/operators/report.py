@@ -29,9 +29,20 @@ def page_trace_counts(codes: DataFrame, links: DataFrame) -> DataFrame:
 
 def letter_findings(links: DataFrame) -> DataFrame:
     """links with letter: A, B, ... over a document, by page, then from the top; linked ones before others on a spot.
-    Letters go on in code points after Z."""
+    Letters go on in code points after Z, as 16-bit numbers."""
     by = Window.partitionBy("doc_id").orderBy("page_number", F.desc("bottom_pt"), F.when(F.col("status") == "linked", 0).otherwise(1), "source_rank", "order_key")
-    return links.withColumn("letter", F.chr(F.lit(64) + F.row_number().over(by)))
+    code = F.hex(F.pmod(F.lit(64) + F.row_number().over(by), F.lit(1 << 16)).cast("long"))
+    return links.withColumn("letter", F.decode(F.unhex(F.lpad(code, 4, "0")), "UTF-16BE"))
+
+
+def link_messages(links: DataFrame) -> DataFrame:
+    """One line per finding: doc_id, message_no, page_number, message; a document's new links first, then those that
+    are left alone, each in result order."""
+    by = Window.partitionBy("doc_id").orderBy(F.when(F.col("status") == "linked", 0).otherwise(1), *RESULT_ORDER)
+    page = F.concat(F.lit("Page "), F.col("page_number").cast("string"), F.lit(": "))
+    new, old = F.concat(page, F.lit("linking to "), F.col("uri")), F.concat(page, F.col("uri"), F.lit(" is already linked, left alone"))
+    message = F.when(F.col("status") == "linked", new).otherwise(old)
+    return links.select("doc_id", F.row_number().over(by).alias("message_no"), "page_number", message.alias("message"))
 
 
 def ordered_results(links: DataFrame) -> DataFrame:

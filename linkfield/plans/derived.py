@@ -58,6 +58,13 @@ FROM (SELECT *, CAST(c * 800 * (page_id % 3) AS DOUBLE) AS down FROM pages
   CROSS JOIN (SELECT * FROM (VALUES (false), (true)) v(inverted)) i CROSS JOIN (SELECT * FROM (VALUES (0), (1)) v(c)) d WHERE url IS NOT NULL) x
 """
 
+# The same without the chunks: every document's body pages by its number of words, and its appendix.
+SPARK_PAGES_DIM = r"""
+SELECT doc_id, page_number, CAST(612 AS DOUBLE) AS page_width_pt, CAST(792 AS DOUBLE) AS page_height_pt, 2550 AS bitmap_width, 3300 AS bitmap_height FROM (
+  SELECT page_id AS doc_id, url, coalesce(regexp_count(regexp_replace(html, '<[^>]*>', ' '), '[^ \\t\\r\\n]+'), 0) AS n FROM pages) q
+LATERAL VIEW explode(array_distinct(concat(if(n > 0, sequence(1, CAST(ceil(n / 360) AS INT)), array()), if(url IS NOT NULL, array(99), array())))) e AS page_number
+"""
+
 SPARK_WORDS = r"SELECT page_id, i, word FROM pages LATERAL VIEW posexplode(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' '), '[^ \\t\\r\\n]+', 0)) e AS i, word"
 SPARK_POINTS = "array(named_struct('x', 600 * scale, 'y', (500 + down) * scale), named_struct('x', 1000 * scale, 'y', (500 + down) * scale), named_struct('x', 600 * scale, 'y', (900 + down) * scale))"
 DUCK_WORDS = r"SELECT page_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS word FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^ \t\r\n]+') AS ws FROM pages) q"
@@ -107,7 +114,7 @@ class Tables:
 
     @property
     def pages_dim(self) -> DataFrame:
-        return self._of(PAGES_DIM, text_chunks=self.text_chunks)
+        return self._of(SPARK_PAGES_DIM)
 
     @property
     def annotations(self) -> DataFrame:

@@ -98,7 +98,8 @@ def link(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, page
 def relink(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """The scan after its own new links have been added: all of them are linked already, but boxes without area.
 
-    Links are located once: where they are does not depend on annotations."""
+    Where links are does not depend on annotations; the plan has their location twice, so write it in between where
+    that is dear."""
     found, before = located(chunks, words, detections, pages, options), existing_links(annotations)
     added = split_existing(found, before).where("status = 'linked'").select(*before.columns)
     return split_existing(found, before.unionByName(added))

@@ -167,7 +167,7 @@ SELECTS: dict[str, str] = {
     "s4_existing_links": "SELECT * FROM existing",
     "p1_drop_blank_chunks": f"SELECT {PAGE}, seq, text FROM kept_chunks",
     "p2_default_uri_filter": f"SELECT * FROM (SELECT *, {_uri('text')} AS uri FROM (SELECT {PAGE}, seq, text FROM text_chunks UNION ALL SELECT {PAGE}, -1 - level_no, payload FROM qr_detections) a) b WHERE uri IS NOT NULL",
-    "p3_custom_uri_filter": f"SELECT {PAGE}, line_no, match_no, uri || '?utm_source=qr' AS uri FROM cands",
+    "p3_custom_uri_filter": f"SELECT {PAGE}, 'text' AS source, line_no, is_bare, match_no, uri || '?utm_source=qr' AS uri FROM cands_bare UNION ALL SELECT {PAGE}, 'qr', level_no, CAST(inverted AS INT), decode_no, uri || '?utm_source=qr' FROM (SELECT *, {_uri('payload')} AS uri FROM codes) c WHERE uri IS NOT NULL",
     "p4_pixel_box_to_points": f"SELECT {PAGE}, seq, {_RBOX} FROM ({_points('ocr_words', 'r.doc_id, r.page_number, seq')}) z",
     "p5_qr_padded_box": f"SELECT {PAGE}, level_no, inverted, decode_no, payload, px_left, px_top, px_right, px_bottom FROM boxes",
     "p6_pyramid_plan": f"""SELECT {PAGE}, level_no, scale, level_w, level_h, round(bitmap_width / level_w, 6) AS inverse_scale, inverted FROM (
@@ -194,6 +194,7 @@ SELECTS: dict[str, str] = {
     "d2_dedupe_text_spots": f"SELECT {PAGE}, line_no, is_bare, match_no, uri, {BOX} FROM spots",
     "a1_document_summary": """SELECT doc_id, n_linked, n_already, CASE WHEN n_linked = 0 AND n_already = 0 THEN 'nothing found' ELSE CAST(n_linked AS VARCHAR) || CASE WHEN n_linked = 1 THEN ' link added' ELSE ' links added' END END AS message
 FROM (SELECT d.doc_id, count(*) FILTER (WHERE status = 'linked') AS n_linked, count(*) FILTER (WHERE status = 'already_linked') AS n_already FROM (SELECT DISTINCT page_id AS doc_id FROM pages) d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id) n""",
+    "a1_link_messages": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE status WHEN 'linked' THEN 0 ELSE 1 END, source_rank, page_number, order_key) AS INT) AS message_no, page_number, 'Page ' || page_number || CASE status WHEN 'linked' THEN ': linking to ' || uri ELSE ': ' || uri || ' is already linked, left alone' END AS message FROM found",
     "a2_pages_with_findings": f"SELECT DISTINCT {PAGE} FROM found",
     "a3_page_trace_counts": f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page_number, b.page_number) AS page_number, coalesce(n_codes, 0) AS n_codes, coalesce(n_text, 0) AS n_text FROM (SELECT {PAGE}, count(*) AS n_codes FROM codes GROUP BY {PAGE}) a FULL JOIN (SELECT {PAGE}, count(*) AS n_text FROM found WHERE source = 'text' AND status = 'linked' GROUP BY {PAGE}) b ON a.doc_id = b.doc_id AND a.page_number = b.page_number",
     "a4_debug_candidates": f"SELECT *, ({_uri('payload')}) IS NOT NULL AS accepted FROM codes",
@@ -207,7 +208,7 @@ FROM (SELECT d.doc_id, count(*) FILTER (WHERE status = 'linked') AS n_linked, co
     "x3_scan": f"SELECT {_LINKS} FROM found",
     "x4_link": f"SELECT {PAGE}, uri, {_RBOX}, 'Link' AS subtype FROM found WHERE status = 'linked'",
     "x5_relink": f"SELECT {_FOUND_KEYS}, uri, {_status('', 'existing_after')} AS status FROM found c",
-    "e1_apply_ocr_engine": f"SELECT {PAGE}, 'tile' AS pass, tile_y, 0 AS seq, 'https://ocr.example.org/' || doc_id || '/' || tile_y AS text, 10 AS px_left, 5 AS px_top, 200 AS px_right, 25 AS px_bottom FROM tiles",
+    "e1_apply_ocr_engine": "SELECT t.doc_id, t.page_number, 'tile' AS pass, t.tile_y, w.seq, w.text, w.px_left, w.px_top - t.tile_y AS px_top, w.px_right, w.px_bottom - t.tile_y AS px_bottom FROM tiles t JOIN ocr_words w ON w.doc_id = t.doc_id AND w.page_number = t.page_number AND w.pass = 'whole' AND w.px_top >= t.tile_y AND w.px_bottom <= t.tile_y + t.tile_height",
 }
 
 

@@ -13,7 +13,7 @@ from ..operators.dedupe import dedupe_qr, dedupe_text_spots
 from ..operators.detection import apply_ocr_engine, attach_page_size, ocr_tile_plan, ocr_words_to_chunks, pyramid_plan, qr_padded_box, to_points
 from ..operators.existing import existing_links, split_existing
 from ..operators.lines import PAGE, drop_blank_chunks, group_lines, lines_of
-from ..operators.report import compare_presets, document_summary, letter_findings, link_edges, ordered_results, overlay_percent, page_trace_counts, pages_with_findings
+from ..operators.report import compare_presets, document_summary, letter_findings, link_edges, link_messages, ordered_results, overlay_percent, page_trace_counts, pages_with_findings
 from ..options import DEFAULT_SCALES, INTERACTIVE_SCALES
 from ..sources.files import classify_inputs, image_page_size, link_annotations, output_paths
 from . import jobs
@@ -74,8 +74,10 @@ def tagged(text: Column) -> Column:
 
 
 def p3_custom_uri_filter(t: Tables) -> DataFrame:
-    lines = bare_domain_matches(scheme_url_matches(lines_of(t.text_chunks)), wanted=False)
-    return candidate_uris(lines, tagged).select(*PAGE, "line_no", "match_no", "uri")
+    lines = drop_bare_under_scheme(bare_domain_matches(scheme_url_matches(lines_of(t.text_chunks))))
+    text = candidate_uris(lines, tagged).select(*PAGE, F.lit("text").alias("source"), "line_no", "is_bare", "match_no", "uri")
+    codes = _codes(t).withColumn("uri", tagged(F.col("payload"))).where("uri is not null")
+    return text.unionByName(codes.select(*PAGE, F.lit("qr").alias("source"), F.col("level_no").alias("line_no"), F.col("inverted").cast("int").alias("is_bare"), F.col("decode_no").alias("match_no"), "uri"))
 
 
 def p4_pixel_box_to_points(t: Tables) -> DataFrame:
@@ -177,6 +179,10 @@ def a1_document_summary(t: Tables) -> DataFrame:
     return document_summary(t.pages.select(F.col("page_id").alias("doc_id")), _scan(t))
 
 
+def a1_link_messages(t: Tables) -> DataFrame:
+    return link_messages(_scan(t))
+
+
 def a2_pages_with_findings(t: Tables) -> DataFrame:
     return pages_with_findings(_scan(t))
 
@@ -232,22 +238,27 @@ def x5_relink(t: Tables) -> DataFrame:
     return _rounded(jobs.relink(t.text_chunks, t.ocr_words, t.qr_detections, t.pages_dim, t.annotations).select(*PAGE, "source", "order_key", "uri", "status"))
 
 
-def reading_engine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stands for an OCR engine: one word per tile."""
+def words_of_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reads a tile by the words that are known of its page: those that lie in it, with their places there."""
     for tiles in batches:
-        word = "https://ocr.example.org/" + tiles["doc_id"].astype(str) + "/" + tiles["tile_y"].astype(str)
-        yield pd.DataFrame({"doc_id": tiles["doc_id"], "page_number": tiles["page_number"], "pass": "tile", "tile_y": tiles["tile_y"], "seq": 0, "text": word, "px_left": 10, "px_top": 5, "px_right": 200, "px_bottom": 25})
+        rows = tiles.explode("words").reset_index(drop=True)
+        words = pd.DataFrame(rows["words"].tolist(), columns=["seq", "text", "px_left", "px_top", "px_right", "px_bottom"])
+        out = pd.concat([rows.drop(columns="words"), words], axis=1).assign(**{"pass": "tile"})
+        out = out[(out["px_top"] >= out["tile_y"]) & (out["px_bottom"] <= out["tile_y"] + out["tile_height"])]
+        out = out.assign(px_top=out["px_top"] - out["tile_y"], px_bottom=out["px_bottom"] - out["tile_y"])
+        yield out[["doc_id", "page_number", "pass", "tile_y", "seq", "text", "px_left", "px_top", "px_right", "px_bottom"]]
 
 
 def e1_apply_ocr_engine(t: Tables) -> DataFrame:
-    return apply_ocr_engine(ocr_tile_plan(t.pages_dim), reading_engine)
+    words = t.ocr_words.where("pass = 'whole'").groupBy(*PAGE).agg(F.collect_list(F.struct("seq", "text", "px_left", "px_top", "px_right", "px_bottom")).alias("words"))
+    return apply_ocr_engine(ocr_tile_plan(t.pages_dim).join(words, list(PAGE)), words_of_tiles)
 
 
 _ALL = (
     s1_classify_inputs, s2_output_paths, s3_link_annotations, s4_existing_links, p1_drop_blank_chunks, p2_default_uri_filter, p3_custom_uri_filter, p4_pixel_box_to_points,
     p5_qr_padded_box, p6_pyramid_plan, p7_ocr_tile_plan, p8_ocr_words_to_chunks, p9_image_page_size, p10_link_edges, p11_overlay_percent, t1_group_lines, t2_reconstruct_lines,
     t3_scheme_url_matches, t4_bare_domain_matches, t5_drop_bare_under_scheme, t6_trim_trailing_punctuation, t7_candidate_uris, t8_match_to_rect, j1_split_existing,
-    j2_ocr_escalation_pages, j3_attach_page_size, j4_compare_presets, d1_dedupe_qr, d2_dedupe_text_spots, a1_document_summary, a2_pages_with_findings, a3_page_trace_counts,
+    j2_ocr_escalation_pages, j3_attach_page_size, j4_compare_presets, d1_dedupe_qr, d2_dedupe_text_spots, a1_document_summary, a1_link_messages, a2_pages_with_findings, a3_page_trace_counts,
     a4_debug_candidates, w1_letter_findings, o1_ordered_results, u1_merge_sources, u2_merge_chunks, u3_merge_status, x1_scan_text, x2_scan_qr, x3_scan, x4_link, x5_relink, e1_apply_ocr_engine,
 )
 

@@ -7,7 +7,7 @@ from linkfield.operators.dedupe import dedupe_qr, dedupe_text_spots
 from linkfield.operators.detection import apply_ocr_engine, ocr_tile_plan, ocr_words_to_chunks, pyramid_plan, qr_padded_box, to_points
 from linkfield.operators.existing import existing_links, split_existing
 from linkfield.operators.lines import lines_of
-from linkfield.operators.report import document_summary, letter_findings
+from linkfield.operators.report import document_summary, letter_findings, link_messages
 from linkfield.options import ScanOptions
 from linkfield.plans import jobs
 from linkfield.sources.files import classify_inputs, image_page_size, output_paths
@@ -213,3 +213,30 @@ def test_landing_folder(spark, tmp_path):
     query = link_landing_folder(spark, str(tmp_path / "in"), CHUNKS, lambda: spark.createDataFrame([], ANNOTATIONS), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert [r.uri for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()] == ["https://a.com"]
+
+
+def test_letters_of_hundreds_of_findings(spark):
+    df = spark.range(300).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page_number"), F.lit(5.0).alias("bottom_pt"), F.lit("linked").alias("status"), F.lit(0).alias("source_rank"), F.col("id").alias("order_key"))
+    got = [r.letter for r in letter_findings(df).orderBy("order_key").collect()]
+    assert got == [chr(65 + k) for k in range(300)] and got[191] == "\u0100" and got[256] == "\u0141"
+
+
+def test_messages(spark):
+    rows = [(1, 2, "linked", 0, 5, "https://b"), (1, 1, "already_linked", 1, 1, "https://c"), (1, 1, "linked", 1, 9, "https://a"), (2, 7, "already_linked", 0, 1, "x:y")]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, status string, source_rank int, order_key long, uri string")
+    got = [(r.doc_id, r.message_no, r.message) for r in link_messages(df).orderBy("doc_id", "message_no").collect()]
+    assert got == [(1, 1, "Page 2: linking to https://b"), (1, 2, "Page 1: linking to https://a"), (1, 3, "Page 1: https://c is already linked, left alone"), (2, 1, "Page 7: x:y is already linked, left alone")]
+    assert link_messages(df.where("false")).count() == 0
+
+
+def test_an_engine_reads_tiles(spark):
+    import pandas as pd
+
+    from linkfield.operators.detection import apply_ocr_engine
+
+    def engine(batches):
+        for tiles in batches:
+            yield pd.DataFrame({"doc_id": tiles["doc_id"], "page_number": tiles["page_number"], "pass": "tile", "tile_y": tiles["tile_y"], "seq": 0, "text": "https://e.org/" + tiles["tile_y"].astype(str), "px_left": 1, "px_top": 2, "px_right": 30, "px_bottom": 9})
+
+    tiles = spark.createDataFrame([(1, 1, 0, 100), (1, 1, 50, 100)], "doc_id long, page_number int, tile_y int, tile_height int")
+    assert sorted(r.text for r in apply_ocr_engine(tiles, engine).collect()) == ["https://e.org/0", "https://e.org/50"]
