@@ -184,6 +184,8 @@ def sequence(xs: list, ys: list, same_page: bool) -> list:
     if any(x[LABEL] == any_name(x[TAG], x[OUT]) for x in (*xs, *ys)):
         return collapsed([*xs, *ys], same_page)
     n, m = len(xs), len(ys)
+    if max(n, m) > PARTS:  # the alignment would be as long, so collapse right away: linear in the siblings
+        return collapsed([*collapsed(xs, True), *collapsed(ys, True)], same_page)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -406,9 +408,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merged(table: pa.Table) -> pa.Table:
     """One wrapper from a group's; keeps the columns but wrapper."""
-    parts = table.column("wrapper").to_pylist()
+    parts = sorted(table.column("wrapper").to_pylist())
     out = json.loads(parts[0])
-    for p in sorted(parts[1:]):
+    for p in parts[1:]:
         out = aligned(out, json.loads(p))
     first = table.slice(0, 1)
     return first.set_column(first.schema.get_field_index("wrapper"), "wrapper", pa.array([json.dumps(out)], pa.string()))
