@@ -94,3 +94,36 @@ def test_constants_of_a_host_are_left_out(spark):
     assert all(got[20 + i] == f"title of {i}\nfirst of {i}\n{('All of our readers pay for this. ' * 8 + str(i))}\nlast of {i}" for i in range(12))
     assert all(got[i] == f"title of {i}, which is a text of its own\nfirst of {i}, which is a text of its own\nlast of {i}, which is a text of its own" for i in range(12))
     assert all("the editors" in got[40 + i] for i in range(5)) and all(got[50 + i] == f"t{i}\na copied article" for i in range(5))
+
+
+def test_thousands_of_unlike_siblings():
+    import time
+
+    page = "<body><article><p>text {0}</p>" + "".join(f"<{'div' if k % 3 else 'p'} class='x{slug(k)}'>part {k} of {{0}}</{'div' if k % 3 else 'p'}>" for k in range(20_000)) + "</article><div class=promo>promo</div></body>"
+    began = time.process_time()
+    got = extracted([page.format(i) for i in range(3)])
+    assert time.process_time() - began < 60
+    assert [t.count("\n") for t in got] == [20_000] * 3 and all(t.startswith(f"text {i}\npart 0 of {i}") for i, t in enumerate(got))
+
+
+def test_pages_are_read_alike_however_they_are_dealt(spark):
+    page = "<html><body><div class=head><a href=x>home</a></div>{1}<div class='box-{2}'><article><h1>title {0}</h1><p>text {0}</p>{3}</article></div><div class=promo>Buy our things today</div></body></html>"
+    rows = [(i, f"http://h{i % 2}.org/{i}", page.format(i, "<p>notice</p>" if i % 3 else "", slug(i), "<ul><li>a<li>b</ul>" if i % 5 else "")) for i in range(60)]
+    rows += rows[:5] + [(90, "http://h0.org/x", None), (91, None, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, extract_main_text(df.coalesce(1)).collect()), key=str)
+    assert len(want) == len(rows)
+    assert sorted(map(tuple, extract_main_text(df.repartition(7)).collect()), key=str) == want
+    assert extract_main_text(df.where("false")).count() == 0
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from linkfield.llm.common import shared_dir
+
+    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(unnamed)
