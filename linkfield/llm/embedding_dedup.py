@@ -16,7 +16,11 @@ from .components import components, union_find
 
 #: Width of a quantised projection (unit vectors), chance of missing a pair at the very threshold, unlike vectors
 #: that share a bucket on average, vectors in one block of a bucket.
-WIDTH, MISS, OCCUPANCY, BLOCK = 1.8, 0.002, 400, 4096
+WIDTH, MISS, OCCUPANCY, BLOCK = 1.8, 0.002, 400, 16384
+
+#: Signs of random projections in a sketch; standard deviations that a pair at the threshold may differ beyond the
+#: mean of its unlike signs (it is missed with a chance of about 1 in 100,000).
+SIGNS, DEVIATIONS = 128, 4.5
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -33,8 +37,15 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log(1 - near**k))
 
 
+def unlike_signs(threshold: float) -> int:
+    """Unlike signs up to which two sketches may belong to a pair at the threshold."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.ceil(SIGNS * p + DEVIATIONS * math.sqrt(SIGNS * p * (1 - p)))
+
+
 def _vectors(batches):
-    """Per row: id, key of its vector (null if it links with nothing), length, vector as bytes of doubles."""
+    """Per row: id, key of its vector (null if it links with nothing), length, vector as bytes of doubles, or of floats
+    where they hold the same numbers."""
     fields = (("vec_id", pa.int64()), ("key", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary()))
     for batch in batches:
         out = []
@@ -47,8 +58,11 @@ def _vectors(batches):
             if x is None:
                 out.append((i, None, None, None))
             else:
-                raw = (x + 0.0).tobytes()  # -0.0 is 0.0
-                out.append((i, _key(raw), len(x), raw))
+                x = x + 0.0  # -0.0 is 0.0
+                with np.errstate(over="ignore"):
+                    floats = x.astype("<f4")
+                raw = (floats if np.array_equal(floats, x) else x).tobytes()
+                out.append((i, _key(raw, len(x)), len(x), raw))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
@@ -60,53 +74,105 @@ def _rescued(x: np.ndarray) -> np.ndarray | None:
     return x / np.abs(x).max()
 
 
-def _key(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+def _key(raw: bytes, dim: int) -> int:
+    return xxhash.xxh64_intdigest(raw, dim) - (1 << 63)
+
+
+def _unit(raw: list[bytes], dim: int) -> np.ndarray:
+    """Rows of unit length from vectors as bytes."""
+    x, size = np.empty((len(raw), dim)), np.array([len(r) for r in raw])
+    for width, kind in ((4, "<f4"), (8, "<f8")):
+        rows = np.flatnonzero(size == width * dim)
+        x[rows] = np.frombuffer(b"".join(raw[i] for i in rows), kind).reshape(len(rows), dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _hashed(k: int, tables: int, seed: int):
-    """A row per class and table: bucket, and the buckets of all tables to tell where a pair met first."""
-    fields = (("bucket", pa.int64()), ("t", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("all", pa.binary()))
+    """A row per class: its buckets, one a table, and its sketch (signs of other projections) in two numbers."""
     made: dict[int, tuple] = {}
 
     def run(batches):
         for batch in batches:
-            key, n, raw = (batch.column(c).to_pylist() for c in ("key", "n", "vec"))
-            dims = batch.column("dim").to_numpy()
+            raw, dims = batch.column("vec").to_pylist(), batch.column("dim").to_numpy()
+            names, signs = np.empty((len(raw), tables), np.uint64), np.empty((len(raw), SIGNS // 64), np.int64)
             for d in np.unique(dims).tolist():
                 if d not in made:
                     rng = np.random.default_rng([seed, d])
-                    made[d] = rng.standard_normal((d, k * tables)), rng.uniform(0, WIDTH, k * tables)
-                a, b = made[d]
+                    made[d] = rng.standard_normal((d, k * tables)), rng.uniform(0, WIDTH, k * tables), rng.standard_normal((d, SIGNS))
+                a, b, c = made[d]
                 rows = np.flatnonzero(dims == d)
-                x = np.frombuffer(b"".join(raw[i] for i in rows), "<f8").reshape(len(rows), d)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit([raw[i] for i in rows], d)
                 cells = np.floor((x @ a + b) / WIDTH).astype("<i4").reshape(len(rows), tables, k)
-                names = np.array([[xxhash.xxh64_intdigest(c.tobytes(), t * 100_003 + d) for t, c in enumerate(r)] for r in cells], np.uint64)
-                short = (names >> np.uint64(32)).astype("<u4")
-                for s in range(0, len(rows), 500):
-                    part = rows[s : s + 500]
-                    each = np.repeat(part, tables)
-                    cols = (names[s : s + 500].ravel().view(np.int64), np.tile(np.arange(tables, dtype=np.int32), len(part)), [key[i] for i in each], [n[i] for i in each], [raw[i] for i in each], [short[s + j].tobytes() for j in np.repeat(np.arange(len(part)), tables)])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, (_, ty) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
+                names[rows] = [[xxhash.xxh64_intdigest(c.tobytes(), t * 100_003 + d) for t, c in enumerate(r)] for r in cells]
+                signs[rows] = np.packbits(x @ c > 0, axis=1).view(np.int64)
+            if len(raw):
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * tables), pa.array(names.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, buckets, pa.array(signs[:, 0]), pa.array(signs[:, 1])], names=[*batch.schema.names, "buckets", "s0", "s1"])
+
+    return run
+
+
+def _by_group(of_group):
+    """of_group(rows) for the rows of each group, of batches in the order of grp; rows are columns by name."""
+
+    def columns(batch) -> dict[str, np.ndarray]:
+        return {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+
+    def run(batches):
+        rest = None
+        for rows in map(columns, batches):
+            if rest is not None:
+                rows = {c: np.concatenate([rest[c], rows[c]]) for c in rows}
+            cuts = [0, *(np.flatnonzero(np.diff(rows["grp"])) + 1).tolist()]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield from of_group({c: v[a:b] for c, v in rows.items()})
+            rest = {c: v[cuts[-1] :] for c, v in rows.items()}
+        if rest is not None and len(rest["grp"]):
+            yield from of_group(rest)
 
     return run
 
 
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows to compare with one another, and whether they are those of two blocks."""
+    return np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()), bool(side.min() != side.max())
+
+
+def _likely_in_buckets(most: int):
+    """Of the rows of each group those with another one (of the other block, where there are two) of which at most
+    `most` signs are unlike."""
+
+    def of_group(rows):
+        if len(rows["key"]) < 2:
+            return
+        left, right, _ = _sides(rows["side"])
+        sketch, likely = np.stack([rows["s0"], rows["s1"]], axis=1).view(np.uint64), np.zeros(len(rows["key"]), bool)
+        for s in range(0, len(left), 512):
+            part = left[s : s + 512]
+            for r in range(0, len(right), 512):
+                other = right[r : r + 512]
+                if likely[part].all() and likely[other].all():
+                    continue
+                unlike = sum(np.bitwise_count(sketch[part, w, None] ^ sketch[None, other, w]) for w in range(sketch.shape[1]))
+                near = (unlike <= most) & (part[:, None] != other[None, :])
+                likely[part] |= near.any(axis=1)
+                likely[other] |= near.any(axis=0)
+        if likely.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][likely]) for c in ("grp", "t", "side", "key")], names=["grp", "t", "side", "key"])
+
+    return _by_group(of_group)
+
+
 def _linked_in_buckets(threshold: float):
     """Rows in the order of group (a bucket, or two blocks of one) to key, links, root: how many vectors each class
     links with that it hasn't met in an earlier table, and the smallest class it is connected to here."""
 
     def of_group(rows):
-        (t, side, key, n, raw, every) = rows
-        if len(key) < 2 or len({len(r) for r in raw}) > 1:
+        key, n, t = rows["key"], rows["n"], int(rows["t"][0])
+        if len(key) < 2 or (rows["dim"] != rows["dim"][0]).any():
             return
-        x = np.frombuffer(b"".join(raw), "<f8").reshape(len(key), -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        met = np.frombuffer(b"".join(every), "<u4").reshape(len(key), -1)
-        two = side.min() != side.max()
-        left = np.flatnonzero(side == side.min())
-        right = np.flatnonzero(side == side.max())
+        x, met = _unit(rows["vec"].tolist(), int(rows["dim"][0])), np.stack(rows["codes"])
+        left, right, two = _sides(rows["side"])
         links, found = np.zeros(len(key), np.int64), []
         step = max(1, (1 << 21) // max(1, len(right)))
         for s in range(0, len(left), step):
@@ -116,44 +182,30 @@ def _linked_in_buckets(threshold: float):
             if not two:
                 i, j = i[i < j], j[i < j]
             if len(i):
-                found.append((i, j))
-                fresh = ~(met[i, : t[0]] == met[j, : t[0]]).any(axis=1)
+                fresh = np.ones(len(i), bool)
+                for earlier in range(t):
+                    fresh &= met[i, earlier] != met[j, earlier]
                 np.add.at(links, i[fresh], n[j[fresh]])
                 np.add.at(links, j[fresh], n[i[fresh]])
+                node, root = union_find(i, j)
+                found.append((node, root))
         if found:
-            i, j = (np.concatenate(z) for z in zip(*found, strict=True))
-            node, root = union_find(key[i], key[j])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links[_places(key, node)]), pa.array(root)], names=["key", "links", "root"])
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            group = batch.column("grp").to_numpy()
-            rows = [group, *(batch.column(c).to_numpy() for c in ("t", "side", "key", "n")), np.array(batch.column("vec").to_pylist() + [None], object)[:-1], np.array(batch.column("all").to_pylist() + [None], object)[:-1]]
-            if rest is not None:
-                rows = [np.concatenate(z) for z in zip(rest, rows, strict=True)]
-            cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist()]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from of_group([z[a:b] for z in rows[1:]])
-            rest = [z[cuts[-1] :] for z in rows]
-        if rest is not None and len(rest[0]):
-            yield from of_group([z for z in rest[1:]])
-
-    return run
-
+            node, root = union_find(*(np.concatenate(z) for z in zip(*found, strict=True)))
+            least = np.full(len(key), np.iinfo(np.int64).max)
+            np.minimum.at(least, root, key[node])
+            yield pa.RecordBatch.from_arrays([pa.array(key[node]), pa.array(links[node]), pa.array(least[root])], names=["key", "links", "root"])
 
-def _places(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
-    return order[np.searchsorted(key, wanted, sorter=order)]
+    return _by_group(of_group)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, seed: int = 5) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, seed: int = 5, block: int = BLOCK) -> DataFrame:
     """One row per row of df: vec_id, n_links, component_id, kept.
 
     Two vectors link when their cosine is threshold or more.  Equal vectors are one class, so a vector that a third of
-    all rows share is looked up once.  Classes meet in buckets of several tables (see plan); every pair that meets is
-    compared exactly and counted in the first table where it meets.  Buckets over BLOCK classes are compared block by
-    block in tasks of their own.  Vectors that are null, empty, zero or hold null or non-finite components, and vectors
+    all rows share is looked up once.  Classes meet in buckets of several tables (see plan).  Only sketches travel to all
+    buckets; what has a partner there that its sketch doesn't rule out (see unlike_signs) is joined by its vector,
+    compared exactly and counted in the first table where a pair meets.  Buckets over `block` classes are compared block
+    by block in tasks of their own.  Vectors that are null, empty, zero or hold null or non-finite components, and vectors
     of unlike length, link with nothing.  component_id is the smallest vec_id that links reach (the vector's own
     without links); kept tells if it is the row's own.  Null ids are never smallest.  An empty table gives no rows.
     """
@@ -163,16 +215,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows = written(source.mapInArrow(_vectors, "vec_id long, key long, dim int, vec binary"), "vectors")
     classes = written(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
     k, tables = plan(classes.count(), threshold)
-    hashed = classes.select("key", "n", "dim", "vec").mapInArrow(_hashed(k, tables, seed), "bucket long, t int, key long, n long, vec binary, all binary")
-    # the buckets alone tell which ones need blocks: the vectors are not moved for that
-    large = written(hashed.groupBy("bucket", "t").count().where(F.col("count") > BLOCK).select("bucket", "t", F.ceil(F.col("count") / BLOCK).cast("int").alias("m")), "large")
-    hashed = hashed.join(large, ["bucket", "t"], "left")
-    block = F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("m")).cast("int"))
-    others = F.sequence(F.lit(0), F.coalesce(F.col("m"), F.lit(1)) - 1)
-    hashed = hashed.withColumn("side", block).withColumn("other", F.explode(others))
+    kind = "key long, n long, dim int, vec binary, buckets array<long>, s0 long, s1 long"
+    hashed = written(classes.select("key", "n", "dim", "vec").mapInArrow(_hashed(k, tables, seed), kind), "hashed")
+    each = hashed.select("key", "s0", "s1", F.posexplode("buckets").alias("t", "bucket"))
+    large = written(each.groupBy("bucket", "t").count().where(F.col("count") > block).select("bucket", "t", F.ceil(F.col("count") / block).cast("int").alias("m")), "large")
+    each = each.join(large, ["bucket", "t"], "left")
+    side = F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("m")).cast("int"))
+    each = each.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("m"), F.lit(1)) - 1)))
     group = F.xxhash64("bucket", "t", F.least("side", "other"), F.greatest("side", "other"))
-    met = hashed.select(group.alias("grp"), "t", "side", "key", "n", "vec", "all").repartition("grp").sortWithinPartitions("grp")
-    found = written(met.mapInArrow(_linked_in_buckets(threshold), "key long, links long, root long"), "links")
+    met = each.select(group.alias("grp"), "t", "side", "key", "s0", "s1").repartition("grp").sortWithinPartitions("grp")
+    likely = written(met.mapInArrow(_likely_in_buckets(unlike_signs(threshold)), "grp long, t int, side int, key long"), "likely")
+    codes = F.transform("buckets", lambda b: F.shiftright(b, 32).cast("int")).alias("codes")
+    pairs = likely.join(hashed.select("key", "n", "dim", "vec", codes), "key").repartition("grp").sortWithinPartitions("grp")
+    found = written(pairs.mapInArrow(_linked_in_buckets(threshold), "key long, links long, root long"), "links")
     labels = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")).distinct())
     degree = found.groupBy("key").agg(F.sum("links").alias("links"))
 

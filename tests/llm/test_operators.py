@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkfield.llm.components import components
-from linkfield.llm.embedding_dedup import collision, near_duplicates, plan
+from linkfield.llm.embedding_dedup import collision, near_duplicates, plan, unlike_signs
 from linkfield.llm.fingerprint import fingerprint_edits, merge, resemblance, with_bottom_k
 from linkfield.llm.hashing import shingle_sets
 from linkfield.llm.html_wrapper import aligned, article_paths, article_text, extract_main_text, parse, pattern
@@ -203,6 +203,38 @@ def test_embeddings(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_against_all_pairs(spark):
+    draw = np.random.default_rng(9)
+    base = draw.standard_normal((300, 48))
+    hot = draw.standard_normal(48) + draw.standard_normal((700, 48)) * 0.25  # one group of a third of all rows
+    x = np.concatenate([base, hot, *(base + draw.standard_normal(base.shape) * s for s in (0.2, 0.3, 0.35))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))
+    assert len(i) > 100_000
+    want = np.bincount(np.concatenate([i, j]), minlength=len(x))
+    for block in (16384, 100):  # buckets whole, and block by block
+        got = {r.vec_id: r for r in near_duplicates(df, block=block).collect()}
+        links = np.array([got[k].n_links for k in range(len(x))])
+        assert (links <= want).all() and links.sum() >= 0.998 * want.sum()
+        for a in range(len(x)):
+            assert got[a].component_id <= a and got[a].kept == (got[a].component_id == a)
+        assert len({got[k].component_id for k in range(300, 1000)}) == 1
+        assert sum(got[a].component_id == got[b].component_id for a, b in zip(i.tolist(), j.tolist(), strict=True)) >= 0.999 * len(i)
+
+
+def test_sketches_rule_out_few_pairs_at_the_threshold():
+    draw = np.random.default_rng(1)
+    a, b = draw.standard_normal((2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    signs = draw.standard_normal((64, 128))
+    unlike = ((a @ signs > 0) != ((0.9 * a + math.sqrt(1 - 0.81) * b) @ signs > 0)).sum(axis=1)
+    assert (unlike > unlike_signs(0.9)).sum() <= 4 and ((a @ signs > 0) != (b @ signs > 0)).sum(axis=1).min() > unlike_signs(0.9) - 6
+    assert unlike_signs(1.0) == 0 and unlike_signs(-1.0) == 128
+
+
 def test_embedding_plan():
     assert 0.79 < collision(math.sqrt(0.2)) < 0.81 and collision(0.01) > 0.99
     for n in (0, 10, 10**4, 10**8):
