@@ -40,9 +40,12 @@ def _numpy_near(text: bool):
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], box: Column, text: bool) -> DataFrame:
-    """rows without those near an earlier kept one of their group; box is a struct of x0, y0, x1, y1."""
+    """rows without those near an earlier kept one of their group; box is a struct of x0, y0, x1, y1.
+
+    Both ways to fold read one exchange of rows, so whatever rows come from is computed once.  Its keys are turned round
+    because Spark leaves an exchange out, and computes rows twice, where they are dealt by the same keys already."""
     columns, near = rows.columns, _numpy_near(text)
-    rows = rows.withColumn("__box", box).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    rows = rows.repartition(*reversed(keys)).withColumn("__box", box).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     few = _fold(rows.where(F.col("__n") <= FOLD_ROWS).drop("__n"), keys, order, same_text_spot if text else same_spot)
     many = rows.where(F.col("__n") > FOLD_ROWS).drop("__n").select(*columns, *[F.col("__box")[k].cast("double").alias(f"__{k}") for k in ("x0", "y0", "x1", "y1")])
     schema = many.drop("__x0", "__y0", "__x1", "__y1").schema

@@ -12,6 +12,7 @@ from ..functions.text import is_blank, trimmed
 from .lines import PAGE
 
 PIXELS = ("px_left", "px_top", "px_right", "px_bottom")
+SIZES = ("page_width_pt", "page_height_pt", "bitmap_width", "bitmap_height")
 OCR_WORDS = "doc_id long, page_number int, pass string, tile_y int, seq int, text string, px_left int, px_top int, px_right int, px_bottom int"
 
 # Strips of a page's height in the tile pass, the part of a strip that a step covers.
@@ -39,14 +40,14 @@ def ocr_tile_plan(pages: DataFrame) -> DataFrame:
 
 def attach_page_size(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """rows with page_width_pt, page_height_pt, bitmap_width, bitmap_height of their page; rows of unknown pages go."""
-    return rows.join(pages.select(*PAGE, "page_width_pt", "page_height_pt", "bitmap_width", "bitmap_height"), list(PAGE))
+    return rows.join(pages.select(*PAGE, *SIZES), list(PAGE))
 
 
-def to_points(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """rows with pixel boxes and, instead of page sizes, boxes in points."""
-    sized = attach_page_size(rows, pages)
+def to_points(rows: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """rows with pixel boxes and, instead of page sizes, boxes in points.  Without pages, rows have their sizes."""
+    sized = rows if pages is None else attach_page_size(rows, pages)
     pt = pixel_box_to_points({c: F.col(c) for c in PIXELS}, (F.col("page_width_pt"), F.col("page_height_pt")), (F.col("bitmap_width"), F.col("bitmap_height")))
-    return sized.withColumns(pt).drop("page_width_pt", "page_height_pt", "bitmap_width", "bitmap_height")
+    return sized.withColumns(pt).drop(*SIZES)
 
 
 def ocr_words_to_chunks(words: DataFrame, pages: DataFrame) -> DataFrame:
@@ -59,12 +60,12 @@ def ocr_words_to_chunks(words: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*PAGE, "source_rank", "tile_y", "seq", "text", "left_pt", "bottom_pt", "width_pt", "height_pt", "space_width")
 
 
-def qr_padded_box(detections: DataFrame, pages: DataFrame) -> DataFrame:
-    """Detections with pixel boxes at full size; those without points go."""
+def qr_padded_box(detections: DataFrame, pages: DataFrame, sizes: bool = False) -> DataFrame:
+    """Detections with pixel boxes at full size, and with their page's sizes if asked; those without points go."""
     sized = attach_page_size(detections.where(F.size(F.coalesce("points", F.array())) > 0), pages)
     level_w = F.greatest(F.lit(1), (F.col("bitmap_width") * F.col("scale")).cast("int"))
     box = padded_box(F.col("points"), F.col("bitmap_width") / level_w)
-    return sized.withColumns(box).select(*PAGE, "level_no", "inverted", "decode_no", "payload", *PIXELS)
+    return sized.withColumns(box).select(*PAGE, "level_no", "inverted", "decode_no", "payload", *PIXELS, *(SIZES if sizes else ()))
 
 
 def apply_ocr_engine(tasks: DataFrame, engine: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None) -> DataFrame:

@@ -35,10 +35,10 @@ def located_text(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame
 
 def located_qr(detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """Code links with their boxes: levels merge by payload and spot, then targets are filtered."""
-    codes = dedupe_qr(qr_padded_box(detections, pages))
+    codes = dedupe_qr(qr_padded_box(detections, pages, sizes=True))
     accepted = codes.withColumn("uri", (options.uri_filter or default_uri_filter)(F.col("payload"))).where("uri is not null")
     order = F.col("level_no").cast("long") * 1_000_000 + F.col("inverted").cast("int") * 500_000 + F.col("decode_no")
-    return to_points(accepted, pages).withColumns({"source": F.lit("qr"), "source_rank": F.lit(0), "order_key": order}).select(*LOCATED)
+    return to_points(accepted).withColumns({"source": F.lit("qr"), "source_rank": F.lit(0), "order_key": order}).select(*LOCATED)
 
 
 def scan_text(chunks: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
@@ -74,8 +74,9 @@ def ocr_escalation_pages(words: DataFrame, pages: DataFrame, options: ScanOption
 
 def ocr_chunks(words: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """Chunks of the whole-page pass, and of the tile pass on pages that escalate."""
-    tiles = words.where("pass = 'tile'").join(ocr_escalation_pages(words, pages, options).select(*PAGE), list(PAGE), "left_semi")
-    return ocr_words_to_chunks(words.where("pass = 'whole'").unionByName(tiles), pages)
+    chunks = ocr_words_to_chunks(words.where("pass IN ('whole', 'tile')"), pages)
+    found = text_candidates(chunks.where("source_rank = 1"), options).select(*PAGE).distinct().withColumn("__found", F.lit(True))
+    return chunks.join(found, list(PAGE), "left").where("source_rank = 1 OR __found IS NULL").drop("__found")
 
 
 def located(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
