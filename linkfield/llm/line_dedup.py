@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import BROADCAST_BYTES, shared_dir, written
 
 #: A line in more than this share of its site's pages is boilerplate, if it is in MIN_PAGES pages at least.
-MAX_RATIO, MIN_PAGES = 0.05, 3
+MAX_RATIO, MIN_PAGES = 0.01, 3
 
 
 def boilerplate_lines(df: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:

@@ -5,12 +5,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linkfield.llm import packing
 from linkfield.llm.html_wrapper import aligned, article_text, extract_main_text, host_paths, outside, parse, pattern
+from linkfield.llm.line_dedup import drop_boilerplate_lines
 
 
 def test_boilerplate_in_small_and_large_sites(spark):
     rows = [(i, f"own {i}" + ("\nfooter" if i < 45 else "") + ("\nquoted" if i % 300 == 0 else ""), "en", "large", 0) for i in range(1500)]
     rows += [(2000 + i, f"mine {i}" + ("\nfooter" if i < 3 else "\nquoted" if i < 5 else ""), "en", "small", 0) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = drop_boilerplate_lines(docs).groupBy("source").agg(F.sum("n_dropped").alias("n")).orderBy("source").collect()
+    assert judged == [("large", 45), ("small", 3)]  # the production ratio: a site's footers, no more
     got = corpus_pipeline.without_boilerplate(spark, docs, "")
     assert got.count() == 1580 and got.where("text like '%footer%'").count() == 0  # 3 % and 3.75 %
     assert got.where("text like '%quoted%'").groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect() == [("large", 5), ("small", 2)]
