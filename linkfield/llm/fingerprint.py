@@ -13,28 +13,29 @@ K, WORDS, DIGITS = 128, 5, 12
 _RANGE = 1 << (4 * DIGITS)
 
 
-def _hash(x: Column) -> Column:
-    return F.xxhash64(x).bitwiseAND(F.lit(_RANGE - 1))
+def _hash(*x: Column) -> Column:
+    return F.xxhash64(*x).bitwiseAND(F.lit(_RANGE - 1))
 
 
 def with_bottom_k(df: DataFrame, text: Column, name: str, k: int = K, words: int = WORDS) -> DataFrame:
     """df with the sketch of text in column name (array<bigint>).
 
-    Shingles are runs of five words, white space between them counted as one space; a text of one to four words is
-    one shingle, as it stands; null texts and texts without words have an empty sketch.
+    Shingles are runs of five words, hashed from the hashes of their words; a text of one to four words is one
+    shingle, white space between them counted as one space; null texts and texts without words have an empty sketch.
     """
-    run = r"(?<![^ ])(?=([^ ]+" + r" [^ ]+" * (words - 1) + r")(?![^ ]))"
     # columns of their own, so that none is worked out twice
     df = df.withColumn("__plain", F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-    df = df.withColumn("__hashes", F.transform(F.regexp_extract_all("__plain", F.lit(run), F.lit(1)), _hash))
-    sketch = F.slice(F.array_sort(F.array_distinct("__hashes")), 1, k)
+    df = df.withColumn("__words", F.transform(F.split("__plain", " "), lambda x: F.xxhash64(x)))
+    starts = F.slice("__words", F.lit(1), F.greatest(F.size("__words") - (words - 1), F.lit(0)))
+    df = df.withColumn("__hashes", F.transform(starts, lambda x, i: _hash(x, *[F.get("__words", i + j) for j in range(1, words)])))
+    sketch = F.slice(F.sort_array(F.array_distinct("__hashes")), 1, k)
     short = F.when(F.col("__plain") == "", F.array().cast("array<bigint>")).otherwise(F.array(_hash(F.col("__plain"))))
-    return df.withColumn(name, F.when(F.size("__hashes") > 0, sketch).otherwise(short)).drop("__plain", "__hashes")
+    return df.withColumn(name, F.when(F.size("__hashes") > 0, sketch).otherwise(short)).drop("__plain", "__words", "__hashes")
 
 
 def merge(x: Column, y: Column, k: int = K) -> Column:
     """The sketch of two parts together."""
-    return F.slice(F.array_sort(F.array_union(x, y)), 1, k)
+    return F.slice(F.sort_array(F.array_union(x, y)), 1, k)
 
 
 def resemblance(x: Column, y: Column, k: int = K) -> Column:
