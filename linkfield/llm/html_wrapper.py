@@ -4,9 +4,11 @@ A page's tags form a tree.  A wrapper is a tree of labels whose children are a s
 repeated parts with text slots.  Two wrappers are aligned part by part: what only one of them has becomes optional,
 equal neighbours become a repeated group, and a text that differs turns from a constant into a slot.  Tasks align
 the pages they see, and the results are aligned again, host by host.  The wrapper of a host then tells which of its
-paths hold the article, and every page is read along those paths.  Its slots are read, its constants aren't: a block
-of text that stands in the same place (by tags) on enough of the host's pages is part of the template.  A page is a
-distinct HTML of a host, and blocks are counted exactly, by a hash of their place and whole text.
+paths hold the article, and every page is read along those paths.  Its slots are read, its constants aren't: a part of
+the template is a block of text that stands in the same slot on enough of the host's pages, where at least half of the
+pages with that slot agree on it.  In a slot with text of its own on most pages (an article's paragraphs) a sentence
+that repeats is content.  A page is a distinct HTML of a host, and blocks are counted exactly, by hashes of slot and
+whole text; a slot is an element with its names below its ancestors' tags.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ DEPTH, PARTS, HOSTS, SALTS = 40, 48, 2000, 16
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
-#: A block is constant if this many pages of a host have it and this share of them; a page whose blocks are constant to
-#: more than this share (headings aside) is a copy of others and stays whole.
-CONSTANT_PAGES, CONSTANT_SHARE, COPY = 3, 0.1, 0.8
+#: A block is constant if this many pages of a host have it, this share of them and this share of those with its slot;
+#: a page whose blocks are constant to more than this share (headings aside) is a copy of others and stays whole.
+CONSTANT_PAGES, CONSTANT_SHARE, SLOT_SHARE, COPY = 3, 0.1, 0.5, 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object video audio canvas select".split())
@@ -322,13 +324,13 @@ def digest(data: str) -> int:
 
 
 def blocks_of(root: Node, paths: frozenset, inside: bool, every: bool = False) -> tuple[list[tuple[int, str, str]], bool]:
-    """The blocks (place, tag, text) below paths (of everything, if inside; with what is set apart, if every), and
+    """The blocks (slot, tag, text) below paths (of everything, if inside; with what is set apart, if every), and
     whether any path was met.  A label of the page goes along a path as itself or as a collapsed part."""
     known, hit = ways(paths), inside or root.label in paths
     blocks: list[tuple[int, str, list[str]]] = [(0, root.tag, [])]
-    stack = [(iter(root.children), (root.label,), hit, True, False, 0, root.tag)]
+    stack = [(iter(root.children), (root.label,), hit, True, False, 0, 0, root.tag)]
     while stack:
-        children, at, inside, heading, edge, place, tag = stack[-1]
+        children, at, inside, heading, edge, place, slot, tag = stack[-1]
         for x in children:
             if isinstance(x, str):
                 if inside and heading:
@@ -337,32 +339,34 @@ def blocks_of(root: Node, paths: frozenset, inside: bool, every: bool = False) -
             apart = outside(x)
             below = tuple(q for p in at for q in (f"{p}/{x.label}", f"{p}/{any_name(x.tag, apart)}") if q in known)
             if apart and not every and not any(f"+{q}" in paths for q in below):
-                blocks.append((place, tag, []))
+                blocks.append((slot, tag, []))
                 continue
             edge = apart or x.tag in BLOCK
-            new, of = (zlib.crc32(x.tag.encode(), place), x.tag) if edge else (place, tag)
+            below_tags, new, of = (zlib.crc32(x.tag.encode(), place), zlib.crc32(x.label.encode("utf-8", "replace"), place), x.tag) if edge else (place, slot, tag)
             if edge:
                 blocks.append((new, of, []))
             met = any(q in paths for q in below)
             hit = hit or met
             only = True if every else False if x.tag == "header" else heading or x.tag in HEADINGS
-            stack.append((iter(x.children), below, inside or met, only, edge, new, of))
+            stack.append((iter(x.children), below, inside or met, only, edge, below_tags, new, of))
             break
         else:
             stack.pop()
             if edge:
-                blocks.append((stack[-1][5], stack[-1][6], []))
-    texts = ((place, tag, " ".join(html_lib.unescape("".join(b)).split())) for place, tag, b in blocks if b)
+                blocks.append((stack[-1][6], stack[-1][7], []))
+    texts = ((slot, tag, " ".join(html_lib.unescape("".join(b)).split())) for slot, tag, b in blocks if b)
     return [b for b in texts if b[2]], hit
 
 
-def block_hash(place: int, text: str) -> int:
-    return digest(f"{place}:{text}")
+def block_hash(slot: int, text: str) -> int:
+    """24 bits of the slot above 40 of the text, as a signed number."""
+    both = (slot & 0xFFFFFF) << 40 | digest(text) & 0xFFFFFFFFFF
+    return both - (1 << 64) if both >> 63 else both
 
 
 def page_blocks(root: Node) -> list[int]:
     """Hashes of a page's blocks; cells of tables are data, whatever they repeat."""
-    return sorted({block_hash(place, text) for place, tag, text in blocks_of(root, frozenset(), True, True)[0] if tag not in ("td", "th")})
+    return sorted({block_hash(slot, text) for slot, tag, text in blocks_of(root, frozenset(), True, True)[0] if tag not in ("td", "th")})
 
 
 def article_text(page: str, paths: frozenset, constants: frozenset = frozenset()) -> str:
@@ -432,12 +436,14 @@ def host_wrappers(read: DataFrame) -> DataFrame:
 def host_constants(read: DataFrame) -> DataFrame:
     """host, constants: the hashes of each host's constant blocks.  A host has fewer than (mean blocks a page) /
     CONSTANT_SHARE of them, whatever its size."""
-    pages = read.where("page is not null")
-    total = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    seen = pages.select("host", "page", F.explode("blocks").alias("block")).distinct()
-    # the block is in the key, so a hot host spreads over tasks
-    counted = seen.groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES)
+    pages = written(read.where("page is not null").groupBy("host", "page").agg(F.first("blocks").alias("blocks")), "page-blocks")
+    total = pages.groupBy("host").agg(F.count("*").alias("total"))
+    slot = lambda block: F.shiftrightunsigned(block, 40)
+    # block and slot are in the keys, so a hot host spreads over tasks
+    slots = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", slot))).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("of_slot"))
+    counted = pages.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES)
     over = counted.join(total, "host").where(F.col("n") >= F.col("total") * F.lit(CONSTANT_SHARE))
+    over = over.withColumn("slot", slot(F.col("block"))).join(slots, ["host", "slot"]).where(F.col("n") >= F.col("of_slot") * F.lit(SLOT_SHARE))
     return over.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("constants"))
 
 

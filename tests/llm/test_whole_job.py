@@ -99,6 +99,13 @@ def test_constants_of_a_host_are_left_out(spark):
     assert all("the editors" in got[40 + i] for i in range(5)) and all(got[50 + i] == f"t{i}\na copied article" for i in range(5))
 
 
+def test_a_repeated_sentence_in_a_slot_is_content(spark):
+    page = "<body><article><div class='box{0}'>Our terms apply.</div><p>text {0}</p><p>{1}</p></article></body>"
+    rows = [(i, "http://a.org/x", page.format(i, "All rights reserved." if i % 5 == 0 else f"more of {i}")) for i in range(30)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}\n" + ("All rights reserved." if i % 5 == 0 else f"more of {i}") for i in range(30))
+
+
 def test_thousands_of_unlike_siblings():
     import time
 
