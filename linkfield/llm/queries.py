@@ -1,22 +1,25 @@
-"""The registered queries of the ten operators, and DuckDB SQL for those that SQL can express."""
+"""The registered queries of the operators, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .embedding_dedup import near_duplicates
 from .fingerprint import fingerprint_edits
+from .hard_negatives import mine
 from .html_wrapper import extract_main_text
 from .line_dedup import MAX_RATIO, MIN_PAGES, drop_boilerplate_lines
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import pack_documents
+from .secret_scan import scan_secrets
 from .token_output import encode_and_read_back
 from .toxicity import toxicity
 from .url_filter import LOWER, UPPER, Rule, filter_urls
+from .vector_codes import compress
 
 URL_RULES = (
     Rule("com", "/", "allow"),
@@ -67,8 +70,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_url_filter, op2_source_mixing, op3_ngram_join, op4_embedding_dedup, op5_html_extraction, op6_fingerprints, op7_best_fit_packing,
+    op8_token_output, op9_line_dedup, op10_toxicity, op11_hard_negatives, op12_vector_codes, op13_secret_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op4_embedding_dedup, op5_html_extraction, op6_fingerprints, op7_best_fit_packing, op8_token_output, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in _ALL}
 
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -123,6 +145,43 @@ SELECT doc_id, source, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coa
        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text FROM k
 """
 
+_WHOLE = """
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP11_SQL = f"""
+WITH {_WHOLE},
+l AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, q FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM l a JOIN l b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND place <= 5 AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
+def _op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds as common table expressions: c0 the first codebooks, a0 the first assignment, and so on."""
+    out = f"""{_WHOLE},
+x AS (SELECT vec_id, label, p, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] AS q FROM (SELECT *, unnest(range({parts})) AS p FROM v) w),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, q FROM x QUALIFY e < {entries})"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS (
+  SELECT x.vec_id, x.label, x.p, any_value(x.q) AS q, min(CAST(list_inner_product(x.q, x.q) - 2 * list_inner_product(x.q, c.q) + list_inner_product(c.q, c.q) AS BIGINT) * {entries} + c.e) AS best
+  FROM x JOIN c{r} c ON c.p = x.p GROUP BY x.vec_id, x.label, x.p)"""
+        if r < rounds:
+            out += f""",
+m{r} AS (SELECT p, best % {entries} AS e, i, floor(sum(q[i]) / count(*)) AS y FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM a{r}) u GROUP BY p, best % {entries}, i),
+c{r + 1} AS (SELECT c.p, c.e, coalesce(n.q, c.q) AS q FROM c{r} c LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS q FROM m{r} GROUP BY p, e) n ON n.p = c.p AND n.e = c.e)"""
+    return f"""
+WITH {out},
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(q, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT vec_id, label, string_agg(lpad(lower(hex(best % {entries})), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f CROSS JOIN h
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_source_mixing": OP2_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_source_mixing": OP2_SQL, "op9_line_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": _op12_sql()}

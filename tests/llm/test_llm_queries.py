@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, DATA)
     columns = sorted(df.columns)
