@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Points of an image's page per pixel: images count as scanned at 150 dots an inch.
-
 
 def pixel_box_to_points(box: dict[str, Column], page: tuple[Column, Column], bitmap: tuple[Column, Column]) -> dict[str, Column]:
     """px_left, px_top, px_right, px_bottom on a bitmap as left_pt, bottom_pt, width_pt, height_pt of its page."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The patterns of URLs and bare domains.
@@ -12,8 +14,7 @@ IN_URL = rf"[^{SPACE}<>\"']"
 SCHEME_URL = rf"(?i)(?:https?://|www\.){IN_URL}+"
 
 #: Labels of letters, digits and inner hyphens, each with its dot; then a top-level domain, a slash and the rest.
-LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
-BARE_URL = rf"(?i)\b(?:{LABEL}\.)+[a-z]{{2,24}}/{IN_URL}*"
+BARE_URL = rf"(?i)\b(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,24}}/{IN_URL}*"
 
 # Top-level domains that a bare domain may end in.
 TLDS = (
@@ -27,6 +28,8 @@ ABSOLUTE_URI = r"^[A-Za-z][A-Za-z0-9+.-]*:(?:[^\s\x00-\x1f<>\"{}|\\^`%]|%[0-9A-F
 WEB_SCHEME = r"^(?i)(?:https?|ftp):"
 WEB_URI = r"^(?i)(?:https?|ftp)://[^/?#\s<>\"{}|\\^`%]+"
 
+MATCHES = "array<struct<match_no:int,start_off:int,value:string>>"
+
 # What is trimmed from the end of a URL.
 MARKS = ".,;:!?\"'"
 PAIRS = ((")", "("), ("]", "["), ("}", "{"))
@@ -48,11 +51,30 @@ def default_uri_filter(text: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches, in order, as array<struct<match_no, start_off, value>>: the gaps between them give their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    width = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(found, lambda x, i: F.struct(i.alias("match_no"), (width(F.slice(gaps, 1, i + 1)) + width(F.slice(found, 1, i))).alias("start_off"), x.alias("value")))
+    """All matches, in order, as array<struct<match_no, start_off, value>>: the gaps between them give their places.
+
+    One pass over matches and the gaps before them carries the place along."""
+    both = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
+
+    def step(done: Column, x: Column) -> Column:
+        one = F.struct(F.size(done["out"]).alias("match_no"), (done["at"] + x["gap"]).alias("start_off"), x["m"].alias("value"))
+        return F.struct(F.array_append(done["out"], one).alias("out"), (done["at"] + x["gap"] + F.length(x["m"])).alias("at"))
+
+    none = F.struct(F.expr("array()").cast(MATCHES).alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), none, step, lambda done: done["out"])
+
+
+def n_up_to(n: Column, at: Callable[[Column], Column], most: Column) -> Column:
+    """How many of n values in ascending order, given by place, are `most` or less: a binary search."""
+    halve = lambda r: F.floor((r["low"] + r["high"]) / 2).cast("int")
+
+    def step(r: Column, _: Column) -> Column:
+        within = at(halve(r)) <= most
+        narrower = F.struct(F.when(within, halve(r) + 1).otherwise(r["low"]).alias("low"), F.when(within, r["high"]).otherwise(halve(r)).alias("high"))
+        return F.when(r["low"] < r["high"], narrower).otherwise(r)
+
+    steps = F.array_repeat(F.lit(0), F.ceil(F.log2(n + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), step, lambda r: r["low"])
 
 
 def bare_tld(match: Column) -> Column:

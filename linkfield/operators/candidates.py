@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import BARE_URL, SCHEME_URL, TLDS, bare_tld, default_uri_filter, matches, trim_trailing_punctuation
-from .lines import PAGE
+from ..functions.text import BARE_URL, MATCHES, SCHEME_URL, TLDS, bare_tld, default_uri_filter, matches, n_up_to, trim_trailing_punctuation
+from .lines import PAGE, computed_once
 
 
 def scheme_url_matches(lines: DataFrame) -> DataFrame:
@@ -16,39 +16,53 @@ def scheme_url_matches(lines: DataFrame) -> DataFrame:
     A test for the few letters that every match has spares other lines the pattern."""
     low = F.lower("line_text")
     likely = low.contains("http") | low.contains("www.")
-    return lines.withColumn("scheme", F.when(likely, matches(F.col("line_text"), SCHEME_URL)).otherwise(F.expr("array()").cast("array<struct<match_no:int,start_off:int,value:string>>")))
+    return lines.withColumn("scheme", F.when(likely, matches(F.col("line_text"), SCHEME_URL)).otherwise(F.expr("array()").cast(MATCHES)))
 
 
-def bare_domain_matches(lines: DataFrame, wanted: bool = True) -> DataFrame:
-    """lines with bare: matches of a domain and a path whose top-level domain is a known one."""
-    none = F.expr("array()").cast("array<struct<match_no:int,start_off:int,value:string>>")
+def bare_domain_matches(lines: DataFrame, wanted: bool = True, tlds: Sequence[str] = TLDS) -> DataFrame:
+    """lines with bare: matches of a domain and a path whose top-level domain is one of tlds."""
+    none = F.expr("array()").cast(MATCHES)
     if not wanted:
         return lines.withColumn("bare", none)
-    found = F.filter(matches(F.col("line_text"), BARE_URL), lambda m: bare_tld(m["value"]).isin(*TLDS))
+    found = F.filter(matches(F.col("line_text"), BARE_URL), lambda m: bare_tld(m["value"]).isin(*tlds))
     return lines.withColumn("bare", F.when(F.col("line_text").contains("/"), found).otherwise(none))
 
 
 def drop_bare_under_scheme(lines: DataFrame) -> DataFrame:
-    """lines whose bare matches don't overlap a scheme match; both spans count as matched, untrimmed."""
-    end = lambda m: m["start_off"] + F.length(m["value"])
-    overlaps = lambda b: F.exists("scheme", lambda s: (b["start_off"] < end(s)) & (end(b) > s["start_off"]))
+    """lines whose bare matches don't overlap a scheme match; both spans count as matched, untrimmed.
+
+    Scheme matches are in order and apart, so of those that begin before a bare match ends only the last can reach it."""
+    lines, end = computed_once(lines, "spans", "scheme", "bare"), lambda m: m["start_off"] + F.length(m["value"])
+    before = lambda b: n_up_to(F.size("scheme"), lambda i: F.get("scheme", i)["start_off"], end(b) - 1)
+    overlaps = lambda b: F.coalesce(end(F.get("scheme", before(b) - 1)) > b["start_off"], F.lit(False))
     return lines.withColumn("bare", F.filter("bare", lambda b: ~overlaps(b)))
 
 
+def _touched(start: Column, end: Column) -> Column:
+    """The spans that a match from start to end touches: neighbours, since spans are in order and apart."""
+    n, at = F.size("spans"), lambda i: F.get("spans", i)
+    first = n_up_to(n, lambda i: at(i)["end_off"], start)
+    return F.slice("spans", first + 1, F.greatest(F.lit(0), n_up_to(n, lambda i: at(i)["start_off"], end - 1) - first))
+
+
 def candidate_uris(lines: DataFrame, uri_filter: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per match that the filter accepts: is_bare, match_no, start_off, candidate (trimmed), uri."""
-    tagged = lambda name, bare: F.transform(name, lambda m: F.struct(F.lit(bare).alias("is_bare"), m["match_no"].alias("match_no"), m["start_off"].alias("start_off"), m["value"].alias("value")))
-    each = lines.withColumn("m", F.explode(F.concat(tagged("scheme", 0), tagged("bare", 1)))).select(*PAGE, "line_no", "source_rank", "spans", "m.*")
-    each = each.withColumn("candidate", trim_trailing_punctuation(F.col("value"))).where("candidate <> ''")
+    """One row per match that the filter accepts: is_bare, match_no, candidate (trimmed), uri, hit (the line's spans that
+    the candidate touches)."""
+
+    def of(name: str, bare: int) -> Column:
+        cut = F.transform(name, lambda m: F.struct(m["match_no"].alias("match_no"), m["start_off"].alias("start_off"), trim_trailing_punctuation(m["value"]).alias("candidate")))
+        touched = lambda m: _touched(m["start_off"], m["start_off"] + F.length(m["candidate"]))
+        return F.transform(cut, lambda m: F.struct(F.lit(bare).alias("is_bare"), m["match_no"].alias("match_no"), m["candidate"].alias("candidate"), touched(m).alias("hit")))
+
+    some = lines.where((F.size("scheme") > 0) | (F.size("bare") > 0))
+    each = some.select(*PAGE, "line_no", "source_rank", F.explode(F.concat(of("scheme", 0), of("bare", 1))).alias("m")).select(*PAGE, "line_no", "source_rank", "m.*").where("candidate <> ''")
     target = F.when(F.col("is_bare") == 1, F.concat(F.lit("https://"), F.col("candidate"))).otherwise(F.col("candidate"))
-    return each.withColumn("uri", (uri_filter or default_uri_filter)(target)).where("uri is not null").drop("value")
+    return each.withColumn("uri", (uri_filter or default_uri_filter)(target)).where("uri is not null")
 
 
 def match_to_rect(candidates: DataFrame) -> DataFrame:
     """candidates with the box around all chunks that the trimmed match touches; one that touches none is dropped."""
-    end = F.col("start_off") + F.length("candidate")
-    hit = F.filter("spans", lambda s: (s["start_off"] < end) & (s["end_off"] > F.col("start_off")))
-    out = candidates.withColumn("hit", hit).where(F.size("hit") > 0)
+    out = candidates.where(F.size("hit") > 0)
     side = lambda name: F.transform("hit", lambda s: s["box"][name])
     out = out.withColumns({"left_pt": F.array_min(side("x0")), "bottom_pt": F.array_min(side("y0")), "__right": F.array_max(side("x1")), "__top": F.array_max(side("y1"))})
     out = out.withColumns({"width_pt": F.col("__right") - F.col("left_pt"), "height_pt": F.col("__top") - F.col("bottom_pt")})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import padded_box, pixel_box_to_points
@@ -29,6 +31,12 @@ def pyramid_plan(pages: DataFrame, scales: Sequence[float]) -> DataFrame:
     return out.select(*PAGE, "level_no", "scale", "level_w", "level_h", "inverse_scale", F.explode(F.array(F.lit(False), F.lit(True))).alias("inverted"))
 
 
+def rendered_sizes(pages: DataFrame, dpi: int) -> DataFrame:
+    """pages with the size of their bitmap at dpi, in whole pixels and one at least."""
+    size = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) * dpi / 72).cast("int"))
+    return pages.withColumns({"bitmap_width": size("page_width_pt"), "bitmap_height": size("page_height_pt")})
+
+
 def ocr_tile_plan(pages: DataFrame) -> DataFrame:
     """Overlapping strips of each page's bitmap, top down: tile_y, tile_height.  A bitmap under six pixels has none."""
     strip = F.floor(F.col("bitmap_height") / OCR_STRIPS).cast("int")
@@ -68,9 +76,55 @@ def qr_padded_box(detections: DataFrame, pages: DataFrame, sizes: bool = False)
     return sized.withColumns(box).select(*PAGE, "level_no", "inverted", "decode_no", "payload", *PIXELS, *(SIZES if sizes else ()))
 
 
-def apply_ocr_engine(tasks: DataFrame, engine: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None) -> DataFrame:
-    """OCR_WORDS rows of an engine that reads batches of tasks; it sets itself up once per partition.  Without an
-    engine there are no rows."""
+@dataclass(frozen=True)
+class OcrEngine:
+    """An engine that reads words.
+
+    open sets it up and gives the function that reads a batch of tasks: frames of tasks (columns of the page, with pass,
+    tile_y and tile_height) to frames of OCR_WORDS, places within the tile.  It is called once in a worker process, under
+    the engine's name.  profile tells Spark what a task of the engine needs (cores, memory, accelerators), so that these
+    stages get other executors than the rest."""
+
+    name: str
+    open: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
+    profile: ResourceProfile | None = None
+
+
+_opened: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
+
+
+def _opened_once(engine: OcrEngine) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    if engine.name not in _opened:
+        _opened[engine.name] = engine.open()
+    return _opened[engine.name]
+
+
+def apply_ocr_engine(tasks: DataFrame, engine: OcrEngine | Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None) -> DataFrame:
+    """OCR_WORDS rows of an engine (or a function over batches of tasks).  Without an engine there are no rows."""
     if engine is None:
         return tasks.sparkSession.createDataFrame([], OCR_WORDS)
-    return tasks.mapInPandas(engine, OCR_WORDS)
+    if not isinstance(engine, OcrEngine):
+        return tasks.mapInPandas(engine, OCR_WORDS)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _opened_once(engine)(batch)
+
+    return tasks.mapInPandas(read, OCR_WORDS, profile=engine.profile)
+
+
+def whole_page_tasks(pages: DataFrame) -> DataFrame:
+    """One task for each page that has a bitmap, with all columns of pages."""
+    return pages.where("bitmap_width > 0 and bitmap_height > 0").withColumns({"pass": F.lit("whole"), "tile_y": F.lit(0), "tile_height": F.col("bitmap_height")})
+
+
+def tile_tasks(pages: DataFrame) -> DataFrame:
+    """One task for each tile, with all columns of pages."""
+    return pages.where("bitmap_width > 0").join(ocr_tile_plan(pages), list(PAGE)).withColumn("pass", F.lit("tile"))
+
+
+def evenly(tasks: DataFrame) -> DataFrame:
+    """Tasks over as many partitions as the cluster has cores, or more: an engine's tasks are few bytes and much work, so
+    partitions that Spark makes by size would leave it to a few cores."""
+    n = max(tasks.sparkSession.sparkContext.defaultParallelism, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return tasks.repartition(n, *PAGE, "tile_y")

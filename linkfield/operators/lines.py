@@ -50,3 +50,10 @@ def reconstruct_lines(spans: DataFrame) -> DataFrame:
 def lines_of(chunks: DataFrame) -> DataFrame:
     """Chunks to lines."""
     return reconstruct_lines(line_spans(group_lines(drop_blank_chunks(chunks))))
+
+
+def computed_once(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows whose columns are values from here on.  Spark moves a column's expression into the ones that use it, and an
+    expression over array elements would then compute it anew for each element; a generator stops that."""
+    others = [c for c in rows.columns if c not in columns]
+    return rows.select(*others, F.explode(F.array(F.struct(*columns))).alias("__once")).select(*[F.col(f"__once.{c}") if c in columns else F.col(c) for c in rows.columns])

@@ -2,9 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
 
-RESULT_ORDER = ("source_rank", "page_number", "order_key")
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..sources.shared import written
+
+#: Pages whose counts are summed up together.
+PAGES_TOGETHER = 1000
+
+# What is said of a link, by status.
+LINKING, LEFT_ALONE = "linking to ", " is already linked, left alone"
+
+
+def numbered(links: DataFrame, name: str, parts: Sequence[Column], within: Sequence[Column | str]) -> DataFrame:
+    """links with name: their number in the document, from 1, by parts (of equal parts, by page) and within a part's page.
+
+    A document is never brought together: rows are ranked within their part and page, and to that comes the count of what
+    stands before, from sums over blocks of pages.  links are written first, since counts and ranks both read them; there
+    are far fewer of them than of what they are made from."""
+    keys = [f"__p{k}" for k in range(len(parts))]
+    unit = ["doc_id", *keys, "page_number"]
+    rows = written(links.withColumns(dict(zip(keys, parts, strict=True))), "links").repartition(*unit)
+    block = F.floor(F.col("page_number") / PAGES_TOGETHER)
+    counts = rows.groupBy(*unit).agg(F.count("*").alias("__n")).withColumn("__block", block)
+    blocks = counts.groupBy("doc_id", *keys, "__block").agg(F.sum("__n").alias("__all"))
+    up_to_here = (Window.unboundedPreceding, -1)
+    before_block = F.coalesce(F.sum("__all").over(Window.partitionBy("doc_id").orderBy(*keys, "__block").rowsBetween(*up_to_here)), F.lit(0))
+    before_page = F.coalesce(F.sum("__n").over(Window.partitionBy("doc_id", *keys, "__block").orderBy("page_number").rowsBetween(*up_to_here)), F.lit(0))
+    of_block = blocks.select("doc_id", *keys, "__block", before_block.alias("__before"))
+    same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
+    counted = counts.withColumn("__page", before_page)
+    at = counted.join(of_block, same(counted, of_block, ["doc_id", *keys, "__block"])).select(*[counted[c].alias(f"__of_{c}") for c in unit], (F.col("__page") + F.col("__before")).alias("__at"))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*unit).orderBy(*within)))
+    out = ranked.join(at, [ranked[c].eqNullSafe(at[f"__of_{c}"]) for c in unit])
+    return out.select(*links.columns, (F.col("__at") + F.col("__rank")).cast("int").alias(name))
+
+
+def _new_first() -> Column:
+    return F.when(F.col("status") == "linked", 0).otherwise(1)
 
 
 def document_summary(documents: DataFrame, links: DataFrame) -> DataFrame:
@@ -30,24 +66,23 @@ def page_trace_counts(codes: DataFrame, links: DataFrame) -> DataFrame:
 def letter_findings(links: DataFrame) -> DataFrame:
     """links with letter: A, B, ... over a document, by page, then from the top; linked ones before others on a spot.
     Letters go on in code points after Z, as 16-bit numbers."""
-    by = Window.partitionBy("doc_id").orderBy("page_number", F.desc("bottom_pt"), F.when(F.col("status") == "linked", 0).otherwise(1), "source_rank", "order_key")
-    code = F.hex(F.pmod(F.lit(64) + F.row_number().over(by), F.lit(1 << 16)).cast("long"))
-    return links.withColumn("letter", F.decode(F.unhex(F.lpad(code, 4, "0")), "UTF-16BE"))
+    rows = numbered(links, "__number", [], [F.desc("bottom_pt"), _new_first(), "source_rank", "order_key"])
+    code = F.hex(F.pmod(F.lit(64) + F.col("__number"), F.lit(1 << 16)).cast("long"))
+    return rows.withColumn("letter", F.decode(F.unhex(F.lpad(code, 4, "0")), "UTF-16BE")).drop("__number")
 
 
 def link_messages(links: DataFrame) -> DataFrame:
     """One line per finding: doc_id, message_no, page_number, message; a document's new links first, then those that
     are left alone, each in result order."""
-    by = Window.partitionBy("doc_id").orderBy(F.when(F.col("status") == "linked", 0).otherwise(1), *RESULT_ORDER)
+    rows = numbered(links, "message_no", [_new_first(), F.col("source_rank")], ["order_key"])
     page = F.concat(F.lit("Page "), F.col("page_number").cast("string"), F.lit(": "))
-    new, old = F.concat(page, F.lit("linking to "), F.col("uri")), F.concat(page, F.col("uri"), F.lit(" is already linked, left alone"))
-    message = F.when(F.col("status") == "linked", new).otherwise(old)
-    return links.select("doc_id", F.row_number().over(by).alias("message_no"), "page_number", message.alias("message"))
+    new, old = F.concat(page, F.lit(LINKING), F.col("uri")), F.concat(page, F.col("uri"), F.lit(LEFT_ALONE))
+    return rows.select("doc_id", "message_no", "page_number", F.when(F.col("status") == "linked", new).otherwise(old).alias("message"))
 
 
 def ordered_results(links: DataFrame) -> DataFrame:
     """links with result_no: codes by page, then text by page, each in the order of detection."""
-    return links.withColumn("result_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*RESULT_ORDER)))
+    return numbered(links, "result_no", [F.col("source_rank")], ["order_key"])
 
 
 def compare_presets(found_a: DataFrame, found_b: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import default_uri_filter
 from ..operators.candidates import bare_domain_matches, candidate_uris, drop_bare_under_scheme, match_to_rect, scheme_url_matches
 from ..operators.dedupe import dedupe_qr, dedupe_text_spots
-from ..operators.detection import ocr_words_to_chunks, qr_padded_box, to_points
+from ..operators.detection import OcrEngine, apply_ocr_engine, evenly, ocr_words_to_chunks, pyramid_plan, qr_padded_box, rendered_sizes, tile_tasks, to_points, whole_page_tasks
 from ..operators.existing import existing_links, split_existing
 from ..operators.lines import PAGE, lines_of
 from ..options import DEFAULT, ScanOptions
 from ..sources.files import link_annotations
+from ..sources.shared import written
 
 LOCATED = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri", "left_pt", "bottom_pt", "width_pt", "height_pt")
 
@@ -23,7 +24,7 @@ LOCATED = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri",
 def text_candidates(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """Every URL in the chunks' lines with its box, before dedup."""
     lines = scheme_url_matches(lines_of(chunks))
-    lines = drop_bare_under_scheme(bare_domain_matches(lines, options.match_bare_domains))
+    lines = drop_bare_under_scheme(bare_domain_matches(lines, options.match_bare_domains, options.tlds))
     return match_to_rect(candidate_uris(lines, options.uri_filter))
 
 
@@ -34,8 +35,8 @@ def located_text(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame
 
 
 def located_qr(detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """Code links with their boxes: levels merge by payload and spot, then targets are filtered."""
-    codes = dedupe_qr(qr_padded_box(detections, pages, sizes=True))
+    """Code links with their boxes: hits of the options' levels merge by payload and spot, then targets are filtered."""
+    codes = dedupe_qr(qr_padded_box(detections.where(F.col("scale").isin(*options.scales)), pages, sizes=True))
     accepted = codes.withColumn("uri", (options.uri_filter or default_uri_filter)(F.col("payload"))).where("uri is not null")
     order = F.col("level_no").cast("long") * 1_000_000 + F.col("inverted").cast("int") * 500_000 + F.col("decode_no")
     return to_points(accepted).withColumns({"source": F.lit("qr"), "source_rank": F.lit(0), "order_key": order}).select(*LOCATED)
@@ -79,15 +80,38 @@ def ocr_chunks(words: DataFrame, pages: DataFrame, options: ScanOptions = DEFAUL
     return chunks.join(found, list(PAGE), "left").where("source_rank = 1 OR __found IS NULL").drop("__found")
 
 
+def detector_tasks(pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """What a code detector is to look at: every page rendered at the options' dpi, at each of their levels."""
+    return pyramid_plan(rendered_sizes(pages, options.dpi), options.scales)
+
+
+def read_words(pages: DataFrame, engine: OcrEngine, options: ScanOptions = DEFAULT) -> DataFrame:
+    """OCR words of an engine: every page as a whole, and the tiles of those pages whose whole pass has no URL.
+
+    pages may have more columns (a path, say), which go with the engine's tasks.  What the engine reads is written before
+    anything else looks at it: it is read once, for the probe and the scan, whatever executors are lost later."""
+    whole = written(apply_ocr_engine(evenly(whole_page_tasks(pages)), engine), "words-whole")
+    again = pages.join(ocr_escalation_pages(whole, pages, options).select(*PAGE), list(PAGE), "left_semi")
+    return whole.unionByName(written(apply_ocr_engine(evenly(tile_tasks(again)), engine), "words-tiles"))
+
+
+def all_chunks(chunks: DataFrame, words: DataFrame | None, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """Real chunks, and those of finished words or of the options' engine."""
+    if options.ocr_engine is not None:
+        if words is not None:
+            raise ValueError("give finished words or an engine, not both")
+        return merge_chunks(chunks, ocr_words_to_chunks(read_words(pages, options.ocr_engine, options), pages))
+    return chunks if words is None else merge_chunks(chunks, ocr_chunks(words, pages, options))
+
+
 def located(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """Links of all sources with their boxes."""
-    if words is not None:
-        chunks = merge_chunks(chunks, ocr_chunks(words, pages, options))
-    return merge_sources(located_qr(detections, pages, options), located_text(chunks, options))
+    return merge_sources(located_qr(detections, pages, options), located_text(all_chunks(chunks, words, pages, options), options))
 
 
 def scan(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """All links of all pages, with status; nothing is changed."""
+    """All links of all pages, with status; nothing is changed.  words are finished OCR words; with an engine in the
+    options they are None, and the engine runs first, while this is called."""
     return split_existing(located(chunks, words, detections, pages, options), existing_links(annotations))
 
 
@@ -99,8 +123,7 @@ def link(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, page
 def relink(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """The scan after its own new links have been added: all of them are linked already, but boxes without area.
 
-    Where links are does not depend on annotations; the plan has their location twice, so write it in between where
-    that is dear."""
-    found, before = located(chunks, words, detections, pages, options), existing_links(annotations)
+    Where links are does not depend on annotations, so they are located once, written, and judged twice."""
+    found, before = written(located(chunks, words, detections, pages, options), "located"), existing_links(annotations)
     added = split_existing(found, before).where("status = 'linked'").select(*before.columns)
     return split_existing(found, before.unionByName(added))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.text import ABSOLUTE_URI, BARE_URL, SCHEME_URL, SPACE, TLDS, WEB_SCHEME, WEB_URI
+from ..operators.report import LEFT_ALONE, LINKING
 from ..options import DEFAULT_SCALES, INTERACTIVE_SCALES
 from ..sources.files import IMAGE_EXTENSIONS
 from .derived import DUCK
@@ -127,6 +128,15 @@ def _codes(hits: str) -> str:
     return f"SELECT {PAGE}, payload, {keep} FROM ({_kept(hits, f'{PAGE}, payload', 'level_no, inverted, decode_no', fields, _area)}) y"
 
 
+def _words(table: str) -> str:
+    """Words that aren't blank, at their place on the page."""
+    return f"SELECT {PAGE}, CASE pass WHEN 'tile' THEN 2 ELSE 1 END AS source_rank, CASE pass WHEN 'tile' THEN tile_y ELSE 0 END AS tile_y, seq, {_trim('text')} AS text, px_left, px_right, px_top + CASE pass WHEN 'tile' THEN tile_y ELSE 0 END AS px_top, px_bottom + CASE pass WHEN 'tile' THEN tile_y ELSE 0 END AS px_bottom FROM {table} WHERE regexp_matches(coalesce(text, ''), {_q(f'[^{SPACE}]')})"
+
+
+def _word_chunks(words: str) -> str:
+    return f"SELECT *, CAST(0.3 AS DOUBLE) * height_pt AS space_width FROM ({_points(words, 'r.doc_id, r.page_number, source_rank, tile_y, seq, text')}) w"
+
+
 _pad = "greatest(0.2 * greatest(x1 - x0, y1 - y0), 4.0)"
 _side = lambda n, sign: _int(f"({n} {sign} {_pad}) * (bitmap_width / greatest(1, {_int('bitmap_width * scale')}))")
 _corner = lambda f, c: f"list_{f}(list_transform(points, lambda q: q.{c}))"
@@ -143,16 +153,24 @@ FROM (SELECT *, {_corner('min', 'x')} AS x0, {_corner('max', 'x')} AS x1, {_corn
     "code_points": _points("codes", "r.doc_id, r.page_number, level_no, inverted, decode_no, payload"),
     "qr_links": f"""SELECT {PAGE}, 'qr' AS source, 0 AS source_rank, CAST(level_no AS BIGINT) * 1000000 + CAST(inverted AS INT) * 500000 + decode_no AS order_key, uri, {BOX}, {_status('')} AS status
 FROM (SELECT *, {_uri('payload')} AS uri FROM code_points) c WHERE uri IS NOT NULL""",
-    "words": f"SELECT {PAGE}, CASE pass WHEN 'tile' THEN 2 ELSE 1 END AS source_rank, CASE pass WHEN 'tile' THEN tile_y ELSE 0 END AS tile_y, seq, {_trim('text')} AS text, px_left, px_right, px_top + CASE pass WHEN 'tile' THEN tile_y ELSE 0 END AS px_top, px_bottom + CASE pass WHEN 'tile' THEN tile_y ELSE 0 END AS px_bottom FROM ocr_words WHERE regexp_matches(coalesce(text, ''), {_q(f'[^{SPACE}]')})",
-    "word_chunks": f"SELECT *, CAST(0.3 AS DOUBLE) * height_pt AS space_width FROM ({_points('words', 'r.doc_id, r.page_number, source_rank, tile_y, seq, text')}) w",
+    "words": _words("ocr_words"),
+    "word_chunks": _word_chunks("words"),
     "whole_chunks": "SELECT * FROM word_chunks WHERE source_rank = 1",
     "escalated": "SELECT doc_id, page_number FROM pages_dim p WHERE NOT EXISTS (SELECT 1 FROM rects_whole r WHERE r.doc_id = p.doc_id AND r.page_number = p.page_number)",
     "all_chunks": "SELECT * FROM text_chunks UNION ALL SELECT * FROM word_chunks w WHERE source_rank = 1 OR EXISTS (SELECT 1 FROM escalated e WHERE e.doc_id = w.doc_id AND e.page_number = w.page_number)",
     "found": "SELECT * FROM qr_links UNION ALL SELECT * FROM text_links_all",
     "tiles": f"SELECT {PAGE}, CAST(tile_y AS INT) AS tile_y, least(strip, bitmap_height - CAST(tile_y AS INT)) AS tile_height FROM (SELECT *, unnest(range(0, bitmap_height, greatest(1, {_int('strip * 0.5')}))) AS tile_y FROM (SELECT *, CAST(floor(bitmap_height / 6) AS INT) AS strip FROM pages_dim) q) s",
+    "engine_words": f"""SELECT {PAGE}, pass, 0 AS tile_y, seq, text, px_left, px_top, px_right, px_bottom FROM ocr_words WHERE pass = 'whole'
+UNION ALL SELECT t.doc_id, t.page_number, 'tile', t.tile_y, w.seq, w.text, px_left, px_top + w.tile_y - t.tile_y, px_right, px_bottom + w.tile_y - t.tile_y
+FROM tiles t JOIN escalated e ON e.doc_id = t.doc_id AND e.page_number = t.page_number
+JOIN ocr_words w ON w.doc_id = t.doc_id AND w.page_number = t.page_number AND px_top + w.tile_y >= t.tile_y AND px_bottom + w.tile_y <= t.tile_y + t.tile_height""",
+    "engine_read": _words("engine_words"),
+    "engine_chunks": _word_chunks("engine_read"),
+    "chunks_with_engine": "SELECT * FROM text_chunks UNION ALL SELECT * FROM engine_chunks",
+    "found_with_engine": "SELECT * FROM qr_links UNION ALL SELECT * FROM text_links_engine",
     "existing_after": f"SELECT * FROM existing UNION ALL SELECT {PAGE}, {BOX} FROM found WHERE status = 'linked'",
 }
-PARTS |= _text("text_chunks") | _text("whole_chunks", "_whole") | _text("all_chunks", "_all")
+PARTS |= _text("text_chunks") | _text("whole_chunks", "_whole") | _text("all_chunks", "_all") | _text("chunks_with_engine", "_engine")
 
 _r = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 _RBOX = _r("left_pt", "bottom_pt", "width_pt", "height_pt")
@@ -194,7 +212,7 @@ SELECTS: dict[str, str] = {
     "d2_dedupe_text_spots": f"SELECT {PAGE}, line_no, is_bare, match_no, uri, {BOX} FROM spots",
     "a1_document_summary": """SELECT doc_id, n_linked, n_already, CASE WHEN n_linked = 0 AND n_already = 0 THEN 'nothing found' ELSE CAST(n_linked AS VARCHAR) || CASE WHEN n_linked = 1 THEN ' link added' ELSE ' links added' END END AS message
 FROM (SELECT d.doc_id, count(*) FILTER (WHERE status = 'linked') AS n_linked, count(*) FILTER (WHERE status = 'already_linked') AS n_already FROM (SELECT DISTINCT page_id AS doc_id FROM pages) d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id) n""",
-    "a1_link_messages": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE status WHEN 'linked' THEN 0 ELSE 1 END, source_rank, page_number, order_key) AS INT) AS message_no, page_number, 'Page ' || page_number || CASE status WHEN 'linked' THEN ': linking to ' || uri ELSE ': ' || uri || ' is already linked, left alone' END AS message FROM found",
+    "a1_link_messages": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE status WHEN 'linked' THEN 0 ELSE 1 END, source_rank, page_number, order_key) AS INT) AS message_no, page_number, 'Page ' || page_number || CASE status WHEN 'linked' THEN ': " + LINKING + "' || uri ELSE ': ' || uri || '" + LEFT_ALONE + "' END AS message FROM found",
     "a2_pages_with_findings": f"SELECT DISTINCT {PAGE} FROM found",
     "a3_page_trace_counts": f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page_number, b.page_number) AS page_number, coalesce(n_codes, 0) AS n_codes, coalesce(n_text, 0) AS n_text FROM (SELECT {PAGE}, count(*) AS n_codes FROM codes GROUP BY {PAGE}) a FULL JOIN (SELECT {PAGE}, count(*) AS n_text FROM found WHERE source = 'text' AND status = 'linked' GROUP BY {PAGE}) b ON a.doc_id = b.doc_id AND a.page_number = b.page_number",
     "a4_debug_candidates": f"SELECT *, ({_uri('payload')}) IS NOT NULL AS accepted FROM codes",
@@ -206,6 +224,7 @@ FROM (SELECT d.doc_id, count(*) FILTER (WHERE status = 'linked') AS n_linked, co
     "x1_scan_text": "SELECT * FROM text_links",
     "x2_scan_qr": f"SELECT {_LINKS} FROM qr_links",
     "x3_scan": f"SELECT {_LINKS} FROM found",
+    "x3_scan_with_engine": f"SELECT {_LINKS} FROM found_with_engine",
     "x4_link": f"SELECT {PAGE}, uri, {_RBOX}, 'Link' AS subtype FROM found WHERE status = 'linked'",
     "x5_relink": f"SELECT {_FOUND_KEYS}, uri, {_status('', 'existing_after')} AS status FROM found c",
     "e1_apply_ocr_engine": "SELECT t.doc_id, t.page_number, 'tile' AS pass, t.tile_y, w.seq, w.text, w.px_left, w.px_top - t.tile_y AS px_top, w.px_right, w.px_bottom - t.tile_y AS px_bottom FROM tiles t JOIN ocr_words w ON w.doc_id = t.doc_id AND w.page_number = t.page_number AND w.pass = 'whole' AND w.px_top >= t.tile_y AND w.px_bottom <= t.tile_y + t.tile_height",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import default_uri_filter, trim_trailing_punctuation
 from ..operators.candidates import bare_domain_matches, candidate_uris, drop_bare_under_scheme, match_to_rect, scheme_url_matches
 from ..operators.dedupe import dedupe_qr, dedupe_text_spots
-from ..operators.detection import apply_ocr_engine, attach_page_size, ocr_tile_plan, ocr_words_to_chunks, pyramid_plan, qr_padded_box, to_points
+from ..operators.detection import OCR_WORDS, OcrEngine, apply_ocr_engine, attach_page_size, ocr_tile_plan, ocr_words_to_chunks, pyramid_plan, qr_padded_box, tile_tasks, to_points
 from ..operators.existing import existing_links, split_existing
 from ..operators.lines import PAGE, drop_blank_chunks, group_lines, lines_of
 from ..operators.report import compare_presets, document_summary, letter_findings, link_edges, link_messages, ordered_results, overlay_percent, page_trace_counts, pages_with_findings
-from ..options import DEFAULT_SCALES, INTERACTIVE_SCALES
+from ..options import DEFAULT_SCALES, INTERACTIVE_SCALES, ScanOptions
 from ..sources.files import classify_inputs, image_page_size, link_annotations, output_paths
 from . import jobs
 from .derived import Tables
@@ -238,20 +238,37 @@ def x5_relink(t: Tables) -> DataFrame:
     return _rounded(jobs.relink(t.text_chunks, t.ocr_words, t.qr_detections, t.pages_dim, t.annotations).select(*PAGE, "source", "order_key", "uri", "status"))
 
 
-def words_of_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads a tile by the words that are known of its page: those that lie in it, with their places there."""
-    for tiles in batches:
-        rows = tiles.explode("words").reset_index(drop=True)
-        words = pd.DataFrame(rows["words"].tolist(), columns=["seq", "text", "px_left", "px_top", "px_right", "px_bottom"])
-        out = pd.concat([rows.drop(columns="words"), words], axis=1).assign(**{"pass": "tile"})
-        out = out[(out["px_top"] >= out["tile_y"]) & (out["px_bottom"] <= out["tile_y"] + out["tile_height"])]
-        out = out.assign(px_top=out["px_top"] - out["tile_y"], px_bottom=out["px_bottom"] - out["tile_y"])
-        yield out[["doc_id", "page_number", "pass", "tile_y", "seq", "text", "px_left", "px_top", "px_right", "px_bottom"]]
+def open_reader() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Reads tasks by the words that are known of their page, at their places there: a whole page shows all but faint
+    ones, a tile those that lie in it."""
+    columns = [f.split()[0] for f in OCR_WORDS.split(", ")]
+
+    def read(tasks: pd.DataFrame) -> pd.DataFrame:
+        rows = tasks.drop(columns=["seq", "text"], errors="ignore").explode("words").dropna(subset="words").reset_index(drop=True)
+        words = pd.DataFrame(rows["words"].tolist(), columns=["seq", "text", "px_left", "px_top", "px_right", "px_bottom", "faint"])
+        out = pd.concat([rows.drop(columns="words"), words], axis=1)
+        inside = (out["px_top"] >= out["tile_y"]) & (out["px_bottom"] <= out["tile_y"] + out["tile_height"])
+        out = out[inside & ((out["pass"] == "tile") | ~out["faint"].astype(bool))]
+        return out.assign(px_top=out["px_top"] - out["tile_y"], px_bottom=out["px_bottom"] - out["tile_y"])[columns]
+
+    return read
+
+
+def _pages_with_words(t: Tables) -> DataFrame:
+    """Pages with the words of their bitmap; those that only a tile shows are faint."""
+    top = lambda c: (F.col(c) + F.col("tile_y")).alias(c)
+    word = F.struct("seq", "text", "px_left", top("px_top"), "px_right", top("px_bottom"), (F.col("pass") == "tile").alias("faint"))
+    return t.pages_dim.join(t.ocr_words.groupBy(*PAGE).agg(F.collect_list(word).alias("words")), list(PAGE), "left")
 
 
 def e1_apply_ocr_engine(t: Tables) -> DataFrame:
-    words = t.ocr_words.where("pass = 'whole'").groupBy(*PAGE).agg(F.collect_list(F.struct("seq", "text", "px_left", "px_top", "px_right", "px_bottom")).alias("words"))
-    return apply_ocr_engine(ocr_tile_plan(t.pages_dim).join(words, list(PAGE)), words_of_tiles)
+    plain = _pages_with_words(t).withColumn("words", F.filter("words", lambda w: ~w["faint"]))
+    return apply_ocr_engine(tile_tasks(plain), OcrEngine("known words", open_reader))
+
+
+def x3_scan_with_engine(t: Tables) -> DataFrame:
+    options = ScanOptions(ocr_engine=OcrEngine("known words", open_reader))
+    return _rounded(jobs.scan(t.text_chunks, None, t.qr_detections, _pages_with_words(t), t.annotations, options))
 
 
 _ALL = (
@@ -259,7 +276,7 @@ _ALL = (
     p5_qr_padded_box, p6_pyramid_plan, p7_ocr_tile_plan, p8_ocr_words_to_chunks, p9_image_page_size, p10_link_edges, p11_overlay_percent, t1_group_lines, t2_reconstruct_lines,
     t3_scheme_url_matches, t4_bare_domain_matches, t5_drop_bare_under_scheme, t6_trim_trailing_punctuation, t7_candidate_uris, t8_match_to_rect, j1_split_existing,
     j2_ocr_escalation_pages, j3_attach_page_size, j4_compare_presets, d1_dedupe_qr, d2_dedupe_text_spots, a1_document_summary, a1_link_messages, a2_pages_with_findings, a3_page_trace_counts,
-    a4_debug_candidates, w1_letter_findings, o1_ordered_results, u1_merge_sources, u2_merge_chunks, u3_merge_status, x1_scan_text, x2_scan_qr, x3_scan, x4_link, x5_relink, e1_apply_ocr_engine,
+    a4_debug_candidates, w1_letter_findings, o1_ordered_results, u1_merge_sources, u2_merge_chunks, u3_merge_status, x1_scan_text, x2_scan_qr, x3_scan, x3_scan_with_engine, x4_link, x5_relink, e1_apply_ocr_engine,
 )
 
 
