@@ -17,6 +17,7 @@ import functools
 import html as html_lib
 import json
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,28 +31,37 @@ from .url_filter import host_and_path
 
 #: Levels of tags that wrappers tell apart, parts of a sequence before classes are ignored, hosts that a task gathers
 #: before it passes them on, parts in which a host's wrappers are aligned first.
-DEPTH, PARTS, HOSTS, SALTS = 40, 48, 2000, 16
+DEPTH, PARTS, HOSTS, SALTS = 300, 48, 2000, 16
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))  # wrappers are read and aligned level by level
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
-#: A block is constant if this many pages of a host have it, this share of them and this share of those with its slot;
-#: a page whose blocks are constant to more than this share (headings aside) is a copy of others and stays whole.
-CONSTANT_PAGES, CONSTANT_SHARE, SLOT_SHARE, COPY = 3, 0.1, 0.5, 0.8
+#: A block is constant if this many pages of a host have it, this share of them and this share of those with its slot,
+#: unless the slot's frequent texts take turns (together they are on no more than this many times the slot's pages); a
+#: page whose blocks are constant to more than this share (headings aside) is a copy of others and stays whole.
+CONSTANT_PAGES, CONSTANT_SHARE, SLOT_SHARE, TURNS, COPY = 3, 0.1, 0.5, 1.1, 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object video audio canvas select".split())
+RAW = frozenset("script style template textarea title".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+MEDIA = frozenset("svg iframe video audio select".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "html", "head", "body"}
 ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
 NEVER_ARTICLE = frozenset("nav footer aside menu button head".split())
-NOT_ARTICLE = NEVER_ARTICLE | {"form", "dialog"}
+NOT_ARTICLE = NEVER_ARTICLE | MEDIA | {"form", "dialog"}
 NOT_ARTICLE_WORDS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay alert sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs"
     " footer header masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended newsletter subscribe signup login search searchbox widget pagination pager"
     " contentinfo complementary skip tags copyright".split()
 )
+#: Names of these are never taken for the article, however much text they have.
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus discussion"
+    " share sharing social related recommended newsletter subscribe signup pagination pager copyright footer".split()
+)
 #: What may stand beside those words in one name; any other word makes it another name (has-sidebar, category-social).
 PLACES = frozenset("left right top bottom upper lower inner outer main site page global primary secondary box area wrapper wrap container list section block bar slot unit links link post entry article blog".split())
 ARTICLE_NAME = re.compile(r"(?:^|[-_\s])(?:article|story|post|entry|content|main|body|text|prose)(?:$|[-_\s])", re.I)
@@ -71,6 +81,13 @@ def parse(page: str) -> Node:
     root = Node("#")
     stack, at, skip = [root], 0, ""
     opened: Counter[str] = Counter()
+    last: dict[str, int] = {}
+
+    def ends_after(tag: str, start: int) -> bool:
+        """Whether an end tag comes; one that never does leaves what follows to be read."""
+        if tag not in last:
+            last[tag] = max((e.start() for e in re.finditer(rf"</{tag}[\s>/]", page, re.I)), default=-1)
+        return last[tag] >= start
 
     def close(tag: str, unless: tuple = ()) -> None:
         for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
@@ -97,9 +114,11 @@ def parse(page: str) -> Node:
                 close(tag, ("article", "main", "section", "body") if tag in ("p", "b", "i", "a", "span", "em", "strong") else ())
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/") and ends_after(tag, m.end()):
                 skip = tag
             continue
+        if tag in MEDIA and not ends_after(tag, m.end()):
+            continue
         if tag in CLOSES_P:
             close("p", ("table", "td", "li", "div", "section", "article", "blockquote", "main", "aside"))
         if tag in ITEMS:
@@ -111,13 +130,13 @@ def parse(page: str) -> Node:
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
             opened[tag] += 1
-    if not skip and at < len(page):
+    if at < len(page):
         stack[-1].children.append(page[at:])
     return root
 
 
 # A wrapper: [label, tag, is it in the article's way (0 or 1), pages, characters of text here, of link text below,
-#             constant text or None for a slot, optional, repeated, parts]
+#             hash of a constant text (0 without any) or None for a slot, optional, repeated, parts]
 LABEL, TAG, OUT, PAGES, CHARS, LINKED, TEXT, OPTIONAL, REPEATED, KIDS = range(10)
 
 
@@ -152,7 +171,7 @@ def pattern(node: Node, in_link: bool = False, level: int = 0) -> list:
                 n = sum(len(" ".join(c.split())) for c in x.children if isinstance(c, str))
                 chars, linked = chars + n, linked + n * link
                 below += [(c, link) for c in x.children if isinstance(c, Node)]
-    out = [node.label, node.tag, int(outside(node)), 1, chars, linked, text[:200], 0, 0, folded(kids)]
+    out = [node.label, node.tag, int(outside(node)), 1, chars, linked, digest(text) if text else 0, 0, 0, folded(kids)]
     out[LINKED] += sum(k[LINKED] for k in out[KIDS])
     return out
 
@@ -236,11 +255,32 @@ def linked(part: list) -> int:
     return 0 if part[OUT] else part[LINKED] - sum(k[LINKED] - linked(k) for k in part[KIDS])
 
 
+def foreign(part: list) -> bool:
+    """Whether names say that a part belongs to the page's readers, sellers or other pages."""
+    return part[TAG] in NEVER_ARTICLE | MEDIA or any({w for w in re.split(r"[-_0-9.]+", name) if w} & FOREIGN_WORDS for name in part[LABEL].lower().split())
+
+
+def has_article_slot(part: list) -> bool:
+    """Whether a part has a heading or paragraph whose text changes from page to page (or of a single page), that no page
+    lacks, and that isn't one of a list of teasers: repeated groups that aren't paragraphs themselves."""
+    below = list(part[KIDS])
+    while below:
+        k = below.pop()
+        prose = k[TAG] == "p" or k[TAG] in HEADINGS
+        if prose and not k[OPTIONAL] and (k[TEXT] is None or k[PAGES] == 1 and k[TEXT]):
+            return True
+        if not (k[OUT] and foreign(k)) and not k[OPTIONAL] and (prose or not k[REPEATED]):
+            below += k[KIDS]
+    return False
+
+
 def release(part: list, path: str, held: list[str]) -> None:
-    """Takes parts back that names, form or dialog set apart but that have more than half of the part's text."""
+    """Takes parts back that names, form or dialog set apart but that have more than half of the part's text: those with
+    slots of an article, or where there is no other text at all; never what is foreign."""
     total = mass(part, True)
     while 2 * mass(part) < total:
-        heavy = [k for k in part[KIDS] if 2 * mass(k, True) > total and k[TAG] not in NEVER_ARTICLE]
+        alone = mass(part) == 0
+        heavy = [k for k in part[KIDS] if 2 * mass(k, True) > total and not foreign(k) and (not k[OUT] or alone or has_article_slot(k))]
         if not heavy:
             return
         part, path = heavy[0], f"{path}/{heavy[0][LABEL]}"
@@ -304,9 +344,6 @@ def host_paths(wrapper: list) -> list[str]:
     return [*paths, *(f"+{p}" for p in held)]
 
 
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-
-
 @functools.lru_cache(4096)
 def ways(paths: frozenset) -> frozenset:
     """The paths and all that lead to them."""
@@ -443,13 +480,20 @@ def host_constants(read: DataFrame) -> DataFrame:
     slots = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", slot))).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("of_slot"))
     counted = pages.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES)
     over = counted.join(total, "host").where(F.col("n") >= F.col("total") * F.lit(CONSTANT_SHARE))
-    over = over.withColumn("slot", slot(F.col("block"))).join(slots, ["host", "slot"]).where(F.col("n") >= F.col("of_slot") * F.lit(SLOT_SHARE))
+    over = over.withColumn("slot", slot(F.col("block")))
+    frequent = over.groupBy("host", "slot").agg(F.count("*").alias("texts"), F.sum("n").alias("of_frequent"))
+    over = over.join(slots, ["host", "slot"]).join(frequent, ["host", "slot"]).where(F.col("n") >= F.col("of_slot") * F.lit(SLOT_SHARE))
+    # texts that take turns in a slot are what pages say, not their template
+    over = over.where((F.col("texts") == 1) | (F.col("of_frequent") > F.col("of_slot") * F.lit(TURNS)))
     return over.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("constants"))
 
 
 def extract_main_text(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """df with text and n_chars (its code points); columns of these names in df are replaced.
 
+    Of a header in the article headings stay, other text goes with page headers.  An element that isn't closed ends with
+    the one around it; scripts, styles, frames and media without an end tag end where they begin.
+
     Null html gives an empty text.  Pages without a host (null or odd urls) share one wrapper.  Rows that repeat are
     kept and read alike.  An empty table gives no rows.
     """
