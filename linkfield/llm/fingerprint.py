@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import n_up_to
+
 #: Hashes in a sketch, words in a shingle, hexadecimal digits of a hash (48 bits).
 K, WORDS, DIGITS = 128, 5, 12
 _RANGE = 1 << (4 * DIGITS)
@@ -71,8 +73,7 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     cuts = df.select(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0] or []
     cuts = sorted({c for c in cuts if c is not None})
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    at = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(order))), F.lit(0)) if cuts else F.lit(0)
-    at = F.when(F.col(order).isNull(), 0).otherwise(at) if cuts else at
+    at = F.when(F.col(order).isNull(), 0).otherwise(n_up_to(F.lit(len(cuts)), lambda i: F.get(bounds, i), F.col(order))) if cuts else F.lit(0)
     rows = df.withColumn("__range", at).withColumn("__tie", F.xxhash64(columns[0]))
     # the first row of each range in use: one row a range
     first = rows.groupBy("__range").agg(F.min(F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("key"), F.col("__tie").alias("tie"))).alias("f")).select("__range", "f.*").collect()

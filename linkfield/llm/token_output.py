@@ -90,16 +90,22 @@ class ShardReader:
 
 
 def _sample(df: DataFrame, path: str, end_id: int, width: int) -> bytes:
+    """The dictionary of a bounded sample, trained in one task; only the dictionary comes to the driver."""
     first = df.where(f"length(text) <= {SAMPLE_CHARS}").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     rows = df.join(F.broadcast(first.distinct()), "doc_id").where(f"length(text) <= {SAMPLE_CHARS}").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
-    texts = [t or "" for t in rows.select("text").toArrow().column("text").to_pylist()]
-    return train_dictionary((np.append(x, np.uint32(end_id)) for x in encoder(path).encode(texts)), width)
+
+    def trained(batches):
+        found = sorted((h, t or "") for batch in batches for h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([train_dictionary((np.append(x, np.uint32(end_id)) for x in encoder(path).encode([t for _, t in found])), width)], pa.binary())], names=["dictionary"])
+
+    one = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").repartition(1).mapInArrow(trained, "dictionary binary").first()
+    return bytes(one["dictionary"]) if one else b""
 
 
 def write_token_shards(df: DataFrame, out: str, end_id: int = 1, tokenizer: str | None = None, level: int = 3) -> bytes:
     """Writes df's documents (doc_id, text) to the shard table out, in ascending doc_id order (null first); returns
     the dictionary, also written to out/dictionary.  Null text is empty: its end id alone.  Documents of equal id
-    follow each other in no fixed order.  Columns: part and shard give the order, first_doc and last_doc a range.
+    follow each other by the checksum of their ids, then their number.  Columns: part and shard give the order, first_doc and last_doc a range.
     """
     spark, path = df.sparkSession, tokenizer_path(tokenizer)
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -113,7 +119,8 @@ def write_token_shards(df: DataFrame, out: str, end_id: int = 1, tokenizer: str
         zstd = zstandard.ZstdCompressor(level=level, dict_data=how)
         for ids, texts in text_slices(batches, "doc_id", "text"):
             tokens = [np.append(x, np.uint32(end_id)) for x in enc.encode(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in tokens], pa.int64()), pa.array([zstd.compress(serialized(x, width)) for x in tokens], pa.binary())], names=["doc_id", "n", "frame"])
+            columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in tokens], pa.int64()), pa.array([zstd.compress(serialized(x, width)) for x in tokens], pa.binary()), pa.array([zlib.crc32(x) for x in tokens], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "frame", "crc"])
 
     def shards(batches):
         part, number, rows, size = TaskContext.get().partitionId(), 0, [], 0
@@ -136,9 +143,11 @@ def write_token_shards(df: DataFrame, out: str, end_id: int = 1, tokenizer: str
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written first: finding the ranges reads it, and must not encode everything once more
-    frames = written(df.mapInArrow(compress, "doc_id long, n long, frame binary"), "frames")
-    ordered = frames.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.rand(7)).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    table = ordered.mapInArrow(shards, "part int, shard int, first_doc long, last_doc long, n_tokens long, data binary")
+    frames = written(df.mapInArrow(compress, "doc_id long, n long, frame binary, crc long"), "frames")
+    # the last key splits rows that are alike in all others, whose order doesn't matter
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("n")]
+    ordered = frames.repartitionByRange(n, *order, F.rand(7)).sortWithinPartitions(*order)
+    table = ordered.drop("crc").mapInArrow(shards, "part int, shard int, first_doc long, last_doc long, n_tokens long, data binary")
     table.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{out}/shards")
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{out}/dictionary")
     return dictionary

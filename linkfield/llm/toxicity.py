@@ -78,13 +78,15 @@ def train(documents: DataFrame, labels: DataFrame, how: Settings = Settings(), m
     """(feature number, weight) of the features with weight.
 
     labels: id_col and label_col (0 or 1; other values and null ids are ignored, an id labelled both ways counts as
-    1).  At most max_rows ids of each class are fitted, in one task; what comes back is bounded by the feature space.
+    1).  At most max_rows ids of each class are fitted, in one task, each by its text of least hash; what comes back is bounded by the feature space.
     Without labels of both classes the only feature is the bias, towards the class there is (0 if none).
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     order = [F.xxhash64("__id"), F.col("__id")]
     chosen = known.where("__label = 0").orderBy(*order).limit(max_rows).unionByName(known.where("__label = 1").orderBy(*order).limit(max_rows))
     rows = documents.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), "__id")
+    one = F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("text"))).alias("one")  # however many rows an id has
+    rows = rows.groupBy("__id", "__label").agg(one).select("__id", "__label", F.col("one.text").alias("__text"))
     rows = rows.select(F.struct(F.xxhash64("__id", F.lit(1)).alias("o"), F.xxhash64("__id").alias("h"), F.col("__label").alias("y")).alias("__meta"), "__text")
 
     def extract(batches):
