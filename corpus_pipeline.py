@@ -6,7 +6,7 @@ the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linkfield.llm.common import new_path, small, table, written
 from linkfield.llm.line_dedup import drop_boilerplate_lines
@@ -20,8 +20,18 @@ from linkfield.llm.toxicity import drop_toxic, held_out, train
 ARROW_ROWS = 1000
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """For what a stage returns, which runs when the caller writes it; run() puts the setting back."""
+    spark.conf.set(_BATCH, ARROW_ROWS)
+
+
+def _in_order(docs: DataFrame) -> Column:
+    """A row's place among rows of one id and text: by its columns, those that have no order by their JSON."""
+    ordered = lambda t: not any(x in t for x in ("map<", "variant", "interval"))
+    return F.struct(*[F.col(f"`{c}`") if ordered(t) else F.to_json(F.struct(F.col(f"`{c}`"))) for c, t in docs.dtypes])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +54,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = written(jaccard_classes(docs).select("doc_id", "text_hash", "class").where("class is not null"), "classes")
     key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
     groups = rows.groupBy("class").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    of_groups = rows.join(groups, "class").groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"), (key == F.col("first")).alias("stays")).count()
+    of_groups = rows.join(groups, "class").groupBy(F.col("doc_id").alias("__class_id"), F.col("text_hash").alias("__class_text"), (key == F.col("first")).alias("stays")).count()
     of_groups = written(of_groups, "others")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64(docs["text"]) == F.col("of_text"))
-    kept = docs.join(small(of_groups.where("not stays").select("of_id", "of_text"), 32), same, "left_anti")
-    repeated = of_groups.where("stays and count > 1").select("of_id", "of_text")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__class_id")) & (F.xxhash64(docs["text"]) == F.col("__class_text"))
+    kept = docs.join(small(of_groups.where("not stays").select("__class_id", "__class_text"), 32), same, "left_anti")
+    repeated = of_groups.where("stays and count > 1").select("__class_id", "__class_text")
     if repeated.isEmpty():
         return kept
     repeated = small(repeated, 32)
-    one = kept.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    one = kept.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(F.struct(*docs.columns), _in_order(docs)).alias("row")).select("row.*")
     return kept.join(repeated, same, "left_anti").unionByName(one)
 
 
@@ -81,9 +91,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of sf_dir's documents; every stage is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(_BATCH)
+    try:
+        for name, stage in STAGES:
+            path = new_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return docs
