@@ -623,6 +623,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _meetings(near: DataFrame, most: int = BLOCK) -> DataFrame:
+    """key, side, node, label of near (component, node, label): what may link comes together once, in blocks where a
+    component is large.
+
+    Only nodes of unlike labels need to meet.  So a label with many nodes has blocks of its own, which meet neither
+    themselves nor one another, and small labels share blocks: a node goes to as many groups as there are blocks with
+    other labels in its component, however many nodes share its own."""
+    per = near.groupBy("component", "label").agg(F.count("*").alias("c"))
+    total = per.groupBy("component").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") <= most // 2, F.col("c")).otherwise(0)).alias("small"))
+    per = per.join(total.where(F.col("total") > most), "component")
+    alone = F.col("c") > most // 2
+    per = written(per.select("component", "label", F.when(alone, F.ceil(F.col("c") / most)).otherwise(0).alias("own"), F.greatest(F.lit(1), F.ceil(F.col("small") / most)).alias("shared")), "labels")
+    pure = per.where("own > 0").select("component", F.col("label").alias("of"), F.explode(F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.xxhash64(F.lit("own"), "label", i))).alias("block"))
+    mixed = per.where("own = 0").select("component", F.lit(None).cast("long").alias("of"), F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("label"), F.col("shared"))).alias("block")).distinct()
+    blocks = written(pure.unionByName(mixed), "blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = x.join(y, F.expr("x.component = y.component and x.block <= y.block and not coalesce(x.of = y.of, false)"))
+    sides = F.expr("if(x.block = y.block, array(struct(x.block as block, 0 as side)), array(struct(x.block as block, 0 as side), struct(y.block as block, 1 as side)))")
+    meet = meet.select(F.col("x.component").alias("component"), F.xxhash64("x.component", "x.block", "y.block").alias("key"), F.explode(sides).alias("s")).select("component", "key", "s.block", "s.side")
+    block = F.when(F.col("own") > 0, F.xxhash64(F.lit("own"), "label", F.pmod(F.xxhash64("node"), F.col("own")))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("label"), F.col("shared"))))
+    large = near.join(per, ["component", "label"]).withColumn("block", block).join(meet, ["component", "block"]).select("key", "side", "node", "label")
+    few = near.join(per.select("component").distinct(), "component", "left_anti").select(F.xxhash64("component").alias("key"), F.lit(0).alias("side"), "node", "label")
+    return few.unionByName(large)
+
+
 def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str | None = "doc_id") -> DataFrame:
     """One row per row of df: doc_id (null without id_col), text_hash, n_shingles, node (a number of the set, null for
     an empty one), class (of the links' components the smallest node).  Everything else as in jaccard_components."""
@@ -677,12 +702,8 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str | None =
     meet = meet.select(F.col("x.cell").alias("cell"), F.xxhash64("x.cell", "x.block", "y.block").alias("key"), F.explode(F.expr("if(x.block = y.block, array(struct(x.block as block, 0 as side)), array(struct(x.block as block, 0 as side), struct(y.block as block, 1 as side)))")).alias("s")).select("cell", "key", "s.block", "s.side")
     again = meet.join(at, ["cell", "block"])
     near = components(_in_blocks(again, node_points, _may_link, "a long, b long").distinct())
-    # what such pairs connect comes together once, in blocks where it is much
-    count = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    near = near.join(count, "component").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    near = near.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    key = F.xxhash64("component", F.least("block", "with"), F.greatest("block", "with"))
-    near = written(near.select(key.alias("key"), F.when(F.col("block") > F.col("with"), 1).otherwise(0).alias("side"), "node", F.coalesce("label", "node").alias("label")), "near")
+    near = near.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    near = written(_meetings(written(near, "near")), "near")
     whole = _whole_sets(docs, near.select("node").distinct(), points)
     more = written(_in_blocks(near, whole, _spanning_links, "a long, b long"), "links")
     labels = components(links.unionByName(more))

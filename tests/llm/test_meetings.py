@@ -1,0 +1,70 @@
+"""Large components of the n-gram join: who meets whom, and how many copies that takes."""
+
+import random
+from collections import defaultdict
+
+from linkfield.llm import ngram_join
+from linkfield.llm.ngram_join import _meetings, jaccard_components
+
+
+def meetings(spark, rows, most):
+    groups = defaultdict(lambda: ([], []))
+    got = _meetings(spark.createDataFrame(rows, "component long, node long, label long"), most).collect()
+    for r in got:
+        groups[r.key][r.side].append((r.node, r.label))
+    return got, groups
+
+
+def pairs_of(groups):
+    met = set()
+    for left, right in groups.values():
+        other = right or left
+        met |= {(min(a, b), max(a, b)) for a, la in left for b, lb in other if la != lb}
+    return met
+
+
+def test_all_nodes_of_unlike_labels_meet(spark):
+    draw = random.Random(2)
+    rows = [(1, i, 0 if i < 130 else 1 if i < 170 else 100 + draw.randrange(25)) for i in range(230)] + [(2, 1000 + i, 1000 + i % 3) for i in range(9)] + [(3, 2000 + i, 2000 + i) for i in range(60)]
+    got, groups = meetings(spark, rows, 10)
+    want = {(min(a, b), max(a, b)) for c, a, la in rows for d, b, lb in rows if c == d and a != b and la != lb}
+    assert pairs_of(groups) == want
+    assert max(len(x) + len(y) for x, y in groups.values()) < 60
+    assert {(r.node, r.label) for r in got} == {r[1:] for r in rows}
+
+
+def test_copies_grow_with_members(spark):
+    """20 and 80 blocks of one label, and a few nodes of others."""
+    n = {}
+    for size in (200, 800):
+        got, groups = meetings(spark, [(1, i, 0) for i in range(size)] + [(1, 5000 + i, 5000 + i) for i in range(5)], 10)
+        n[size] = len(got)
+        assert len(pairs_of(groups)) == size * 5 + 10
+    assert n[200] < 2.6 * 200 and n[800] < 4.4 * n[200]
+
+
+def test_join_with_components_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(_meetings, "__defaults__", (6,))
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(400)}" for _ in range(60)]
+    rows = []
+    for i in range(90):  # versions that drift apart: neighbours link, far ones don't
+        base[draw.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(200 + i, " ".join(base[:30] + [f"y{i}{j}" for j in range(30)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in jaccard_components(df).collect()}
+    assert got == {i: find(i) for i in sets} and ngram_join.BLOCK == 1000
