@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 
+#: Links that one task contracts by itself (16 bytes each); more are contracted by rounds.
+FEW_LINKS = 1 << 18
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its part) for every node of the links a-b, by hooking and pointer jumping."""
     nodes, ix = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -33,14 +37,21 @@ def _contracted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(root[kept])], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """node, component (the smallest node that links reach) for all nodes of links (a, b: long, not null).
 
     Partitions first contract what they hold; then each node's neighbours above it, and after that those below it,
     move to the smallest neighbour, until nothing changes.  A node with a third of all links is no single group:
-    minima are pre-aggregated, and joins to them can be split where a key is skewed.  No links give no rows.
+    minima are pre-aggregated, and joins to them can be split where a key is skewed.  Where partitions leave FEW_LINKS at
+    most, one task ends it.  No links give no rows.
     """
     stars = written(links.select("a", "b").where("a <> b").mapInArrow(_contracted, "a long, b long").distinct(), "stars")
+    if stars.count() <= few:
+        return _labels(written(stars.repartition(1).mapInArrow(_contracted, "a long, b long"), "stars"))
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -53,5 +64,5 @@ def components(links: DataFrame) -> DataFrame:
         stars = written(moved.where("a <> b").distinct(), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            return _labels(stars)
         before = now

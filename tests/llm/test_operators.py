@@ -176,10 +176,12 @@ def test_components(spark):
     for _ in range(len(label)):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    links = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {r.node: r.component for r in components(links, few=0).collect()}
     linked_nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: label[x] for x in linked_nodes}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == components(links.where("false"), few=-1).count() == 0
 
 
 # 4 embeddings
