@@ -29,14 +29,16 @@ def link_blocks(existing: DataFrame, most: int = BLOCK_LINKS) -> DataFrame:
     return blocks.agg(F.collect_list("box").alias("links"), *around)
 
 
-def split_existing(candidates: DataFrame, existing: DataFrame, most: int = BLOCK_LINKS) -> DataFrame:
+def split_existing(candidates: DataFrame, existing: DataFrame, most: int = BLOCK_LINKS, stored_by_page: bool = False) -> DataFrame:
     """candidates with status: already_linked if one overlaps some existing link of its page by more than half of the
     smaller box, else linked.
 
     An existence join by page: a candidate meets the blocks whose box it touches, each link once, and stops at the first
     that matches.  Candidates are dealt by page up front, as the join needs them; else Spark moves the test for existence
-    into the branches of a union, where it can't be planned."""
-    rows, blocks = candidates.repartition(*PAGE).withColumn("__box", corners()).alias("__c"), link_blocks(existing, most).alias("__b")
+    into the branches of a union, where it can't be planned.  Candidates that are read from a table with buckets by page
+    (stored_by_page) stay where they are; with links from such a table nothing is shuffled."""
+    dealt = candidates if stored_by_page else candidates.repartition(*PAGE)
+    rows, blocks = dealt.withColumn("__box", corners()).alias("__c"), link_blocks(existing, most).alias("__b")
     mine, of = lambda c: F.col(f"__c.{c}").outer(), lambda c: F.col(f"__b.{c}")
     here = (of("doc_id") == mine("doc_id")) & (of("page_number") == mine("page_number"))
     touches = (of("x0") < mine("__box.x1")) & (of("x1") > mine("__box.x0")) & (of("y0") < mine("__box.y1")) & (of("y1") > mine("__box.y0"))

@@ -6,7 +6,9 @@ Everything is keyed by page; only reports work by document, over links.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.text import default_uri_filter
 from ..operators.candidates import bare_domain_matches, candidate_uris, drop_bare_under_scheme, match_to_rect, scheme_url_matches
@@ -18,6 +20,19 @@ from ..options import DEFAULT, ScanOptions
 from ..sources.files import link_annotations
 from ..sources.shared import written
 
+@dataclass(frozen=True)
+class Trace:
+    """What a scan counts while it runs, without a plan of its own: unique codes before the filter, and links by source
+    and status.  totals waits for the scan's first action."""
+
+    codes: Observation = field(default_factory=lambda: Observation("codes"))
+    links: Observation = field(default_factory=lambda: Observation("links"))
+
+    @property
+    def totals(self) -> dict[str, int]:
+        return {**self.codes.get, **self.links.get}
+
+
 LOCATED = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri", "left_pt", "bottom_pt", "width_pt", "height_pt")
 
 
@@ -34,9 +49,11 @@ def located_text(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame
     return dedupe_text_spots(text_candidates(chunks, options)).withColumns({"source": F.lit("text"), "source_rank": F.lit(1), "order_key": order}).select(*LOCATED)
 
 
-def located_qr(detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+def located_qr(detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT, trace: Trace | None = None) -> DataFrame:
     """Code links with their boxes: hits of the options' levels merge by payload and spot, then targets are filtered."""
     codes = dedupe_qr(qr_padded_box(detections.where(F.col("scale").isin(*options.scales)), pages, sizes=True))
+    if trace is not None:
+        codes = codes.observe(trace.codes, F.count(F.lit(1)).alias("n_codes"), F.count_if(default_uri_filter(F.col("payload")).isNull()).alias("n_no_uri"))
     accepted = codes.withColumn("uri", (options.uri_filter or default_uri_filter)(F.col("payload"))).where("uri is not null")
     order = F.col("level_no").cast("long") * 1_000_000 + F.col("inverted").cast("int") * 500_000 + F.col("decode_no")
     return to_points(accepted).withColumns({"source": F.lit("qr"), "source_rank": F.lit(0), "order_key": order}).select(*LOCATED)
@@ -104,15 +121,19 @@ def all_chunks(chunks: DataFrame, words: DataFrame | None, pages: DataFrame, opt
     return chunks if words is None else merge_chunks(chunks, ocr_chunks(words, pages, options))
 
 
-def located(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+def located(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT, trace: Trace | None = None) -> DataFrame:
     """Links of all sources with their boxes."""
-    return merge_sources(located_qr(detections, pages, options), located_text(all_chunks(chunks, words, pages, options), options))
+    return merge_sources(located_qr(detections, pages, options, trace), located_text(all_chunks(chunks, words, pages, options), options))
 
 
-def scan(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+def scan(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT, trace: Trace | None = None) -> DataFrame:
     """All links of all pages, with status; nothing is changed.  words are finished OCR words; with an engine in the
-    options they are None, and the engine runs first, while this is called."""
-    return split_existing(located(chunks, words, detections, pages, options), existing_links(annotations))
+    options they are None, and the engine runs first, while this is called.  A trace counts along."""
+    links = split_existing(located(chunks, words, detections, pages, options, trace), existing_links(annotations))
+    if trace is None:
+        return links
+    of = lambda source, status: F.count_if((F.col("source") == source) & (F.col("status") == status))
+    return links.observe(trace.links, of("text", "linked").alias("n_text"), of("text", "already_linked").alias("n_text_already"), of("qr", "linked").alias("n_qr"), of("qr", "already_linked").alias("n_qr_already"))
 
 
 def link(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:

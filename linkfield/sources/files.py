@@ -46,6 +46,12 @@ def link_annotations(links: DataFrame) -> DataFrame:
     return new.select(*LINK_COLUMNS, F.lit("Link").alias("subtype"), F.array(F.lit(0), F.lit(0), F.lit(0)).alias("border"))
 
 
+def write_by_page(rows: DataFrame, table: str, buckets: int, mode: str = "errorifexists") -> None:
+    """rows as a table with buckets by page, pages in order within them.  Tables of one number of buckets are joined and
+    grouped by page without a shuffle: chunks, annotations, located links."""
+    rows.repartition(buckets, "doc_id", "page_number").write.mode(mode).bucketBy(buckets, "doc_id", "page_number").sortBy("doc_id", "page_number").format("parquet").saveAsTable(table)
+
+
 def write_links(links: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The link table, partitioned by status."""
     links.write.mode(mode).partitionBy("status").parquet(path)
