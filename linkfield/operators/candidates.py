@@ -49,13 +49,13 @@ def candidate_uris(lines: DataFrame, uri_filter: Callable[[Column], Column] | No
     """One row per match that the filter accepts: is_bare, match_no, candidate (trimmed), uri, hit (the line's spans that
     the candidate touches)."""
 
-    def of(name: str, bare: int) -> Column:
-        cut = F.transform(name, lambda m: F.struct(m["match_no"].alias("match_no"), m["start_off"].alias("start_off"), trim_trailing_punctuation(m["value"]).alias("candidate")))
-        touched = lambda m: _touched(m["start_off"], m["start_off"] + F.length(m["candidate"]))
-        return F.transform(cut, lambda m: F.struct(F.lit(bare).alias("is_bare"), m["match_no"].alias("match_no"), m["candidate"].alias("candidate"), touched(m).alias("hit")))
+    def cut(name: str, bare: int) -> Column:
+        return F.transform(name, lambda m: F.struct(F.lit(bare).alias("is_bare"), m["match_no"].alias("match_no"), m["start_off"].alias("start_off"), trim_trailing_punctuation(m["value"]).alias("candidate")))
 
+    touched = lambda m: _touched(m["start_off"], m["start_off"] + F.length(m["candidate"])).alias("hit")
     some = lines.where((F.size("scheme") > 0) | (F.size("bare") > 0))
-    each = some.select(*PAGE, "line_no", "source_rank", F.explode(F.concat(of("scheme", 0), of("bare", 1))).alias("m")).select(*PAGE, "line_no", "source_rank", "m.*").where("candidate <> ''")
+    every = F.transform(F.concat(cut("scheme", 0), cut("bare", 1)), lambda m: F.struct(m["is_bare"].alias("is_bare"), m["match_no"].alias("match_no"), m["candidate"].alias("candidate"), touched(m)))
+    each = some.select(*PAGE, "line_no", "source_rank", F.explode(every).alias("m")).select(*PAGE, "line_no", "source_rank", "m.*").where("candidate <> ''")
     target = F.when(F.col("is_bare") == 1, F.concat(F.lit("https://"), F.col("candidate"))).otherwise(F.col("candidate"))
     return each.withColumn("uri", (uri_filter or default_uri_filter)(target)).where("uri is not null")
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import corners, same_spot, same_text_spot
 
 #: Rows of one group up to which the fold runs as an expression; larger groups look kept boxes up in a grid.
-FOLD_ROWS = 500
+FOLD_ROWS = 200
 
 #: Boxes with sides up to an eighth (two to this power) are of one class.
 LEAST_POWER = -3
@@ -22,18 +22,6 @@ LEAST_POWER = -3
 FEW = 200
 
 
-def _fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], near: Callable[[Column, Column], Column]) -> DataFrame:
-    rest = [c for c in rows.columns if c not in keys and c not in order and c != "__box"]
-    one = F.struct(*order, "__box", *rest)
-    kind = rows.select(one.alias("x")).schema["x"].dataType.simpleString()
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(one)),
-        F.expr("array()").cast(f"array<{kind}>"),
-        lambda kept, x: F.when(F.exists(kept, lambda k: near(k["__box"], x["__box"])), kept).otherwise(F.array_append(kept, x)),
-    )
-    return rows.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.explode("kept").alias("x")).select(*keys, "x.*")
-
-
 def _numpy_near(text: bool):
     def near(k: np.ndarray, x: np.ndarray) -> np.ndarray:
         w = np.minimum(k[:, 2], x[2]) - np.maximum(k[:, 0], x[0])
@@ -128,22 +116,28 @@ def kept_rows(boxes: np.ndarray, text: bool) -> list[int]:
     return which
 
 
-def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], box: Column, text: bool) -> DataFrame:
-    """rows without those near an earlier kept one of their group; box is a struct of x0, y0, x1, y1.
+def _kept_numbers(text: bool):
+    @F.pandas_udf("array<int>")
+    def kept(sides: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else kept_rows(np.asarray(x, float).reshape(-1, 4), text) for x in sides])
 
-    Both ways to fold read one exchange of rows, so whatever rows come from is computed once.  Its keys are turned round
-    because Spark leaves an exchange out, and computes rows twice, where they are dealt by the same keys already."""
-    columns = rows.columns
-    rows = rows.repartition(*reversed(keys)).withColumn("__box", box).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    few = _fold(rows.where(F.col("__n") <= FOLD_ROWS).drop("__n"), keys, order, same_text_spot if text else same_spot)
-    many = rows.where(F.col("__n") > FOLD_ROWS).drop("__n").select(*columns, *[F.col("__box")[k].cast("double").alias(f"__{k}") for k in ("x0", "y0", "x1", "y1")])
-    schema = many.drop("__x0", "__y0", "__x1", "__y1").schema
+    return kept
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order), kind="stable", ignore_index=True)
-        return group.iloc[kept_rows(group[["__x0", "__y0", "__x1", "__y1"]].to_numpy(float), text)][columns]
 
-    return few.select(*columns).unionByName(many.groupBy(*keys).applyInPandas(fold, schema))
+def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], box: Column, text: bool) -> DataFrame:
+    """rows without those near an earlier kept one of their group; box is a struct of x0, y0, x1, y1.
+
+    A group's rows come together as an array in order.  Small groups are folded by an expression, where few boxes are kept
+    and looked through; of large ones the sides go through a grid, which gives back the numbers of those that stay.  Both
+    read the one array, so there is one plan below."""
+    near = same_text_spot if text else same_spot
+    grouped = rows.withColumn("__box", box).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "__box", *[c for c in rows.columns if c not in keys and c not in order]))).alias("__all"))
+    large = F.size("__all") > FOLD_ROWS
+    sides = F.flatten(F.transform("__all", lambda x: F.array(*[x["__box"][k].cast("double") for k in ("x0", "y0", "x1", "y1")])))
+    grouped = grouped.withColumn("__numbers", _kept_numbers(text)(F.when(large, sides)))
+    fold = F.aggregate("__all", F.slice("__all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: near(k["__box"], x["__box"])), kept).otherwise(F.array_append(kept, x)))
+    kept = F.when(large, F.transform("__numbers", lambda i: F.get("__all", i))).otherwise(fold)
+    return grouped.select(*keys, F.explode(kept).alias("__x")).select(*[c if c in keys else F.col(f"__x.{c}") for c in rows.columns])
 
 
 def dedupe_qr(hits: DataFrame) -> DataFrame:
