@@ -167,10 +167,11 @@ JOIN ocr_words w ON w.doc_id = t.doc_id AND w.page_number = t.page_number AND px
     "engine_read": _words("engine_words"),
     "engine_chunks": _word_chunks("engine_read"),
     "chunks_with_engine": "SELECT * FROM text_chunks UNION ALL SELECT * FROM engine_chunks",
+    "edited_chunks": "SELECT * REPLACE (CASE WHEN page_number = 99 AND doc_id % 10 = 0 THEN replace(text, 'wiki', 'en/page') ELSE text END AS text) FROM text_chunks",
     "found_with_engine": "SELECT * FROM qr_links UNION ALL SELECT * FROM text_links_engine",
     "existing_after": f"SELECT * FROM existing UNION ALL SELECT {PAGE}, {BOX} FROM found WHERE status = 'linked'",
 }
-PARTS |= _text("text_chunks") | _text("whole_chunks", "_whole") | _text("all_chunks", "_all") | _text("chunks_with_engine", "_engine")
+PARTS |= _text("text_chunks") | _text("whole_chunks", "_whole") | _text("all_chunks", "_all") | _text("chunks_with_engine", "_engine") | _text("edited_chunks", "_edited")
 
 _r = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 _RBOX = _r("left_pt", "bottom_pt", "width_pt", "height_pt")
@@ -227,6 +228,7 @@ FROM (SELECT d.doc_id, count(*) FILTER (WHERE status = 'linked') AS n_linked, co
     "x3_scan_with_engine": f"SELECT {_LINKS} FROM found_with_engine",
     "x4_link": f"SELECT {PAGE}, uri, {_RBOX}, 'Link' AS subtype FROM found WHERE status = 'linked'",
     "x5_relink": f"SELECT {_FOUND_KEYS}, uri, {_status('', 'existing_after')} AS status FROM found c",
+    "x5_incremental_relink": "SELECT * FROM text_links_edited",
     "e1_apply_ocr_engine": "SELECT t.doc_id, t.page_number, 'tile' AS pass, t.tile_y, w.seq, w.text, w.px_left, w.px_top - t.tile_y AS px_top, w.px_right, w.px_bottom - t.tile_y AS px_bottom FROM tiles t JOIN ocr_words w ON w.doc_id = t.doc_id AND w.page_number = t.page_number AND w.pass = 'whole' AND w.px_top >= t.tile_y AND w.px_bottom <= t.tile_y + t.tile_height",
 }
 

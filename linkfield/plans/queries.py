@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,7 +17,8 @@ from ..operators.lines import PAGE, drop_blank_chunks, group_lines, lines_of
 from ..operators.report import compare_presets, document_summary, letter_findings, link_edges, link_messages, ordered_results, overlay_percent, page_trace_counts, pages_with_findings
 from ..options import DEFAULT_SCALES, INTERACTIVE_SCALES, ScanOptions
 from ..sources.files import classify_inputs, image_page_size, link_annotations, output_paths
-from . import jobs
+from ..sources.shared import shared_dir
+from . import incremental, jobs
 from .derived import Tables
 
 BOX = ("left_pt", "bottom_pt", "width_pt", "height_pt")
@@ -271,12 +273,26 @@ def x3_scan_with_engine(t: Tables) -> DataFrame:
     return _rounded(jobs.scan(t.text_chunks, None, t.qr_detections, _pages_with_words(t), t.annotations, options))
 
 
+def edited(chunks: DataFrame) -> DataFrame:
+    """The pages that an edit changes, as they are after it."""
+    return chunks.where("page_number = 99 and doc_id % 10 = 0").withColumn("text", F.replace("text", F.lit("wiki"), F.lit("en/page")))
+
+
+def x5_incremental_relink(t: Tables) -> DataFrame:
+    """All chunks as one batch, edited pages as the next; links after both, the second run having read the second alone."""
+    folder = f"{shared_dir(t.spark)}/incremental-{uuid.uuid4().hex}"
+    t.text_chunks.write.parquet(f"{folder}/in/batch=0")
+    incremental.scan_changes(t.spark, f"{folder}/in", f"{folder}/state")
+    edited(t.text_chunks).write.parquet(f"{folder}/in/batch=1")
+    return incremental.relink_changes(t.spark, f"{folder}/in", f"{folder}/state", t.annotations)
+
+
 _ALL = (
     s1_classify_inputs, s2_output_paths, s3_link_annotations, s4_existing_links, p1_drop_blank_chunks, p2_default_uri_filter, p3_custom_uri_filter, p4_pixel_box_to_points,
     p5_qr_padded_box, p6_pyramid_plan, p7_ocr_tile_plan, p8_ocr_words_to_chunks, p9_image_page_size, p10_link_edges, p11_overlay_percent, t1_group_lines, t2_reconstruct_lines,
     t3_scheme_url_matches, t4_bare_domain_matches, t5_drop_bare_under_scheme, t6_trim_trailing_punctuation, t7_candidate_uris, t8_match_to_rect, j1_split_existing,
     j2_ocr_escalation_pages, j3_attach_page_size, j4_compare_presets, d1_dedupe_qr, d2_dedupe_text_spots, a1_document_summary, a1_link_messages, a2_pages_with_findings, a3_page_trace_counts,
-    a4_debug_candidates, w1_letter_findings, o1_ordered_results, u1_merge_sources, u2_merge_chunks, u3_merge_status, x1_scan_text, x2_scan_qr, x3_scan, x3_scan_with_engine, x4_link, x5_relink, e1_apply_ocr_engine,
+    a4_debug_candidates, w1_letter_findings, o1_ordered_results, u1_merge_sources, u2_merge_chunks, u3_merge_status, x1_scan_text, x2_scan_qr, x3_scan, x3_scan_with_engine, x4_link, x5_relink, x5_incremental_relink, e1_apply_ocr_engine,
 )
 
 

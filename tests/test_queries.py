@@ -7,7 +7,7 @@ import pytest
 from linkfield.plans import oracles, queries
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ("s2_output_paths", "p2_default_uri_filter", "p3_custom_uri_filter", "p7_ocr_tile_plan", "a1_link_messages", "w1_letter_findings", "e1_apply_ocr_engine", "t2_reconstruct_lines", "t5_drop_bare_under_scheme", "t8_match_to_rect", "j2_ocr_escalation_pages", "d1_dedupe_qr", "x1_scan_text", "x3_scan", "x5_relink")
+SAMPLE = ("s2_output_paths", "p2_default_uri_filter", "p3_custom_uri_filter", "p7_ocr_tile_plan", "a1_link_messages", "w1_letter_findings", "e1_apply_ocr_engine", "t2_reconstruct_lines", "t5_drop_bare_under_scheme", "t8_match_to_rect", "j2_ocr_escalation_pages", "d1_dedupe_qr", "x1_scan_text", "x3_scan", "x3_scan_with_engine", "x5_relink", "x5_incremental_relink")
 
 
 def test_every_query_has_sql():
