@@ -79,7 +79,7 @@ class Node:
 def parse(page: str) -> Node:
     """The page's tree; markup that isn't closed, or closed twice, is read as browsers do for the common cases."""
     root = Node("#")
-    stack, at, skip = [root], 0, ""
+    stack, at = [root], 0
     opened: Counter[str] = Counter()
     last: dict[str, int] = {}
 
@@ -98,11 +98,7 @@ def parse(page: str) -> Node:
             if stack[k].tag in unless:
                 return
 
-    for m in TOKEN.finditer(page):
-        if skip:
-            if m[1] and m[2].lower() == skip:
-                at, skip = m.end(), ""
-            continue
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
         at = m.end()
@@ -114,8 +110,8 @@ def parse(page: str) -> Node:
                 close(tag, ("article", "main", "section", "body") if tag in ("p", "b", "i", "a", "span", "em", "strong") else ())
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/") and ends_after(tag, m.end()):
-                skip = tag
+            if not m[3].rstrip().endswith("/") and ends_after(tag, m.end()):  # what is inside isn't markup
+                at = re.compile(rf"</{tag}(?=[\s>/])[^>]*>?", re.I).search(page, m.end()).end()
             continue
         if tag in MEDIA and not ends_after(tag, m.end()):
             continue

@@ -15,7 +15,7 @@ from linkfield.llm.components import components
 from linkfield.llm.embedding_dedup import collision, near_duplicates, plan, unlike_signs
 from linkfield.llm.fingerprint import fingerprint_edits, merge, resemblance, with_bottom_k
 from linkfield.llm.hashing import shingle_sets
-from linkfield.llm.html_wrapper import aligned, article_paths, article_text, extract_main_text, parse, pattern
+from linkfield.llm.html_wrapper import aligned, article_paths, article_text, digest, extract_main_text, parse, pattern
 from linkfield.llm.line_dedup import drop_boilerplate_lines
 from linkfield.llm.mixing import mix_sources, mixed_documents
 from linkfield.llm.ngram_join import RTree, jaccard_components, linked
@@ -268,7 +268,7 @@ def test_wrappers_learn_optional_and_repeated_parts():
     both = aligned(a, b)
     kids = {k[0]: k for k in both[9][0][9]}
     assert kids["h1"][7] == 1 and kids["div.post-0"][9][0][8] == 1  # optional heading, repeated paragraph
-    assert kids["div.foot"][6] == "f" and kids["div.post-0"][9][0][6] is None  # a constant, a slot
+    assert kids["div.foot"][6] == digest("f") and kids["div.post-0"][9][0][6] is None  # a constant, a slot
     assert article_paths(both) == ["#/body"]  # the heading is part of it
 
 

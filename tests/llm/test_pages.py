@@ -86,3 +86,10 @@ def test_lines_that_take_turns_stay(spark):
     rows = [(k, f"http://r.org/{k}", f"<body><article><h1>{prose(draw, 4)}</h1><p>{prose(draw, 30)}</p><div class=verdict>{'Recommended.' if k % 5 < 3 else 'Not recommended.'}</div><div class=notice2>All rights are kept.</div></article></body>") for k in range(20)]
     got = [r.text.split("\n") for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
     assert [t[2:] for t in got] == [["Recommended." if k % 5 < 3 else "Not recommended."] for k in range(20)]
+
+
+def test_scripts_end_where_their_end_tag_stands():
+    of = lambda x: article_text(f"<article>{x}</article>", frozenset(["#/article"]))
+    for script in ("<script>x<y</script>", "<SCRIPT a='>'>if (a<b) {'</p>'}</Script\n>", "<style>p > a {}</style>", "<textarea><p>q</textarea>", "<script/>"):
+        assert of(f"<p>a{script}b</p>c") == "ab\nc"
+    assert of("a<script>x") == "ax"
