@@ -37,8 +37,11 @@ LOCATED = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri",
 
 
 def text_candidates(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """Every URL in the chunks' lines with its box, before dedup."""
-    lines = scheme_url_matches(lines_of(chunks))
+    """Every URL in the chunks' lines with its box, before dedup.  Lines without the few letters that any match has go
+    first, so only others have their arrays worked on."""
+    low = F.lower("line_text")
+    likely = low.contains("http") | low.contains("www.")
+    lines = scheme_url_matches(lines_of(chunks).where(likely | F.col("line_text").contains("/") if options.match_bare_domains else likely))
     lines = drop_bare_under_scheme(bare_domain_matches(lines, options.match_bare_domains, options.tlds))
     return match_to_rect(candidate_uris(lines, options.uri_filter))
 
