@@ -45,25 +45,25 @@ def _touched(start: Column, end: Column) -> Column:
     return F.slice("spans", first + 1, F.greatest(F.lit(0), n_up_to(n, lambda i: at(i)["start_off"], end - 1) - first))
 
 
-def candidate_uris(lines: DataFrame, uri_filter: Callable[[Column], Column] | None = None) -> DataFrame:
+def candidate_uris(lines: DataFrame, uri_filter: Callable[[Column], Column] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per match that the filter accepts: is_bare, match_no, candidate (trimmed), uri, hit (the line's spans that
-    the candidate touches)."""
-
-    def cut(name: str, bare: int) -> Column:
-        return F.transform(name, lambda m: F.struct(F.lit(bare).alias("is_bare"), m["match_no"].alias("match_no"), m["start_off"].alias("start_off"), trim_trailing_punctuation(m["value"]).alias("candidate")))
-
+    the candidate touches), and the line's columns in keep."""
+    tagged = lambda name, bare: F.transform(name, lambda m: F.struct(F.lit(bare).alias("is_bare"), m.alias("m")))
+    cut = lambda x: F.struct(x["is_bare"].alias("is_bare"), x["m"]["match_no"].alias("match_no"), x["m"]["start_off"].alias("start_off"), trim_trailing_punctuation(x["m"]["value"]).alias("candidate"))
     touched = lambda m: _touched(m["start_off"], m["start_off"] + F.length(m["candidate"])).alias("hit")
     some = lines.where((F.size("scheme") > 0) | (F.size("bare") > 0))
-    every = F.transform(F.concat(cut("scheme", 0), cut("bare", 1)), lambda m: F.struct(m["is_bare"].alias("is_bare"), m["match_no"].alias("match_no"), m["candidate"].alias("candidate"), touched(m)))
-    each = some.select(*PAGE, "line_no", "source_rank", F.explode(every).alias("m")).select(*PAGE, "line_no", "source_rank", "m.*").where("candidate <> ''")
+    trimmed = F.transform(F.concat(tagged("scheme", 0), tagged("bare", 1)), cut)
+    every = F.transform(trimmed, lambda m: F.struct(m["is_bare"].alias("is_bare"), m["match_no"].alias("match_no"), m["candidate"].alias("candidate"), touched(m)))
+    of_line = (*PAGE, "line_no", "source_rank", *keep)
+    each = some.select(*of_line, F.explode(every).alias("m")).select(*of_line, "m.*").where("candidate <> ''")
     target = F.when(F.col("is_bare") == 1, F.concat(F.lit("https://"), F.col("candidate"))).otherwise(F.col("candidate"))
     return each.withColumn("uri", (uri_filter or default_uri_filter)(target)).where("uri is not null")
 
 
-def match_to_rect(candidates: DataFrame) -> DataFrame:
+def match_to_rect(candidates: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """candidates with the box around all chunks that the trimmed match touches; one that touches none is dropped."""
     out = candidates.where(F.size("hit") > 0)
     side = lambda name: F.transform("hit", lambda s: s["box"][name])
     out = out.withColumns({"left_pt": F.array_min(side("x0")), "bottom_pt": F.array_min(side("y0")), "__right": F.array_max(side("x1")), "__top": F.array_max(side("y1"))})
     out = out.withColumns({"width_pt": F.col("__right") - F.col("left_pt"), "height_pt": F.col("__top") - F.col("bottom_pt")})
-    return out.select(*PAGE, "line_no", "is_bare", "match_no", "uri", "left_pt", "bottom_pt", "width_pt", "height_pt")
+    return out.select(*PAGE, "line_no", "is_bare", "match_no", "uri", "left_pt", "bottom_pt", "width_pt", "height_pt", *keep)

@@ -52,6 +52,25 @@ def lines_of(chunks: DataFrame) -> DataFrame:
     return reconstruct_lines(line_spans(group_lines(drop_blank_chunks(chunks))))
 
 
+def lines_by_pass(lines: DataFrame) -> DataFrame:
+    """Lines of real text (rank 0), the whole-page pass (1) and tiles (2) with what each is a line of: alone (the whole
+    pass by itself), without_tiles, with_tiles.
+
+    Ranks follow one another on a page, so any of the three has the lines of all chunks, less those chunks that it lacks.
+    Most lines are of one rank and stay as they are; one that runs from a rank into the next is there once for each of
+    the three that has some of it, its text without the space that came before."""
+    first, last, part = F.col("spans")[0]["source_rank"], F.element_at("spans", -1)["source_rank"], lambda low, high: F.filter("spans", lambda s: s["source_rank"].between(low, high))
+    uses = lambda spans, *which: F.struct(spans.alias("spans"), *[w.alias(n) for n, w in zip(("alone", "without_tiles", "with_tiles"), which, strict=True)])
+    yes, no = F.lit(True), F.lit(False)
+    whole = F.array(uses(F.col("spans"), first == 1, first < 2, yes))
+    parts = F.array(uses(part(1, 1), yes, no, no), uses(part(0, 1), no, yes, no), uses(F.col("spans"), no, no, yes))
+    each = lines.select(*PAGE, "line_no", "line_text", F.explode(F.when(first == last, whole).otherwise(F.filter(parts, lambda p: F.size(p["spans"]) > 0))).alias("__p"))
+    each = each.select(*PAGE, "line_no", "line_text", "__p.*").withColumn("__from", F.col("spans")[0]["start_off"])
+    moved = F.transform("spans", lambda s: s.withField("start_off", s["start_off"] - F.col("__from")).withField("end_off", s["end_off"] - F.col("__from")))
+    text = F.substring("line_text", F.col("__from") + 1, F.element_at("spans", -1)["end_off"] - F.col("__from"))
+    return each.select(*PAGE, "line_no", text.alias("line_text"), F.col("spans")[0]["source_rank"].alias("source_rank"), moved.alias("spans"), "alone", "without_tiles", "with_tiles")
+
+
 def computed_once(rows: DataFrame, *columns: str) -> DataFrame:
     """rows whose columns are values from here on.  Spark moves a column's expression into the ones that use it, and an
     expression over array elements would then compute it anew for each element; a generator stops that."""

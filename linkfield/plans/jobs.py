@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..functions.text import default_uri_filter
 from ..operators.candidates import bare_domain_matches, candidate_uris, drop_bare_under_scheme, match_to_rect, scheme_url_matches
 from ..operators.dedupe import dedupe_qr, dedupe_text_spots
 from ..operators.detection import OcrEngine, apply_ocr_engine, evenly, ocr_words_to_chunks, pyramid_plan, qr_padded_box, rendered_sizes, tile_tasks, to_points, whole_page_tasks
 from ..operators.existing import existing_links, split_existing
-from ..operators.lines import PAGE, lines_of
+from ..operators.lines import PAGE, lines_by_pass, lines_of
 from ..options import DEFAULT, ScanOptions
 from ..sources.files import link_annotations
 from ..sources.shared import written
@@ -36,20 +36,42 @@ class Trace:
 LOCATED = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri", "left_pt", "bottom_pt", "width_pt", "height_pt")
 
 
-def text_candidates(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """Every URL in the chunks' lines with its box, before dedup.  Lines without the few letters that any match has go
-    first, so only others have their arrays worked on."""
+PASSES = ("alone", "without_tiles", "with_tiles")
+
+
+def _candidates(lines: DataFrame, options: ScanOptions, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines without the few letters that any match has go first, so only others have their arrays worked on."""
     low = F.lower("line_text")
     likely = low.contains("http") | low.contains("www.")
-    lines = scheme_url_matches(lines_of(chunks).where(likely | F.col("line_text").contains("/") if options.match_bare_domains else likely))
-    lines = drop_bare_under_scheme(bare_domain_matches(lines, options.match_bare_domains, options.tlds))
-    return match_to_rect(candidate_uris(lines, options.uri_filter))
+    some = scheme_url_matches(lines.where(likely | F.col("line_text").contains("/") if options.match_bare_domains else likely))
+    apart = drop_bare_under_scheme(bare_domain_matches(some, options.match_bare_domains, options.tlds))
+    return match_to_rect(candidate_uris(apart, options.uri_filter, keep), keep)
+
+
+def text_candidates(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """Every URL in the chunks' lines with its box, before dedup."""
+    return _candidates(lines_of(chunks), options)
+
+
+def candidates_of_passes(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
+    """text_candidates of merged chunks (real ones of rank 0, the whole-page pass, tiles), without tiles on pages whose
+    whole-page pass alone has a URL.
+
+    Lines are matched once: the pass's own URLs, which decide, are among those of all lines, and a window over the page's
+    candidates sees them where they are."""
+    found = F.max("alone").over(Window.partitionBy(*PAGE))
+    every = _candidates(lines_by_pass(lines_of(chunks)), options, PASSES).withColumn("__found", found)
+    return every.where((F.col("__found") & F.col("without_tiles")) | (~F.col("__found") & F.col("with_tiles"))).drop("__found", *PASSES)
+
+
+def _one_per_spot(candidates: DataFrame) -> DataFrame:
+    order = F.col("line_no").cast("long") * 1_000_000 + F.col("is_bare") * 500_000 + F.col("match_no")
+    return dedupe_text_spots(candidates).withColumns({"source": F.lit("text"), "source_rank": F.lit(1), "order_key": order}).select(*LOCATED)
 
 
 def located_text(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """Text links with their boxes, one per spot; the same whether spots are linked already or not."""
-    order = F.col("line_no").cast("long") * 1_000_000 + F.col("is_bare") * 500_000 + F.col("match_no")
-    return dedupe_text_spots(text_candidates(chunks, options)).withColumns({"source": F.lit("text"), "source_rank": F.lit(1), "order_key": order}).select(*LOCATED)
+    return _one_per_spot(text_candidates(chunks, options))
 
 
 def located_qr(detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT, trace: Trace | None = None) -> DataFrame:
@@ -115,18 +137,18 @@ def read_words(pages: DataFrame, engine: OcrEngine, options: ScanOptions = DEFAU
     return whole.unionByName(written(apply_ocr_engine(evenly(tile_tasks(again)), engine), "words-tiles"))
 
 
-def all_chunks(chunks: DataFrame, words: DataFrame | None, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """Real chunks, and those of finished words or of the options' engine."""
+def located(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT, trace: Trace | None = None) -> DataFrame:
+    """Links of all sources with their boxes; words are finished ones or those of the options' engine."""
     if options.ocr_engine is not None:
         if words is not None:
             raise ValueError("give finished words or an engine, not both")
-        return merge_chunks(chunks, ocr_words_to_chunks(read_words(pages, options.ocr_engine, options), pages))
-    return chunks if words is None else merge_chunks(chunks, ocr_chunks(words, pages, options))
-
-
-def located(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT, trace: Trace | None = None) -> DataFrame:
-    """Links of all sources with their boxes."""
-    return merge_sources(located_qr(detections, pages, options, trace), located_text(all_chunks(chunks, words, pages, options), options))
+        read = read_words(pages, options.ocr_engine, options)  # tiles of other pages weren't read
+        text = text_candidates(merge_chunks(chunks, ocr_words_to_chunks(read, pages)), options)
+    elif words is None:
+        text = text_candidates(chunks, options)
+    else:
+        text = candidates_of_passes(merge_chunks(chunks, ocr_words_to_chunks(words.where("pass IN ('whole', 'tile')"), pages)), options)
+    return merge_sources(located_qr(detections, pages, options, trace), _one_per_spot(text))
 
 
 def scan(chunks: DataFrame, words: DataFrame | None, detections: DataFrame, pages: DataFrame, annotations: DataFrame, options: ScanOptions = DEFAULT, trace: Trace | None = None) -> DataFrame:
