@@ -40,7 +40,8 @@ def trimmed(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(rf"[^{SPACE}]")
+    """White space alone.  Most texts are told by their first character, without the pattern."""
+    return ~(F.ascii(text).between(33, 126) | text.rlike(rf"[^{SPACE}]"))
 
 
 def default_uri_filter(text: Column) -> Column:

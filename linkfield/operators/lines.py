@@ -6,7 +6,7 @@ windows are over (doc_id, page_number): one shuffle brings a page together, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import corners
 from ..functions.text import is_blank
@@ -14,6 +14,9 @@ from ..functions.text import is_blank
 PAGE = ("doc_id", "page_number")
 ORDER = ("source_rank", "tile_y", "seq")
 
+#: Bits that tell which pages may have a URL: blocks of sixteen words of 64 bits, 4 MiB at most.
+BLOCKS, WORDS = 1 << 15, 16
+
 
 def drop_blank_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks with more than white space; their text stays as it is.  Null text is blank."""
@@ -76,3 +79,36 @@ def computed_once(rows: DataFrame, *columns: str) -> DataFrame:
     expression over array elements would then compute it anew for each element; a generator stops that."""
     others = [c for c in rows.columns if c not in columns]
     return rows.select(*others, F.explode(F.array(F.struct(*columns))).alias("__once")).select(*[F.col(f"__once.{c}") if c in columns else F.col(c) for c in rows.columns])
+
+
+def _has_mark(text: Column, bare: bool) -> Column:
+    found = text.contains("://") | (text.contains(".") & F.lower(text).contains("www."))
+    return found | text.contains("/") if bare else found
+
+
+def _has_part_of_mark(text: Column, bare: bool) -> Column:
+    """Whether text has one of the marks, or its end, its beginning or all of it may be a piece of one."""
+    ends = text.endswith("w") | text.endswith("W") | text.endswith(":") | text.endswith(":/")
+    begins = text.startswith("/") | text.startswith(".") | (text.contains(".") & (text.startswith("w") | text.startswith("W")))
+    return _has_mark(text, bare) | ends | begins
+
+
+def of_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """rows of all given pages, and of a few others: pages are told by one bit of their hash, so what is broadcast stays
+    within 4 MiB however many there are, and rows aren't shuffled."""
+    code = F.xxhash64(*PAGE)
+    block, word, bit = code.bitwiseAND(F.lit(BLOCKS - 1)), F.shiftrightunsigned(code, 15).bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.shiftrightunsigned(code, 19).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))
+    coded = pages.select(block.alias("__block"), word.alias("__word"), bit.alias("__bit"))
+    bits = coded.groupBy("__block").agg(F.array(*[F.bit_or(F.when(F.col("__word") == i, one).otherwise(F.lit(0).cast("long"))) for i in range(WORDS)]).alias("__bits"))
+    return rows.join(F.broadcast(bits), (F.col("__block") == block) & (F.getbit(F.get("__bits", word), bit) == 1), "left_semi")
+
+
+def pages_with_marks(chunks: DataFrame, bare: bool = True) -> DataFrame:
+    """chunks of those pages whose lines have what any URL has: ://, www., or (bare) a slash; few others are among them.
+
+    Chunks that have a mark or may be a piece of one are lined by themselves.  Pieces of a mark are neighbours without a
+    space between them, so they are in these lines, too, where the mark is whole again.  Pages without any, most of a
+    corpus, are neither shuffled nor lined."""
+    some = chunks.where(_has_part_of_mark(F.col("text"), bare))
+    return of_pages(chunks, lines_of(some).where(_has_mark(F.col("line_text"), bare)).select(*PAGE))

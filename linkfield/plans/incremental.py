@@ -19,10 +19,11 @@ from .jobs import located_text
 LEDGER = "doc_id long, page_number int, content string, batch long, part int"
 
 
-def content_hashes(chunks: DataFrame) -> DataFrame:
-    """One hash per page, whatever the order of its rows."""
-    row = F.xxhash64(*sorted(c for c in chunks.columns if c not in PAGE)).cast("decimal(20,0)")
-    return chunks.groupBy(*PAGE).agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(row).cast("string"), F.hex(F.bit_xor(F.xxhash64(*sorted(chunks.columns))))).alias("content"))
+def content_hashes(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One hash per page (and value of by, which isn't part of it), whatever the order of its rows."""
+    columns = sorted(c for c in chunks.columns if c not in by)
+    row = F.xxhash64(*[c for c in columns if c not in PAGE]).cast("decimal(20,0)")
+    return chunks.groupBy(*PAGE, *by).agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(row).cast("string"), F.hex(F.bit_xor(F.xxhash64(*columns)))).alias("content"))
 
 
 def part_of(parts: int):
@@ -46,22 +47,22 @@ def scan_changes(spark: SparkSession, batches: str, state: str, options: ScanOpt
     """Brings the links at state up to date with the chunks in batches/batch=<n>, and returns all of them, located.
 
     A page that comes again replaces what it was, within a run the latest batch wins; one whose only chunk has null text
-    is removed.  Only new batches are read.  Links are replaced first, then the ledger; a run that was cut off between the
-    two scans the same pages again and puts the same rows in their place.  So does a batch that is delivered twice: its
-    hashes are known.  Rows of a part are written whole, so a part with nothing left keeps its ledger rows alone."""
+    is removed.  Only new batches are read, and of these only hashes, and chunks of pages that may have a URL, are shuffled.
+    Links are replaced first, then the ledger; a run that was cut off between the two scans the same pages again and puts
+    the same rows in their place.  So does a batch that is delivered twice: its hashes are known.  Rows of a part are
+    written whole, so a part with nothing left keeps its ledger rows alone."""
     ledger = _table(spark, f"{state}/ledger", LEDGER)
     last = ledger.agg(F.max("batch")).first()[0]
     incoming = spark.read.parquet(batches).where(F.col("batch") > F.lit(-1 if last is None else last))
-    newest = incoming.groupBy(*PAGE).agg(F.max("batch").alias("batch"))
-    pages = incoming.join(newest, [*PAGE, "batch"], "left_semi")
-    hashed = content_hashes(pages.drop("batch")).join(newest, list(PAGE)).withColumn("part", part_of(parts))
+    each = content_hashes(incoming.dropna(subset=list(PAGE)), ("batch",))
+    hashed = each.groupBy(*PAGE).agg(F.max_by("content", "batch").alias("content"), F.max("batch").alias("batch")).withColumn("part", part_of(parts))
     known = ledger.select(*PAGE, F.col("content").alias("had"))
     seen = written(hashed.join(known, list(PAGE), "left"), "seen")
     if seen.isEmpty():
         return _links(spark, state)
-    changed = seen.where(~F.col("content").eqNullSafe(F.col("had"))).select(*PAGE)
-    links = located_text(pages.drop("batch").join(changed, list(PAGE), "left_semi"), options).withColumn("part", part_of(parts))
-    links = written(links, "changed")
+    changed = seen.where(~F.col("content").eqNullSafe(F.col("had"))).select(*PAGE, "batch")
+    # keys are unique in changed: an inner join, since Spark moves the scan's test for marks below that, not below a semi-join
+    links = written(located_text(incoming.join(changed, changed.columns).drop("batch"), options).withColumn("part", part_of(parts)), "changed")
     touched = seen.select("part").distinct()
     old = _table(spark, f"{state}/links", links.schema.simpleString()[7:-1].replace(":", " "))
     kept = old.join(F.broadcast(touched), "part", "left_semi").join(changed, list(PAGE), "left_anti").unionByName(links)

@@ -15,7 +15,7 @@ from ..operators.candidates import bare_domain_matches, candidate_uris, drop_bar
 from ..operators.dedupe import dedupe_qr, dedupe_text_spots
 from ..operators.detection import OcrEngine, apply_ocr_engine, evenly, ocr_words_to_chunks, pyramid_plan, qr_padded_box, rendered_sizes, tile_tasks, to_points, whole_page_tasks
 from ..operators.existing import existing_links, split_existing
-from ..operators.lines import PAGE, lines_by_pass, lines_of
+from ..operators.lines import PAGE, lines_by_pass, lines_of, pages_with_marks
 from ..options import DEFAULT, ScanOptions
 from ..sources.files import link_annotations
 from ..sources.shared import written
@@ -49,8 +49,8 @@ def _candidates(lines: DataFrame, options: ScanOptions, keep: tuple[str, ...] =
 
 
 def text_candidates(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
-    """Every URL in the chunks' lines with its box, before dedup."""
-    return _candidates(lines_of(chunks), options)
+    """Every URL in the chunks' lines with its box, before dedup.  Only pages that may have one are lined."""
+    return _candidates(lines_of(pages_with_marks(chunks, options.match_bare_domains)), options)
 
 
 def candidates_of_passes(chunks: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
@@ -60,7 +60,7 @@ def candidates_of_passes(chunks: DataFrame, options: ScanOptions = DEFAULT) -> D
     Lines are matched once: the pass's own URLs, which decide, are among those of all lines, and a window over the page's
     candidates sees them where they are."""
     found = F.max("alone").over(Window.partitionBy(*PAGE))
-    every = _candidates(lines_by_pass(lines_of(chunks)), options, PASSES).withColumn("__found", found)
+    every = _candidates(lines_by_pass(lines_of(pages_with_marks(chunks, options.match_bare_domains))), options, PASSES).withColumn("__found", found)
     return every.where((F.col("__found") & F.col("without_tiles")) | (~F.col("__found") & F.col("with_tiles"))).drop("__found", *PASSES)
 
 

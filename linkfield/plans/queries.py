@@ -283,7 +283,7 @@ def x5_incremental_relink(t: Tables) -> DataFrame:
     folder = f"{shared_dir(t.spark)}/incremental-{uuid.uuid4().hex}"
     t.text_chunks.write.parquet(f"{folder}/in/batch=0")
     incremental.scan_changes(t.spark, f"{folder}/in", f"{folder}/state")
-    edited(t.text_chunks).write.parquet(f"{folder}/in/batch=1")
+    edited(t.spark.read.parquet(f"{folder}/in/batch=0")).write.parquet(f"{folder}/in/batch=1")
     return incremental.relink_changes(t.spark, f"{folder}/in", f"{folder}/state", t.annotations)
 
 
