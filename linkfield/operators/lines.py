@@ -17,6 +17,16 @@ ORDER = ("source_rank", "tile_y", "seq")
 #: Bits that tell which pages may have a URL: blocks of sixteen words of 64 bits, 4 MiB at most.
 BLOCKS, WORDS = 1 << 15, 16
 
+#: Tasks that all chunks are dealt to, for each partition of a shuffle (or core, if there are more).
+TASKS = 4
+
+
+def dealt_by_page(chunks: DataFrame) -> DataFrame:
+    """chunks by page over a number of tasks that Spark leaves as it is.  It joins the partitions of a shuffle down to one
+    a core, up to 64 MB as they were sent, and a task that lines them sorts all of its own in memory, over ten times that."""
+    session = chunks.sparkSession
+    return chunks.repartition(TASKS * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), *PAGE)
+
 
 def drop_blank_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks with more than white space; their text stays as it is.  Null text is blank."""

@@ -74,3 +74,10 @@ def test_states_of_a_page_are_not_mixed(spark, monkeypatch):
     got = incremental.scan_changes(spark, path, f"{path}-state", parts=2)
     assert [r.uri for r in got.collect()] == ["http://a.org/b"]
     assert seen.get["n"] == 4
+
+
+def test_chunks_of_all_lines_are_dealt_to_many_tasks(spark):
+    """Spark would join the partitions of a shuffle, and a task's memory would grow with the input."""
+    chunks = spark.createDataFrame([r for doc in range(400) for r in _page(doc, ["a", "b"])], CHUNKS)
+    used = lines.group_lines(lines.dealt_by_page(chunks)).select(F.spark_partition_id().alias("p"), "doc_id").distinct().groupBy("p").count().collect()
+    assert len(used) > 24 and max(r["count"] for r in used) < 40 and sum(r["count"] for r in used) == 400
