@@ -112,7 +112,7 @@ def merge_status(linked: DataFrame, already: DataFrame) -> DataFrame:
 def ocr_escalation_pages(words: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
     """Pages whose whole-page OCR alone has no URL, linked or not: only these pay for the tile pass."""
     whole = ocr_words_to_chunks(words.where("pass = 'whole'"), pages)
-    return pages.join(text_candidates(whole, options).select(*PAGE).distinct(), list(PAGE), "left_anti")
+    return pages.join(_candidates(lines_of(whole), options).select(*PAGE).distinct(), list(PAGE), "left_anti")
 
 
 def ocr_chunks(words: DataFrame, pages: DataFrame, options: ScanOptions = DEFAULT) -> DataFrame:
