@@ -35,8 +35,20 @@ MARKS = ".,;:!?\"'"
 PAIRS = ((")", "("), ("]", "["), ("}", "{"))
 
 
+def _of_one(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f(text), with text as an array's one element: it is worked out once and not in each of the places that refer to it,
+    which makes code that is too long for the JVM to compile."""
+    return F.get(F.transform(F.array(text), f), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    """text without white space around it.  Most texts are told by their first and last characters, without the pattern."""
+
+    def one(t: Column) -> Column:
+        bare = F.ascii(t).between(33, 126) & F.ascii(F.right(t, F.lit(1))).between(33, 126)
+        return F.when(bare, t).otherwise(F.regexp_replace(t, rf"^[{SPACE}]+|[{SPACE}]+$", ""))
+
+    return _of_one(text, one)
 
 
 def is_blank(text: Column) -> Column:
@@ -46,9 +58,12 @@ def is_blank(text: Column) -> Column:
 
 def default_uri_filter(text: Column) -> Column:
     """Absolute URIs as they are, www. hosts with https:// in front, null for the rest."""
-    t = trimmed(text)
-    absolute = t.rlike(ABSOLUTE_URI) & (~t.rlike(WEB_SCHEME) | t.rlike(WEB_URI))
-    return F.when(absolute, t).when(F.lower(t).startswith("www."), F.concat(F.lit("https://"), t))
+
+    def target(t: Column) -> Column:
+        absolute = t.rlike(ABSOLUTE_URI) & (~t.rlike(WEB_SCHEME) | t.rlike(WEB_URI))
+        return F.when(absolute, t).when(F.lower(t).startswith("www."), F.concat(F.lit("https://"), t))
+
+    return _of_one(trimmed(text), target)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -98,4 +113,5 @@ def trim_trailing_punctuation(text: Column) -> Column:
             strip = strip | ((last == closer) & (_count(s, closer) > _count(s, opener)))
         return F.when(strip, F.left(s, F.length(s) - 1)).otherwise(s)
 
-    return F.aggregate(F.array_repeat(F.lit(0), run), text, step)
+    ends = F.right(text, F.lit(1)).isin(*MARKS, *[closer for closer, _ in PAIRS])
+    return F.when(ends, F.aggregate(F.array_repeat(F.lit(0), run), text, step)).otherwise(text)

@@ -131,7 +131,7 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], box:
     and looked through; of large ones the sides go through a grid, which gives back the numbers of those that stay.  Both
     read the one array, so there is one plan below."""
     near = same_text_spot if text else same_spot
-    grouped = rows.withColumn("__box", box).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "__box", *[c for c in rows.columns if c not in keys and c not in order]))).alias("__all"))
+    grouped = rows.withColumn("__box", box).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, "__box", *[c for c in rows.columns if c not in keys and c not in order]))).alias("__all"))
     large = F.size("__all") > FOLD_ROWS
     sides = F.flatten(F.transform("__all", lambda x: F.array(*[x["__box"][k].cast("double") for k in ("x0", "y0", "x1", "y1")])))
     grouped = grouped.withColumn("__numbers", _kept_numbers(text)(F.when(large, sides)))

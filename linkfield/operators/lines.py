@@ -17,6 +17,9 @@ ORDER = ("source_rank", "tile_y", "seq")
 #: Bits that tell which pages may have a URL: blocks of sixteen words of 64 bits, 4 MiB at most.
 BLOCKS, WORDS = 1 << 15, 16
 
+#: Column of chunks that tells whether they have a URL's mark or may have a piece of one.
+MARKED = "__marked"
+
 #: Tasks that all chunks are dealt to, for each partition of a shuffle (or core, if there are more).
 TASKS = 4
 
@@ -56,13 +59,17 @@ def line_spans(chunks: DataFrame) -> DataFrame:
 def reconstruct_lines(spans: DataFrame) -> DataFrame:
     """One row per line: line_text, source_rank (of its first chunk) and spans (places and corners of its chunks)."""
     one = F.struct(*ORDER, "piece", "start_off", "end_off", corners().alias("box"))
-    lines = spans.groupBy(*PAGE, "line_no").agg(F.array_sort(F.collect_list(one)).alias("spans"))
-    return lines.select(*PAGE, "line_no", F.array_join(F.transform("spans", lambda s: s["piece"]), "").alias("line_text"), F.col("spans")[0]["source_rank"].alias("source_rank"), "spans")
+    lines = spans.groupBy(*PAGE, "line_no").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+    return lines.select(*PAGE, "line_no", F.array_join(F.col("spans")["piece"], "").alias("line_text"), F.col("spans")[0]["source_rank"].alias("source_rank"), "spans")
 
 
 def lines_of(chunks: DataFrame) -> DataFrame:
-    """Chunks to lines."""
-    return reconstruct_lines(line_spans(group_lines(drop_blank_chunks(chunks))))
+    """Chunks to lines.  Where chunks say whether they are marked (see pages_with_marks), lines without a marked one go
+    before their chunks are put together; the others keep their numbers."""
+    lined = group_lines(drop_blank_chunks(chunks))
+    if MARKED in chunks.columns:
+        lined = lined.withColumn(MARKED, F.max(MARKED).over(Window.partitionBy(*PAGE, "line_no").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where(MARKED).drop(MARKED)
+    return reconstruct_lines(line_spans(lined))
 
 
 def lines_by_pass(lines: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def lines_by_pass(lines: DataFrame) -> DataFrame:
     each = each.select(*PAGE, "line_no", "line_text", "__p.*").withColumn("__from", F.col("spans")[0]["start_off"])
     moved = F.transform("spans", lambda s: s.withField("start_off", s["start_off"] - F.col("__from")).withField("end_off", s["end_off"] - F.col("__from")))
     text = F.substring("line_text", F.col("__from") + 1, F.element_at("spans", -1)["end_off"] - F.col("__from"))
-    return each.select(*PAGE, "line_no", text.alias("line_text"), F.col("spans")[0]["source_rank"].alias("source_rank"), moved.alias("spans"), "alone", "without_tiles", "with_tiles")
+    return each.select(*PAGE, "line_no", text.alias("line_text"), F.col("spans")[0]["source_rank"].alias("source_rank"), F.when(F.col("__from") == 0, F.col("spans")).otherwise(moved).alias("spans"), "alone", "without_tiles", "with_tiles")
 
 
 def computed_once(rows: DataFrame, *columns: str) -> DataFrame:
@@ -119,6 +126,8 @@ def pages_with_marks(chunks: DataFrame, bare: bool = True) -> DataFrame:
 
     Chunks that have a mark or may be a piece of one are lined by themselves.  Pieces of a mark are neighbours without a
     space between them, so they are in these lines, too, where the mark is whole again.  Pages without any, most of a
-    corpus, are neither shuffled nor lined."""
-    some = chunks.where(_has_part_of_mark(F.col("text"), bare))
-    return of_pages(chunks, lines_of(some).where(_has_mark(F.col("line_text"), bare)).select(*PAGE))
+    corpus, are neither shuffled nor lined.  The chunks say whether they are marked, so that lines_of can leave out lines of
+    these pages that have no mark."""
+    marked = _has_part_of_mark(F.col("text"), bare)
+    some = chunks.where(marked)
+    return of_pages(chunks, lines_of(some).where(_has_mark(F.col("line_text"), bare)).select(*PAGE)).withColumn(MARKED, F.coalesce(marked, F.lit(False)))

@@ -39,11 +39,16 @@ LOCATED = ("doc_id", "page_number", "source", "source_rank", "order_key", "uri",
 PASSES = ("alone", "without_tiles", "with_tiles")
 
 
-def _candidates(lines: DataFrame, options: ScanOptions, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines without the few letters that any match has go first, so only others have their arrays worked on."""
+def _likely(lines: DataFrame, options: ScanOptions) -> DataFrame:
+    """Lines that have the few letters that any match has."""
     low = F.lower("line_text")
     likely = low.contains("http") | low.contains("www.")
-    some = scheme_url_matches(lines.where(likely | F.col("line_text").contains("/") if options.match_bare_domains else likely))
+    return lines.where(likely | F.col("line_text").contains("/") if options.match_bare_domains else likely)
+
+
+def _candidates(lines: DataFrame, options: ScanOptions, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines without the few letters that any match has go first, so only others have their arrays worked on."""
+    some = scheme_url_matches(_likely(lines, options))
     apart = drop_bare_under_scheme(bare_domain_matches(some, options.match_bare_domains, options.tlds))
     return match_to_rect(candidate_uris(apart, options.uri_filter, keep), keep)
 
@@ -60,7 +65,7 @@ def candidates_of_passes(chunks: DataFrame, options: ScanOptions = DEFAULT) -> D
     Lines are matched once: the pass's own URLs, which decide, are among those of all lines, and a window over the page's
     candidates sees them where they are."""
     found = F.max("alone").over(Window.partitionBy(*PAGE))
-    every = _candidates(lines_by_pass(lines_of(pages_with_marks(chunks, options.match_bare_domains))), options, PASSES).withColumn("__found", found)
+    every = _candidates(lines_by_pass(_likely(lines_of(pages_with_marks(chunks, options.match_bare_domains)), options)), options, PASSES).withColumn("__found", found)
     return every.where((F.col("__found") & F.col("without_tiles")) | (~F.col("__found") & F.col("with_tiles"))).drop("__found", *PASSES)
 
 

@@ -81,3 +81,22 @@ def test_chunks_of_all_lines_are_dealt_to_many_tasks(spark):
     chunks = spark.createDataFrame([r for doc in range(400) for r in _page(doc, ["a", "b"])], CHUNKS)
     used = lines.group_lines(lines.dealt_by_page(chunks)).select(F.spark_partition_id().alias("p"), "doc_id").distinct().groupBy("p").count().collect()
     assert len(used) > 24 and max(r["count"] for r in used) < 40 and sum(r["count"] for r in used) == 400
+
+
+def test_lines_without_marks_are_not_put_together(spark, monkeypatch):
+    """Of a page with a URL in pieces only the URL's line is put together, with the number that it has among all."""
+    rows = [(1, 1, 0, 0, i, "word", 0.0, 700.0 - 20 * i, 10.0, 12.0, 4.0) for i in range(30)]
+    rows += [(1, 1, 0, 0, 30 + i, text, 10.0 * i, 20.0, 10.0, 12.0, 4.0) for i, text in enumerate(("http:", "//example.org", "/a"))]
+    chunks, seen, plain = spark.createDataFrame(rows, CHUNKS), Observation("put together"), lines.reconstruct_lines
+    sifted = lines.pages_with_marks(chunks, False)
+    monkeypatch.setattr(lines, "reconstruct_lines", lambda spans: plain(spans.observe(seen, F.count(F.lit(1)).alias("n"))))
+    assert [(r.line_no, r.line_text) for r in lines.lines_of(sifted).collect()] == [(30, "http://example.org/a")]
+    assert seen.get["n"] == 3  # of 33
+
+
+def test_targets_are_worked_out_once(spark):
+    """A filter on the target doesn't bring its patterns into the plan again for each place that refers to it."""
+    chunks = spark.createDataFrame(_page(1, ["see", " https://example.org/a).", "www.example.org"]), CHUNKS)
+    found = jobs.text_candidates(chunks)
+    assert [r.uri for r in found.orderBy("match_no").collect()] == ["https://example.org/a", "https://www.example.org"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[A-Za-z][A-Za-z0-9+.-]*:") == 1
